@@ -1,0 +1,6 @@
+"""Queries by name, each with its SQL oracle where SQL can express it."""
+
+from __future__ import annotations
+
+QUERIES: dict = {}
+ORACLES: dict = {}
