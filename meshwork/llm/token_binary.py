@@ -16,10 +16,12 @@ Null and empty texts have the end id only; other columns are ignored; an empty t
 from __future__ import annotations
 
 import os
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -35,8 +37,7 @@ from meshwork.plans.staging import drop, new_path, stage
 MAGIC = b"MESHTOK1"
 BLOCK = 1 << 14
 END_ID = 2
-KEPT_WORDS = 300_000
-_TAIL = ".,!?;:%&*$#|)"
+KEPT_WORDS = 400_000
 
 
 def pack(ids: np.ndarray, bits: int) -> bytes:
@@ -55,12 +56,17 @@ def unpack(data: bytes, n: int, bits: int) -> np.ndarray:
     return np.packbits(wide.reshape(-1)).view(">u4").astype(np.uint32)
 
 
+#: A Latin-1 word and the marks behind it.
+_SPLIT = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:%&*$#|)]*)")
+
+
 class Encoder:
     """The library's ids of whole texts, by pieces between spaces.
 
     No token spans a space or a line feed, so ids of pieces, which are kept for frequent ones, join to those of
     the text. A Latin-1 word followed by marks is looked up as word and marks, and the word in lower case, as
-    the tokenizer's own rules would part and lower it.
+    the tokenizer's own rules would part and lower it. New words are encoded many at a time, in one text: every
+    such word ends with the one token of it that carries the vocabulary's end-of-word suffix.
     """
 
     def __init__(self, path: str) -> None:
@@ -68,36 +74,61 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        vocabulary = self.library.get_vocab()
+        suffix = getattr(self.library.model, "end_of_word_suffix", None)
         self.bits = max(1, (self.library.get_vocab_size() - 1).bit_length())
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if suffix and t.endswith(suffix)]] = True
         self.kept: dict[str, bytes] = {"": b""}
+        self.before: dict[str, bytes] = {}
 
     def _encode(self, pieces: list[str]) -> None:
         for piece, got in zip(pieces, self.library.encode_batch_fast(pieces, add_special_tokens=False), strict=True):
             self.kept[piece] = np.array(got.ids, "<u4").tobytes()
 
+    def _encode_words(self, words: list[str]) -> None:
+        """Words of letters only, in one text."""
+        ids = np.array(self.library.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        cuts = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
+        if len(cuts) != len(words) or cuts[-1] != 4 * len(ids):
+            self._encode(words)
+            return
+        data, at, kept = ids.tobytes(), 0, self.kept
+        for word, cut in zip(words, cuts, strict=True):
+            kept[word] = data[at:cut]
+            at = cut
+
     def _learn(self, pieces: set[str]) -> None:
-        parts, whole = {}, set()
+        kept, before = self.kept, self.before
+        parts, words, whole = [], set(), set()
         for w in pieces:
-            core = w.rstrip(_TAIL)
-            if core and core.isalpha() and max(core) < "Ā":
-                parts[w] = (core.lower(), w[len(core) :])
+            if (old := before.get(w)) is not None:
+                kept[w] = old
+            elif m := _SPLIT.fullmatch(w):
+                core, tail = m[1].lower(), m[2]
+                parts.append((w, core, tail))
+                if core not in kept:
+                    words.add(core)
+                if tail not in kept:
+                    whole.add(tail)
             else:
                 whole.add(w)
-        whole.update(x for pair in parts.values() for x in pair if x not in self.kept)
         if whole:
             self._encode(list(whole))
-        for w, (core, tail) in parts.items():
-            self.kept[w] = self.kept[core] + self.kept[tail]
+        if words:
+            self._encode_words(list(words))
+        for w, core, tail in parts:
+            kept[w] = kept[core] + kept[tail]
 
     def ids(self, parts: list[str]) -> list[np.ndarray]:
         split = [x.replace("\n", " ").split(" ") for x in parts]
         if len(self.kept) > KEPT_WORDS:
-            self.kept = {"": b""}
-        kept = self.kept
-        fresh = {w for own in split for w in own if w not in kept}
+            self.before, self.kept = self.kept, {"": b""}
+        fresh = set(chain.from_iterable(split)).difference(self.kept)
         if fresh:
             self._learn(fresh)
-        return [np.frombuffer(b"".join([kept[w] for w in own]), "<u4") for own in split]
+        got = self.kept.__getitem__
+        return [np.frombuffer(b"".join(map(got, own)), "<u4") for own in split]
 
 
 @lru_cache(maxsize=2)
