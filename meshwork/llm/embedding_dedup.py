@@ -6,7 +6,7 @@ the subspaces in proportion to their variance, so a linked pair is within budget
 each subspace vectors are filed under their nearest pivot and also sent to every pivot's cell that the
 perpendicular-bisector bound cannot rule out, and a cell range-joins its own vectors with all it was sent. Each
 candidate is verified in double precision. A pair counts in the first subspace where it is within budget, so
-links are counted without emitting pairs, and a task returns a count for each of its own vectors and a spanning
+links are counted without emitting pairs, and a task returns a count for each of its vectors and a spanning
 forest of its links.
 
 Rotation and pivots come from a sample (``SAMPLE`` vectors by hash order); they steer only the work, never the
@@ -111,20 +111,22 @@ def unit_rows(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def _candidates(own: np.ndarray, others: np.ndarray, reach: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs within ``reach`` squared distance in one subspace, a tile at a time."""
+def _candidates(own: np.ndarray, others: np.ndarray, first: np.ndarray, reach: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs within ``reach`` squared distance in one subspace, a tile at a time.
+
+    Row i of ``own`` meets the rows of ``others`` from ``first[i]`` on, which doesn't fall. One product of
+    extended vectors, (-2a, |a|^2, 1) with (b, 1, |b|^2), is a tile of squared distances.
+    """
     a, b = own.astype(np.float32), others.astype(np.float32)
-    aa, bb = (a * a).sum(axis=1), (b * b).sum(axis=1)
-    edge = reach + 1e-5
-    for i in range(0, len(a), 1024):
-        for j in range(0, len(b), 4096):
-            close = a[i : i + 1024] @ b[j : j + 4096].T
-            close *= -2
-            close += aa[i : i + 1024, None]
-            close += bb[None, j : j + 4096]
-            hit = np.flatnonzero(close.ravel() <= edge)
+    left = np.hstack([-2 * a, (a * a).sum(axis=1, keepdims=True), np.ones((len(a), 1), np.float32)])
+    right = np.ascontiguousarray(np.hstack([b, np.ones((len(b), 1), np.float32), (b * b).sum(axis=1, keepdims=True)]).T)
+    edge = np.float32(reach + 1e-5)
+    for i in range(0, len(a), 512):
+        for j in range(int(first[i]) if i < len(first) else 0, len(b), 2048):
+            hit = np.flatnonzero((left[i : i + 512] @ right[:, j : j + 2048]).ravel() <= edge)
+            width = min(2048, len(b) - j)
             for s in range(0, len(hit), 1 << 16):
-                p, q = np.divmod(hit[s : s + (1 << 16)], close.shape[1])
+                p, q = np.divmod(hit[s : s + (1 << 16)], width)
                 yield p + i, q + j
 
 
@@ -135,15 +137,20 @@ class Task:
         self.index, self.threshold = index, threshold
 
     def join(self, k: int, rows: np.ndarray, ids: np.ndarray, vectors: np.ndarray, own: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int]]]:
-        """Links counted here of each own vector; spanning edges (id, smallest id). ``rows`` tell vectors apart."""
+        """Links counted here for each vector; spanning edges (id, smallest id). ``rows`` tell vectors apart.
+
+        A pair is taken where the vector of the smaller row is at home, and counts for both.
+        """
         turned = vectors @ self.index.rotation
         a, b = self.index.cuts[k]
-        first, second, counts = np.flatnonzero(own), np.flatnonzero(other), np.zeros(len(ids), np.int64)
+        order = np.argsort(rows, kind="stable")
+        first, second, counts = order[own[order]], order[other[order]], np.zeros(len(ids), np.int64)
+        later = np.searchsorted(rows[second], rows[first], side="right")
         root = np.arange(len(ids))
         rank = np.argsort(np.argsort(ids, kind="stable"), kind="stable")
-        for p, q in _candidates(turned[first, a:b], turned[second, a:b], float(self.index.budget[k]) * (1 + SLACK)):
+        for p, q in _candidates(turned[first, a:b], turned[second, a:b], later, float(self.index.budget[k]) * (1 + SLACK)):
             p, q = first[p], second[q]
-            keep = rows[p] != rows[q]
+            keep = rows[p] < rows[q]
             p, q = p[keep], q[keep]
             cos = (vectors[p] * vectors[q]).sum(axis=1)
             p, q = p[cos >= self.threshold], q[cos >= self.threshold]
@@ -154,6 +161,7 @@ class Task:
             # Rounding may leave a pair at the very edge of all budgets: it then belongs to the relatively closest.
             owner = np.where(within.any(axis=1), within.argmax(axis=1), np.stack([gap[:, s:e].sum(axis=1) / self.index.budget[m] for m, (s, e) in enumerate(self.index.cuts)], axis=1).argmin(axis=1))
             np.add.at(counts, p[owner == k], 1)
+            np.add.at(counts, q[owner == k], 1)
             _unite(root, p, q, rank)
         top = _flatten(root)
         edges = [(int(ids[x]), int(ids[top[x]])) for x in np.flatnonzero(top != np.arange(len(top)))]
