@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meshwork.llm.common import pick, slices, texts
+from meshwork.llm.common import pick, slices, text_bytes
 from meshwork.plans.staging import drop, new_path, stage
 
 MAGIC = b"MESHTOK1"
@@ -56,8 +56,9 @@ def unpack(data: bytes, n: int, bits: int) -> np.ndarray:
     return np.packbits(wide.reshape(-1)).view(">u4").astype(np.uint32)
 
 
-#: A Latin-1 word and the marks behind it.
-_SPLIT = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:%&*$#|)]*)")
+_MARKS = b".,!?;:%&*$#|)"
+#: A Latin-1 word and the marks behind it, in UTF-8.
+_SPLIT = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([.,!?;:%&*$#|)]*)")
 
 
 class Encoder:
@@ -76,21 +77,23 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         vocabulary = self.library.get_vocab()
         suffix = getattr(self.library.model, "end_of_word_suffix", None)
-        self.bits = max(1, (self.library.get_vocab_size() - 1).bit_length())
+        self.bits = max(1, max(vocabulary.values()).bit_length())
+        self.kind = np.dtype("<u2" if self.bits <= 16 else "<u4")
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if suffix and t.endswith(suffix)]] = True
-        self.kept: dict[str, bytes] = {"": b""}
-        self.before: dict[str, bytes] = {}
+        self.kept: dict[bytes, bytes] = {b"": b""}
+        self.before: dict[bytes, bytes] = {}
 
-    def _encode(self, pieces: list[str]) -> None:
-        for piece, got in zip(pieces, self.library.encode_batch_fast(pieces, add_special_tokens=False), strict=True):
-            self.kept[piece] = np.array(got.ids, "<u4").tobytes()
+    def _encode(self, pieces: list[bytes]) -> None:
+        for piece, got in zip(pieces, self.library.encode_batch_fast([p.decode() for p in pieces], add_special_tokens=False), strict=True):
+            self.kept[piece] = np.array(got.ids, self.kind).tobytes()
 
-    def _encode_words(self, words: list[str]) -> None:
+    def _encode_words(self, words: list[bytes]) -> None:
         """Words of letters only, in one text."""
-        ids = np.array(self.library.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
-        cuts = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
-        if len(cuts) != len(words) or cuts[-1] != 4 * len(ids):
+        ids = np.array(self.library.encode_batch_fast([b" ".join(words).decode()], add_special_tokens=False)[0].ids, self.kind)
+        size = self.kind.itemsize
+        cuts = ((np.flatnonzero(self.ends[ids]) + 1) * size).tolist()
+        if len(cuts) != len(words) or cuts[-1] != size * len(ids):
             self._encode(words)
             return
         data, at, kept = ids.tobytes(), 0, self.kept
@@ -98,21 +101,27 @@ class Encoder:
             kept[word] = data[at:cut]
             at = cut
 
-    def _learn(self, pieces: set[str]) -> None:
+    def _learn(self, pieces: set[bytes]) -> None:
         kept, before = self.kept, self.before
         parts, words, whole = [], set(), set()
         for w in pieces:
             if (old := before.get(w)) is not None:
                 kept[w] = old
+                continue
+            core = w.rstrip(_MARKS)
+            if core.isalpha():
+                core, tail = core.lower(), w[len(core) :]
             elif m := _SPLIT.fullmatch(w):
-                core, tail = m[1].lower(), m[2]
-                parts.append((w, core, tail))
-                if core not in kept:
-                    words.add(core)
-                if tail not in kept:
-                    whole.add(tail)
+                core, tail = m[1].decode().lower().encode(), m[2]
             else:
                 whole.add(w)
+                continue
+            if core != w:
+                parts.append((w, core, tail))
+            if core not in kept:
+                words.add(core)
+            if tail not in kept:
+                whole.add(tail)
         if whole:
             self._encode(list(whole))
         if words:
@@ -120,15 +129,16 @@ class Encoder:
         for w, core, tail in parts:
             kept[w] = kept[core] + kept[tail]
 
-    def ids(self, parts: list[str]) -> list[np.ndarray]:
-        split = [x.replace("\n", " ").split(" ") for x in parts]
+    def ids(self, parts: list[bytes], end: bytes = b"") -> list[bytes]:
+        """Ids of each text, and ``end``, as bytes of ``kind``."""
+        split = [x.replace(b"\n", b" ").split(b" ") for x in parts]
         if len(self.kept) > KEPT_WORDS:
-            self.before, self.kept = self.kept, {"": b""}
+            self.before, self.kept = self.kept, {b"": b""}
         fresh = set(chain.from_iterable(split)).difference(self.kept)
         if fresh:
             self._learn(fresh)
-        got = self.kept.__getitem__
-        return [np.frombuffer(b"".join(map(got, own)), "<u4") for own in split]
+        get, join = self.kept.__getitem__, b"".join
+        return [join(map(get, own)) + end for own in split]
 
 
 @lru_cache(maxsize=2)
@@ -145,17 +155,17 @@ class Writer:
         self.null: list[bool] = []
         self.first = [0]
 
-    def add(self, doc_id: int | None, ids: np.ndarray) -> None:
+    def add(self, doc_id: int | None, n: int) -> None:
         self.docs.append(0 if doc_id is None else doc_id)
         self.null.append(doc_id is None)
-        self.first.append(self.first[-1] + len(ids))
+        self.first.append(self.first[-1] + n)
 
     def write(self, ids: np.ndarray) -> None:
-        held = np.concatenate((self.rest, ids))
+        held = np.concatenate((self.rest, ids)) if len(self.rest) else ids
         whole = len(held) // BLOCK * BLOCK
         for i in range(0, whole, BLOCK):
             self._block(held[i : i + BLOCK])
-        self.rest = held[whole:]
+        self.rest = held[whole:].copy()
 
     def _block(self, ids: np.ndarray) -> None:
         data = pack(ids, self.bits)
@@ -219,11 +229,11 @@ def write_tokens(docs: DataFrame, folder: str, path: str | None = None, end_id:
             if writer is None:
                 store.create_dir(base, recursive=True)
                 writer = Writer(store.open_output_stream(made), encoder(where).bits)
-            ids = [np.append(x, np.uint32(end_id)) for x in encoder(where).ids(texts(part.column(1)))]
+            own = encoder(where)
+            ids = own.ids(text_bytes(part.column(1)), np.array([end_id], own.kind).tobytes())
             for d, x in zip(part.column(0).to_pylist(), ids, strict=True):
-                writer.add(d, x)
-            if ids:
-                writer.write(np.concatenate(ids))
+                writer.add(d, len(x) // own.kind.itemsize)
+            writer.write(np.frombuffer(b"".join(ids), own.kind))
         if writer is not None:
             writer.close()
             store.move(made, shard)
