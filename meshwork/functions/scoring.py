@@ -14,6 +14,11 @@ WEIGHTS = {"team_size": 0.25, "time_investment": 0.25, "criticality": 0.20, "vel
 CRITICALITY = {"roadmap_item": 0.9, "roadmap": 0.9, "okr_related": 0.85, "okr": 0.85, "security": 0.8, "production": 0.75, "prod": 0.75, "customer_facing": 0.7, "customer": 0.7, "infrastructure": 0.6, "infra": 0.6, "internal_tool": 0.3, "internal": 0.3}
 
 
+def rounded(x: Column, digits: int = 2) -> Column:
+    """Half up, after the noise of binary fractions is rounded away."""
+    return F.round(F.round(x, 9), digits)
+
+
 def team_size(participants: Column, teams: Column) -> Column:
     """By people, or five for each team where none are known."""
     people = F.when(F.coalesce(participants, F.lit(0)) > 0, participants).otherwise(teams * 5)
@@ -30,7 +35,7 @@ def hours_spent(evidence: Column, commits: Column, overlap_days: Column) -> Colu
 def time_investment(evidence: Column, commits: Column, overlap_days: Column) -> Column:
     h = hours_spent(evidence, commits, overlap_days)
     score = F.when(h >= 100, 1.0).when(h >= 50, 0.7 + (h - 50) / 50 * 0.3).when(h >= 20, 0.5 + (h - 20) / 30 * 0.2).when(h >= 10, 0.3 + (h - 10) / 10 * 0.2).otherwise(F.least(F.lit(0.3), h / 10 * 0.3))
-    return F.round(score, 2)
+    return rounded(score)
 
 
 def criticality(tags: Column) -> Column:
@@ -49,7 +54,7 @@ def impact(components: dict[str, Column], weights: dict[str, float] | None = Non
     if abs(sum(w.values()) - 1) > 0.01:
         raise ValueError("weights must sum to 1")
     total = sum((components[k] * F.lit(w[k]) for k in WEIGHTS), F.lit(0.0))
-    return F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), total)), 2)
+    return rounded(F.greatest(F.lit(0.0), F.least(F.lit(1.0), total)))
 
 
 def impact_components(*, teams: Column, participants: Column, evidence: Column, commits: Column, overlap_days: Column, tags: Column, blocked: Column, overlap_ratio: Column) -> dict[str, Column]:
@@ -89,9 +94,9 @@ def cost(teams: Column, evidence: Column, commits: Column, rates: CostRates = Co
     """Struct of hours (one digit), dollars (two digits) and a sentence that explains them."""
     hours = cost_hours(teams, evidence, commits, rates)
     text = F.format_string("%d teams, %d messages and %d commits: %.1f hours at $%.0f an hour", teams.cast("int"), evidence.cast("int"), commits.cast("int"), hours, F.lit(rates.hourly))
-    return F.struct(F.round(hours, 1).alias("hours"), F.round(hours * rates.hourly, 2).alias("dollars"), text.alias("explanation"))
+    return F.struct(F.round(hours, 1).alias("hours"), rounded(hours * rates.hourly).alias("dollars"), text.alias("explanation"))
 
 
 def simple_cost(impact_score: Column, evidence: Column, hours_each: float = 10.0, hourly: float = 100.0) -> Column:
     """Impact times evidence times hours times rate."""
-    return F.round(impact_score * evidence * hours_each * hourly, 2)
+    return rounded(impact_score * evidence * hours_each * hourly)
