@@ -19,7 +19,7 @@ w AS (SELECT *, row_number() OVER (PARTITION BY strategy, query_id ORDER BY rel
 pq AS (SELECT strategy, query_id, count(*) AS num_results, coalesce(1.0 / min(rank) FILTER (rel > 0), 0)::DOUBLE AS rr, coalesce(sum(hits / rank) FILTER (rel > 0) / nullif(count(*) FILTER (rel > 0), 0), 0) AS ap,
   coalesce(sum((2 ** rel - 1) / log2(rank + 1)) FILTER (rank <= 5), 0) AS dcg_5, coalesce(sum((2 ** rel - 1) / log2(ideal + 1)) FILTER (ideal <= 5), 0) AS idcg_5, count(*) FILTER (rank <= 5 AND rel > 0) AS f5, count(*) FILTER (rel > 0) AS total FROM w GROUP BY 1, 2),
 m AS (SELECT strategy, query_id, num_results, rr, ap, dcg_5, coalesce(dcg_5 / nullif(idcg_5, 0), 0) AS ndcg_5, f5 / 5.0::DOUBLE AS p_5, coalesce(f5 / nullif(total, 0), 0) AS r_5,
-  coalesce(2 * (f5 / 5.0::DOUBLE) * (f5 / total) / nullif(f5 / 5.0::DOUBLE + f5 / total, 0), 0) AS f1_5 FROM pq)"""
+  coalesce(2 * (f5 / 5.0::DOUBLE) * (f5 / nullif(total, 0)) / nullif(f5 / 5.0::DOUBLE + f5 / nullif(total, 0), 0), 0) AS f1_5 FROM pq)"""
 
 
 def qrels(spark: SparkSession, d: str) -> DataFrame:
@@ -30,7 +30,8 @@ def qrels(spark: SparkSession, d: str) -> DataFrame:
 
 
 def runs(spark: SparkSession, d: str) -> DataFrame:
-    parts = {"semantic": semantic_run(spark, d), "bm25": keyword_run(spark, d), "hybrid_rrf": fused_run(spark, d, "rrf"), "hybrid_weighted": fused_run(spark, d, "weighted")}
+    semantic, keyword = stage(semantic_run(spark, d), "semantic"), stage(keyword_run(spark, d), "keyword")
+    parts = {"semantic": semantic, "bm25": keyword, "hybrid_rrf": fused_run(semantic, keyword, "rrf"), "hybrid_weighted": fused_run(semantic, keyword, "weighted")}
     out = None
     for name, run in parts.items():
         one = run.select(F.lit(name).alias("strategy"), "query_id", "doc_id", "rank")

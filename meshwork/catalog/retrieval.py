@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from meshwork.catalog.registry import MESSAGES, TOKENS, messages, query, read, sources, vectors
 from meshwork.functions import vector
@@ -122,23 +123,21 @@ weighted AS (SELECT coalesce(s.query_id, k.query_id) AS query_id, coalesce(s.doc
 weighted_run AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, sr NULLS LAST, kr NULLS LAST, doc_id) AS rank FROM weighted QUALIFY rank <= 10)"""
 
 
-def fused_run(spark: SparkSession, d: str, kind: str) -> DataFrame:
-    from pyspark.sql.window import Window as W
-
+def fused_run(semantic: DataFrame, keyword: DataFrame, kind: str) -> DataFrame:
     fuse = fusion.rrf if kind == "rrf" else fusion.weighted
-    both = fuse(semantic_run(spark, d), keyword_run(spark, d), on=("query_id", "doc_id"))
+    both = fuse(semantic, keyword, on=("query_id", "doc_id"))
     order = W.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), F.asc_nulls_last("semantic_rank"), F.asc_nulls_last("keyword_rank"), "doc_id")
     return both.withColumn("rank", F.row_number().over(order)).where("rank <= 10")
 
 
 @query(f"WITH {BATCH}, {RRF} SELECT query_id, doc_id, round(score, 6) AS score, CAST(coalesce(sr, 0) AS INTEGER) AS semantic_rank, CAST(coalesce(kr, 0) AS INTEGER) AS keyword_rank, CAST(rank AS INTEGER) AS rank FROM rrf_run")
 def rrf_fusion(spark: SparkSession, d: str) -> DataFrame:
-    return fused_run(spark, d, "rrf").select("query_id", "doc_id", F.round("score", 6).alias("score"), *[F.expr(r) for r in _RANKS], "rank")
+    return fused_run(semantic_run(spark, d), keyword_run(spark, d), "rrf").select("query_id", "doc_id", F.round("score", 6).alias("score"), *[F.expr(r) for r in _RANKS], "rank")
 
 
 @query(f"WITH {BATCH}, {WEIGHTED} SELECT query_id, doc_id, round(score, 6) AS score, CAST(coalesce(sr, 0) AS INTEGER) AS semantic_rank, CAST(coalesce(kr, 0) AS INTEGER) AS keyword_rank, CAST(rank AS INTEGER) AS rank FROM weighted_run")
 def weighted_fusion(spark: SparkSession, d: str) -> DataFrame:
-    return fused_run(spark, d, "weighted").select("query_id", "doc_id", F.round("score", 6).alias("score"), *[F.expr(r) for r in _RANKS], "rank")
+    return fused_run(semantic_run(spark, d), keyword_run(spark, d), "weighted").select("query_id", "doc_id", F.round("score", 6).alias("score"), *[F.expr(r) for r in _RANKS], "rank")
 
 
 @query("""SELECT user_id, max(value) AS value, arg_max(event_id, struct_pack(v := value, e := -event_id)) AS event_id FROM events GROUP BY user_id""")

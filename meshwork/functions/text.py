@@ -13,6 +13,9 @@ from pyspark.sql.window import Window as W
 # Fixed value: the pattern of a link.
 URL = r"http[s]?://(?:[a-zA-Z]|[0-9]|[$-_@.&+]|[!*\\(\\),]|(?:%[0-9a-fA-F][0-9a-fA-F]))+"
 
+#: What parts tokens.
+SPACE = r"[ \t\n\r\f\x0B]+"
+
 # Words that are never keywords.
 STOPWORDS = ["a", "an", "and", "are", "as", "at", "be", "but", "by", "for", "from", "has", "he", "in", "is", "it", "its", "of", "on", "or", "that", "the", "to", "was", "will", "with", "we", "you", "i", "me", "my", "this", "these", "those"]
 
@@ -80,7 +83,19 @@ def is_channel(text: Column | str) -> Column:
 
 def tokens(text: Column | str) -> Column:
     """Lower-cased tokens between white space."""
-    return F.filter(F.split(F.lower(F.coalesce(_c(text), F.lit(""))), r"[ \t\n\r\f\x0B]+"), lambda t: t != "")
+    return F.array_remove(F.split(F.lower(F.coalesce(_c(text), F.lit(""))), SPACE), "")
+
+
+def token_count(text: Column | str) -> Column:
+    """How many tokens there are, without making them."""
+    return F.regexp_count(F.coalesce(_c(text), F.lit("")), F.lit(r"[^ \t\n\r\f\x0B]+"))
+
+
+def term_count(text: Column | str, term: str) -> Column:
+    """How often a lower-case token occurs: texts without it are told by a plain search, the rest by a pattern."""
+    lowered = F.lower(F.coalesce(_c(text), F.lit("")))
+    pattern = rf"(?<![^ \t\n\r\f\x0B])\Q{term}\E(?![^ \t\n\r\f\x0B])"
+    return F.when(F.contains(lowered, F.lit(term)), F.regexp_count(lowered, F.lit(pattern))).otherwise(0)
 
 
 def token_estimate(text: Column | str) -> Column:

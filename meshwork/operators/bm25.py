@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from meshwork.functions.text import tokens
+from meshwork.functions.text import term_count, token_count, tokens
 
 # Saturation and length weight.
 K1, B = 1.5, 0.75
@@ -18,7 +18,7 @@ K1, B = 1.5, 0.75
 
 def collection_stats(docs: DataFrame, text: str) -> DataFrame:
     """One row: documents, tokens and mean length."""
-    sized = docs.select(F.size(tokens(text)).alias("dl"))
+    sized = docs.select(token_count(text).alias("dl"))
     return sized.agg(F.count("*").alias("n_docs"), F.coalesce(F.sum("dl"), F.lit(0)).alias("n_tokens"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl"))
 
 
@@ -29,8 +29,16 @@ def document_frequencies(docs: DataFrame, text: str) -> DataFrame:
 
 def postings(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """(term, doc_id, tf, dl): the inverted index, to be written once and partitioned by term."""
+    return _post(_exploded(docs, doc_id, text))
+
+
+def _exploded(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     t = docs.select(F.col(doc_id).alias("doc_id"), tokens(text).alias("t"))
-    return t.select("doc_id", F.size("t").alias("dl"), F.explode("t").alias("term")).groupBy("term", "doc_id").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+    return t.select("doc_id", F.size("t").alias("dl"), F.explode("t").alias("term"))
+
+
+def _post(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("term", "doc_id").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
 
 
 def idf(n: Column, df: Column) -> Column:
@@ -46,10 +54,6 @@ def term_score(weight: Column, tf: Column, norm: Column, k1: float = K1) -> Colu
     return F.coalesce(F.try_divide(weight * tf * (k1 + 1), tf + k1 * norm), F.lit(0.0))
 
 
-def _tf(t: Column, term: str) -> Column:
-    return F.size(F.filter(t, lambda x: x == F.lit(term)))
-
-
 def score(docs: DataFrame, query: str, doc_id: str = "doc_id", text: str = "text", k1: float = K1, b: float = B, corpus: DataFrame | None = None, explain: bool = False) -> DataFrame:
     """(doc_id, score) of every document that holds a term; repeated query terms count again.
 
@@ -59,9 +63,10 @@ def score(docs: DataFrame, query: str, doc_id: str = "doc_id", text: str = "text
     terms = sorted(set(asked))
     if not terms:
         return docs.select(F.col(doc_id).alias("doc_id"), F.lit(0.0).alias("score")).limit(0)
-    counted = lambda df: df.select("*", tokens(text).alias("_t")).select("*", F.size("_t").alias("_dl"), *[_tf(F.col("_t"), t).alias(f"_tf{i}") for i, t in enumerate(terms)]).drop("_t")
+    counted = lambda df: df.select("*", token_count(text).alias("_dl"), *[term_count(text, t).alias(f"_tf{i}") for i, t in enumerate(terms)])
     stats = counted((corpus if corpus is not None else docs).select(text)).agg(F.count("*").alias("_n"), F.coalesce(F.avg("_dl"), F.lit(0.0)).alias("_avgdl"), *[F.count_if(F.col(f"_tf{i}") > 0).alias(f"_df{i}") for i in range(len(terms))])
     held = counted(docs.select(F.col(doc_id).alias("doc_id"), text)).where(" or ".join(f"_tf{i} > 0" for i in range(len(terms))))
+    held = held.drop(text)
     both = held.crossJoin(F.broadcast(stats))  # one row of statistics
     norm = length_norm(F.col("_dl"), F.col("_avgdl"), b)
     parts = [F.struct(F.lit(t).alias("term"), F.col(f"_tf{i}").cast("bigint").alias("tf"), F.col(f"_df{i}").alias("df"), idf(F.col("_n"), F.col(f"_df{i}")).alias("idf"), (term_score(idf(F.col("_n"), F.col(f"_df{i}")), F.col(f"_tf{i}"), norm, k1) * asked.count(t)).alias("score")) for i, t in enumerate(terms)]
@@ -81,8 +86,8 @@ def score_queries(docs: DataFrame, queries: DataFrame, doc_id: str = "doc_id", t
     split by adaptive execution. Rank limits are applied per query before the final sort.
     """
     asked = queries.select("query_id", F.explode(tokens("query")).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    listed = postings(docs, doc_id, text)
-    wanted = listed.join(asked.select("term").distinct(), "term", "left_semi")
+    # Only tokens that some query asks for are counted and shuffled.
+    wanted = _post(_exploded(docs, doc_id, text).join(asked.select("term").distinct(), "term", "left_semi"))
     dfs = wanted.groupBy("term").agg(F.count("*").alias("df"))
     stats = collection_stats(docs, text)
     scored = asked.join(wanted, "term").join(dfs, "term").crossJoin(F.broadcast(stats))

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from meshwork.functions import vector
 from meshwork.functions.query import STRATEGIES, parse_text
@@ -48,15 +53,54 @@ def knn(vectors: DataFrame, query: Column, k: int, key: str = "doc_id", embeddin
 
 
 def knn_queries(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", embedding: str = "embedding") -> DataFrame:
-    """(query_id, doc_id, score, rank) for a stated, bounded table of queries (query_id, query_vector).
+    """(query_id, doc_id, score, rank) for a stated table of queries (query_id, query_vector).
 
-    The queries are gathered into one row, which is broadcast; each task keeps at most k rows a query through
-    the window's group limit before anything is shuffled.
+    Queries are broadcast in chunks of bounded size; a task multiplies its vectors with a chunk as matrices and
+    keeps its best k of each query, so it sends k rows a query whatever the number of vectors.
     """
-    asked = queries.agg(F.collect_list(F.struct("query_id", vector.as_double("query_vector").alias("q"))).alias("_q"))
-    both = vectors.select(F.col(key).alias("doc_id"), vector.as_double(embedding).alias("_v")).crossJoin(F.broadcast(asked)).select("doc_id", "_v", F.explode("_q").alias("q"))
-    scored = both.select("q.query_id", "doc_id", vector.cosine(F.col("_v"), F.col("q.q")).alias("score"))
-    return fusion.ranked(scored, partition=["query_id"]).where(F.col("rank") <= k)
+    rows = vectors.select(F.col(key).alias("doc_id"), vector.as_double(embedding).alias("v")).where("v is not null")
+    out = None
+    for chunk in _chunks(queries):
+        part = rows.mapInArrow(_best(vectors.sparkSession.sparkContext.broadcast(chunk), k), "query_id bigint, doc_id bigint, score double")
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        out = rows.select(F.col("doc_id").alias("query_id"), "doc_id", F.lit(0.0).alias("score")).limit(0)
+    order = W.partitionBy("query_id").orderBy(F.desc(F.round("score", 12)), "doc_id")
+    return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def _chunks(queries: DataFrame, size: int = 4096) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    held: list = []
+    for row in queries.select(F.col("query_id").cast("bigint"), vector.as_double("query_vector")).toLocalIterator():
+        held.append(row)
+        if len(held) == size:
+            yield np.array([r[0] for r in held]), np.array([r[1] for r in held])
+            held = []
+    if held:
+        yield np.array([r[0] for r in held]), np.array([r[1] for r in held])
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    n = np.sqrt((x * x).sum(axis=1, keepdims=True))
+    return x / np.where(n == 0, 1, n)
+
+
+def _best(sent: Broadcast, k: int) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, q = sent.value
+        q = _unit(q)
+        ids, scores = np.zeros((len(q), 0), np.int64), np.zeros((len(q), 0))
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2048):
+                part = batch.slice(at, 2048)
+                own = np.broadcast_to(part.column(0).to_numpy()[None], (len(q), part.num_rows))
+                sims = np.clip(q @ _unit(np.array(part.column(1).to_pylist(), np.float64)).T, 0.0, 1.0)
+                ids, scores = np.hstack([ids, own]), np.hstack([scores, sims])
+                order = np.lexsort((ids, -np.round(scores, 12)), axis=1)[:, :k]
+                ids, scores = np.take_along_axis(ids, order, 1), np.take_along_axis(scores, order, 1)
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, ids.shape[1])), pa.array(ids.ravel()), pa.array(scores.ravel())], ["query_id", "doc_id", "score"])
+
+    return run
 
 
 def enrich(hits: DataFrame, messages: DataFrame, sources: DataFrame) -> DataFrame:
