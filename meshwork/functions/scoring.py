@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from meshwork.functions.timefn import clamp
+
 # Weights of the components of impact.
 WEIGHTS = {"team_size": 0.25, "time_investment": 0.25, "criticality": 0.20, "velocity": 0.15, "duplicate_effort": 0.15}
 
@@ -54,7 +56,7 @@ def impact(components: dict[str, Column], weights: dict[str, float] | None = Non
     if abs(sum(w.values()) - 1) > 0.01:
         raise ValueError("weights must sum to 1")
     total = sum((components[k] * F.lit(w[k]) for k in WEIGHTS), F.lit(0.0))
-    return rounded(F.greatest(F.lit(0.0), F.least(F.lit(1.0), total)))
+    return rounded(clamp(total))
 
 
 def impact_components(*, teams: Column, participants: Column, evidence: Column, commits: Column, overlap_days: Column, tags: Column, blocked: Column, overlap_ratio: Column) -> dict[str, Column]:

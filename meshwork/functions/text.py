@@ -119,7 +119,7 @@ def _cuts(text: str, size: int, overlap: int, least: int) -> Iterator[str]:
         end = start + size
         if end < len(text):
             tail = end - int(size * 0.2)
-            if (m := sentence.search(text, tail, end)) or (m := space.search(text, max(end - 50, 0), end)):
+            if (m := sentence.search(text, max(tail, start), end)) or (m := space.search(text, max(end - 50, start), end)):
                 end = m.end()
         if len(piece := text[start:end].strip()) >= least:
             yield piece

@@ -15,7 +15,8 @@ def seconds(ts: Column) -> Column:
 
 
 def clamp(x: Column, low: float = 0.0, high: float = 1.0) -> Column:
-    return F.greatest(F.lit(low), F.least(F.lit(high), x))
+    """Within the bounds; null stays null (greatest and least alone would skip it)."""
+    return F.when(x.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), x)))
 
 
 def recency(ts: Column, reference: Column, half_life_days: float | Column = 30.0) -> Column:
@@ -73,4 +74,4 @@ def overlap_days(start1: Column, end1: Column, start2: Column, end2: Column) ->
 
 def parse_iso(text: Column) -> Column:
     """ISO time, with or without Z, in UTC; null if it can't be read."""
-    return F.try_to_timestamp(text)
+    return F.when(F.rlike(text, F.lit(r"^\s*\d{4}-\d{2}-\d{2}")), F.try_to_timestamp(text))

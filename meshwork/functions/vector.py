@@ -19,10 +19,10 @@ def norm(v: Column) -> Column:
 
 
 def cosine(a: Column, b: Column) -> Column:
-    """Cosine clipped to 0 and 1; 0 for a zero vector. Raises for empty or unequally long vectors."""
+    """Cosine clipped to 0 and 1; 0 for a zero vector, null for a null one. Raises for empty or unequally long vectors."""
     lengths = F.when((F.size(a) != F.size(b)) | (F.size(a) == 0), F.raise_error(F.lit("vectors must have one positive length")).cast("double"))
     both = norm(a) * norm(b)
-    return F.coalesce(lengths, F.when(both == 0, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), dot(a, b) / F.nullif(both, F.lit(0.0))))))
+    return F.coalesce(lengths, F.when(both == 0, 0.0).when(both.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), dot(a, b) / F.nullif(both, F.lit(0.0))))))
 
 
 def cosine_distance(a: Column, b: Column) -> Column:

@@ -8,6 +8,8 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from meshwork.functions.timefn import parse_iso
+
 
 @dataclass
 class SearchFilter:
@@ -43,7 +45,7 @@ def filter_results(df: DataFrame, sources: list[str] | None = None, channels: li
 
 def within(df: DataFrame, start: Column, end: Column, timestamp: str = "timestamp") -> DataFrame:
     """Rows from start to end, both included; times that can't be read go."""
-    return df.where(F.try_to_timestamp(F.col(timestamp).cast("string")).between(start, end))
+    return df.where(parse_iso(F.col(timestamp).cast("string")).between(start, end))
 
 
 def recent(df: DataFrame, reference: Column, days: int, timestamp: str = "timestamp") -> DataFrame:

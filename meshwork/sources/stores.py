@@ -23,7 +23,7 @@ VECTORS = T.StructType([T.StructField("message_id", T.LongType(), False), T.Stru
 
 
 class Table:
-    """A versioned Parquet table; the current version's name is in a one-row pointer file."""
+    """A versioned Parquet table; the newest pointer file names the current version."""
 
     def __init__(self, spark: SparkSession, path: str, schema: T.StructType, partition_by: list[str] | None = None) -> None:
         self.spark, self.path, self.schema, self.partition_by = spark, path.rstrip("/"), schema, partition_by or []
@@ -33,12 +33,19 @@ class Table:
         root = jvm.org.apache.hadoop.fs.Path(where)
         return root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
 
-    def exists(self) -> bool:
+    def _pointers(self) -> list[str]:
+        """Names of the pointer files, oldest first: the last one counts."""
         fs, path = self._fs()
-        return fs.exists(path(f"{self.path}/_current"))
+        if not fs.exists(path(self.path)):
+            return []
+        return sorted(n for n in (f.getPath().getName() for f in fs.listStatus(path(self.path))) if n.startswith("CURRENT-"))
+
+    def exists(self) -> bool:
+        return bool(self._pointers())
 
     def _version(self) -> str | None:
-        return self.spark.read.text(f"{self.path}/_current").first()[0] if self.exists() else None
+        found = self._pointers()
+        return self.spark.read.text(f"{self.path}/{found[-1]}").first()[0] if found else None
 
     def read(self) -> DataFrame:
         version = self._version()
@@ -49,13 +56,17 @@ class Table:
         (out.partitionBy(*self.partition_by) if self.partition_by else out).parquet(path)
 
     def _point(self, version: str) -> None:
+        """Add the next pointer by one rename, then forget the older ones."""
         fs, path = self._fs()
+        old = self._pointers()
         made = f"{self.path}/_next-{uuid.uuid4().hex}"
         out = fs.create(path(made), True)
         out.write(bytearray(version.encode()))
         out.close()
-        fs.delete(path(f"{self.path}/_current"), False)
-        fs.rename(path(made), path(f"{self.path}/_current"))
+        number = int(old[-1].split("-")[1]) + 1 if old else 1
+        fs.rename(path(made), path(f"{self.path}/CURRENT-{number:012d}"))
+        for name in old:
+            fs.delete(path(f"{self.path}/{name}"), False)
 
     def create(self) -> bool:
         """False if it is there already."""
