@@ -10,8 +10,8 @@ similarity 0.85 a symbol differs with probability 0.15: with 9 chunks of 5 symbo
 1. Texts of equal sets (count and 128-bit digest) become one representative: the smallest id, by grouped minimum.
 2. Under each key every representative points at the smallest one, so a key of n texts makes n-1 edges; the
    components of these edges hold every pair that shares a key.
-3. Components are cut into blocks of about ``BLOCK`` texts by hash, and each pair of blocks is one unit, which
-   compares all full sets across it exactly and returns a spanning forest of the links it finds.
+3. Components are cut into blocks of about ``BLOCK`` texts by hash. Units of one or two blocks compare all full
+   sets across them exactly and return a spanning forest of the links they find; see ``confirmed``.
 4. Components of these links, joined back to all texts.
 
 Null and empty texts have an empty set and link with nothing. Rows of one id take the component of that id;
@@ -25,7 +25,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meshwork.llm.common import map_arrow, pick, slices, text_bytes
@@ -34,7 +34,7 @@ from meshwork.plans.components import components
 from meshwork.plans.staging import drop, stage
 
 CHUNKS, WIDTH, ERRORS = 9, 5, 1
-BLOCK = 128
+BLOCK, PIVOTS = 128, 16
 U = np.uint64
 _A = mix(np.arange(1, CHUNKS * WIDTH + 1, dtype=U) * U(0xA24BAED4963EE407)) | U(1)
 _B = mix(np.arange(1, CHUNKS * WIDTH + 1, dtype=U) * U(0x9FB21C651E98DF25))
@@ -154,41 +154,83 @@ def forest(pairs: list[tuple[int, int]], ids: list[int]) -> list[tuple[int, int]
     return [(ids[x], ids[find(x)]) for x in range(len(ids)) if find(x) != x]
 
 
-def confirmed(members: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """Spanning edges (a, b) of all links within each cluster; members are (rep, cluster, text)."""
-    size = stage(members.groupBy("cluster").agg(F.count("*").alias("n")), "sizes").select(F.col("cluster").alias("_c"), "n")
-    blocks = F.ceil(F.col("n") / BLOCK)
-    placed = members.join(size, F.col("cluster") == F.col("_c")).withColumn("h", blocks.cast("int")).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("h")).cast("int"))
-    # A member of block i is in the units (i, j) and (j, i) for every block j, written with the smaller first.
-    units = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("h") - 1))).select("cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "text")
-    dealt = units.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "own", "rep")
+def _compared(units: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Spanning edges (a, b) of the links in each unit: rows (cluster, i, j, side, rep, text).
+
+    A unit with both sides compares one with the other, a unit with one side compares all of it.
+    """
+    dealt = units.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "side", "rep")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unit, held = None, []
 
         def close() -> pa.RecordBatch:
             edges = []
-            if unit and len(held) > 1:
-                _, i, j = unit
+            if len(held) > 1:
                 words, at = batch_words([t for _, _, t in held], SPACE_WORDS)
                 sets = [shingle_set(words[a:b], shingle) for a, b in zip(at[:-1], at[1:], strict=True)]
-                a = len(held) if i == j else sum(own == i for own, _, _ in held)
-                if 0 < a and (i == j or a < len(held)):
-                    edges = forest(links_across(sets[:a], None if i == j else sets[a:], percent), [r for _, r, _ in held])
+                left = sum(side == 0 for side, _, _ in held)
+                edges = forest(links_across(sets[:left], sets[left:] or None, percent), [r for _, r, _ in held])
             return pa.RecordBatch.from_arrays([pa.array([x for x, _ in edges], pa.int64()), pa.array([y for _, y in edges], pa.int64())], ["a", "b"])
 
         for part in slices(batches):
             cols = [c.to_pylist() for c in part.columns[:5]]
-            for c, i, j, own, rep, t in zip(*cols, text_bytes(part.column(5)), strict=True):
+            for c, i, j, side, rep, t in zip(*cols, text_bytes(part.column(5)), strict=True):
                 if unit != (c, i, j):
                     yield close()
                     unit, held = (c, i, j), []
-                held.append((own, rep, t))
+                held.append((side, rep, t))
         yield close()
 
     return dealt.mapInArrow(run, "a bigint, b bigint")
 
 
+def _block(n: str, name: str) -> list[Column]:
+    """How many blocks n members make, and the block of a member."""
+    blocks = F.ceil(F.col(n) / BLOCK).cast("int")
+    return [blocks.alias(f"{name}_blocks"), F.pmod(F.xxhash64("rep"), blocks).cast("int").alias(name)]
+
+
+def confirmed(members: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Edges (a, b) that connect what all links within each cluster connect; members are (rep, cluster, text).
+
+    A cluster of up to ``BLOCK`` members is one unit. A larger one is first compared block by block, each block
+    together with the cluster's pivots (about ``PIVOTS`` of its members, by hash), which connects most of a
+    group of near copies with each member read once. Members of one component need no further comparing, so
+    afterwards those outside the cluster's largest component meet all members, block by block.
+    """
+    size = members.groupBy(F.col("cluster").alias("_c")).agg(F.count("*").alias("n"))
+    members = stage(members.join(stage(size, "sizes"), F.col("cluster") == F.col("_c")).select("rep", "cluster", "text", "n"), "members")
+    dealt = members.select("*", *_block("n", "block"))
+    pivot = F.pmod(F.xxhash64("rep", F.lit(7)), F.ceil(F.col("n") / PIVOTS)) == 0
+    everywhere = F.when((F.col("block_blocks") > 1) & pivot, F.sequence(F.lit(0), F.col("block_blocks") - 1)).otherwise(F.array("block"))
+    first = dealt.select("cluster", F.explode(everywhere).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side"), "rep", "text")
+    near = stage(_compared(first, shingle, percent), "near")
+
+    large = members.where(F.col("n") > BLOCK)
+    if large.isEmpty():
+        return near
+    known = stage(components(near, "a", "b"), "known")
+    named = large.join(known, F.col("rep") == F.col("node"), "left").select("rep", "cluster", "text", "n", F.coalesce("component", "rep").alias("own"))
+    named = stage(named, "named")
+    parts = named.groupBy("cluster", "own").agg(F.count("*").alias("k"))
+    main = stage(parts.groupBy(F.col("cluster").alias("_c")).agg(F.max_by("own", F.struct("k", -F.col("own"))).alias("main"), F.max("k").alias("inside")), "mains")
+    placed = named.join(main, F.col("cluster") == F.col("_c")).where(F.col("n") > F.col("inside"))
+    placed = placed.withColumn("outside", F.col("n") - F.col("inside"))
+    blocks = placed.select("cluster", "rep", "text", (F.col("own") == F.col("main")).alias("is_main"), *_block("inside", "x"), *_block("outside", "y"))
+    # Units (i, j): block i from outside the main component against its block j, or, as j = -1 - i', against block i'.
+    up_to = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    unit = lambda i, j, side: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), F.lit(side).alias("side"))
+    of_main = F.transform(up_to("y_blocks"), lambda i: unit(i, F.col("x"), 1))
+    with_main = F.transform(up_to("x_blocks"), lambda j: unit(F.col("y"), j, 0))
+    others = F.filter(up_to("y_blocks"), lambda o: o != F.col("y"))
+    with_others = F.transform(others, lambda o: F.when(F.col("y") < o, unit(F.col("y"), -1 - o, 0)).otherwise(unit(o, -1 - F.col("y"), 1)))
+    own = F.array(unit(F.col("y"), -1 - F.col("y"), 0))
+    exploded = blocks.withColumn("u", F.explode(F.when(F.col("is_main"), of_main).otherwise(F.concat(with_main, with_others, own))))
+    far = _compared(exploded.select("cluster", "u.i", "u.j", "u.side", "rep", "text"), shingle, percent)
+    return near.unionByName(far)
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (smallest id reachable by links), kept.
 

@@ -54,6 +54,7 @@ def near_copies() -> list[str]:
 @pytest.mark.parametrize(("shingle", "percent"), [(3, 85), (5, 80)])
 def test_equals_comparing_all_pairs(spark, monkeypatch, shingle, percent):
     monkeypatch.setattr(minhash_dedup, "BLOCK", 5)  # several blocks to a cluster
+    monkeypatch.setattr(minhash_dedup, "PIVOTS", 2)
     texts = near_copies() + AWKWARD
     found = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash_dedup.near_duplicates(docs(spark, texts), shingle, percent).collect()}
     assert found == plain(texts, shingle, percent)
