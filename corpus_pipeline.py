@@ -14,11 +14,11 @@ from meshwork.llm.common import read
 from meshwork.plans.staging import stage
 
 #: A document stays if one language has at least this share of its words.
-MIN_SCORE = 0.5
+MIN_SCORE = 0.35
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents in one language: texts without letters, and even mixtures, go."""
+    """Keep documents with a leading language: texts without letters, and even mixtures of several, go."""
     found = language_id.identify(docs, language_id.train(docs), into="_found")
     return found.where((F.col("_found.lang_pred") != "und") & (F.col("_found.score") >= MIN_SCORE)).drop("_found")
 

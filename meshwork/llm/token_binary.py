@@ -61,6 +61,15 @@ _MARKS = b".,!?;:%&*$#|)"
 _SPLIT = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([.,!?;:%&*$#|)]*)")
 
 
+def _plain(text: bytes) -> bytes:
+    """ASCII letters in lower case, where that can't change the ids.
+
+    The tokenizer composes marks (U+0300 to U+036F) before it lowers letters, and knows special tokens by case:
+    texts with either stay as they are.
+    """
+    return text if b"\xcc" in text or b"\xcd" in text or b"<|" in text else text.lower()
+
+
 class Encoder:
     """The library's ids of whole texts, by pieces between spaces.
 
@@ -131,7 +140,7 @@ class Encoder:
 
     def ids(self, parts: list[bytes], end: bytes = b"") -> list[bytes]:
         """Ids of each text, and ``end``, as bytes of ``kind``."""
-        split = [x.replace(b"\n", b" ").split(b" ") for x in parts]
+        split = [_plain(x).replace(b"\n", b" ").split(b" ") for x in parts]
         if len(self.kept) > KEPT_WORDS:
             self.before, self.kept = self.kept, {b"": b""}
         fresh = set(chain.from_iterable(split)).difference(self.kept)
