@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meshwork.catalog.registry import MESSAGES, REFERENCE, messages, query, read, reference, vectors
-from meshwork.functions import entities, scoring
+from meshwork.functions import entities, prompts, scoring
 from meshwork.operators import cluster, detect
 from meshwork.operators.validate import validate
 from meshwork.plans.staging import stage
@@ -241,3 +241,27 @@ def detect_scenarios(spark: SparkSession, d: str) -> DataFrame:
     e = stores.embed(m.select(F.col("id").alias("message_id"), "content"), "content", stores.hashing_embedder(256))
     found = detect.detect(m, e, F.lit("2024-06-30 00:00:00").cast("timestamp"), detect.DetectionConfig(similarity_threshold=0.6, min_confidence=0.6))
     return found.select("gap_id", "title", F.array_join("teams_involved", ",").alias("teams"), "impact_score", "impact_tier", "messages_analyzed")
+
+
+@query(f"""WITH {_LM}, {_EVID}, {_OVER} SELECT cluster_id, string_agg('- ' || team || ': ' || CASE WHEN length(content) > 200 THEN content[1:200] || '...' ELSE content END, chr(10) ORDER BY -1.0 / rn, team, timestamp, id) AS evidence,
+  (SELECT array_to_string(teams, ', ') FROM ts WHERE ts.cluster_id = ev.cluster_id) AS teams, (SELECT strftime(s, '%Y-%m-%d') || ' to ' || strftime(e, '%Y-%m-%d') || ' (' || CAST(days AS VARCHAR) || ' days)' FROM best WHERE best.cluster_id = ev.cluster_id) AS timeframe FROM ev GROUP BY cluster_id""")
+def prompt_parts(spark: SparkSession, d: str) -> DataFrame:
+    m = stage(labelled_members(spark, d), "members")
+    teams = detect.team_sets(m)
+    rows = detect.evidence(m, teams).join(teams, "cluster_id").join(detect.team_overlap(detect.timelines(m)), "cluster_id")
+    return rows.select("cluster_id", prompts.format_evidence(F.col("evidence")).alias("evidence"), prompts.format_teams(F.col("teams")).alias("teams"), prompts.format_timeframe(F.col("start"), F.col("end")).alias("timeframe"))
+
+
+@query("""WITH a AS (SELECT event_id, event_id % 3 AS k, (event_id % 15) / 10.0::DOUBLE AS c FROM events) SELECT event_id, k < 2 AND c <= 1 AS known, CASE WHEN k < 2 AND c <= 1 THEN c ELSE -1 END::DOUBLE AS confidence FROM a""")
+def parse_answers(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("event_id")
+    body = F.format_string('{"is_duplicate": true, "confidence": %s, "reasoning": "r", "evidence": ["e"], "overlap_ratio": 0.5}', ((k % 15) / 10).cast("string"))
+    answer = F.when(k % 3 == 0, body).when(k % 3 == 1, F.concat(F.lit("Here:\n```json\n"), body, F.lit("\n```"))).otherwise("no idea")
+    v = prompts.parse_verification(answer)
+    return read(spark, d, "events").select("event_id", v.isNotNull().alias("known"), F.coalesce(v["confidence"], F.lit(-1.0)).alias("confidence"))
+
+
+@query(f"WITH {_COST} SELECT teams, count(*) AS gaps, round(sum(round((impact_score * ev * 1000)::DECIMAL(18,6), 2)::DOUBLE), 1) AS total, round(avg(round((impact_score * ev * 1000)::DECIMAL(18,6), 2)::DOUBLE), 4) AS mean FROM c GROUP BY 1")
+def gap_costs(spark: SparkSession, d: str) -> DataFrame:
+    x = impacts(spark, d).select("teams", scoring.simple_cost(F.col("impact_score"), F.col("ev")).alias("cost"))
+    return x.groupBy("teams").agg(F.count("*").alias("gaps"), F.round(F.sum("cost"), 1).alias("total"), F.round(F.avg("cost"), 4).alias("mean"))
