@@ -34,7 +34,7 @@ from meshwork.plans.components import components
 from meshwork.plans.staging import drop, stage
 
 CHUNKS, WIDTH, ERRORS = 9, 5, 1
-BLOCK, PIVOTS = 128, 16
+BLOCK, PIVOTS = 64, 16
 U = np.uint64
 _A = mix(np.arange(1, CHUNKS * WIDTH + 1, dtype=U) * U(0xA24BAED4963EE407)) | U(1)
 _B = mix(np.arange(1, CHUNKS * WIDTH + 1, dtype=U) * U(0x9FB21C651E98DF25))
