@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from meshwork.functions.text import term_count, token_count, tokens
+from meshwork.functions.text import token_count, tokens
+from meshwork.plans.staging import stage
 
 # Saturation and length weight.
 K1, B = 1.5, 0.75
@@ -54,6 +55,12 @@ def term_score(weight: Column, tf: Column, norm: Column, k1: float = K1) -> Colu
     return F.coalesce(F.try_divide(weight * tf * (k1 + 1), tf + k1 * norm), F.lit(0.0))
 
 
+def _counted(docs: DataFrame, text: str, terms: list[str], *keep: str) -> DataFrame:
+    """Length and the count of each term of every text, from one split."""
+    t = docs.select(*keep, tokens(text).alias("_t"))
+    return t.select(*keep, F.size("_t").alias("_dl"), *[(F.size("_t") - F.size(F.array_remove("_t", term))).alias(f"_tf{i}") for i, term in enumerate(terms)])
+
+
 def score(docs: DataFrame, query: str, doc_id: str = "doc_id", text: str = "text", k1: float = K1, b: float = B, corpus: DataFrame | None = None, explain: bool = False) -> DataFrame:
     """(doc_id, score) of every document that holds a term; repeated query terms count again.
 
@@ -63,10 +70,12 @@ def score(docs: DataFrame, query: str, doc_id: str = "doc_id", text: str = "text
     terms = sorted(set(asked))
     if not terms:
         return docs.select(F.col(doc_id).alias("doc_id"), F.lit(0.0).alias("score")).limit(0)
-    counted = lambda df: df.select("*", token_count(text).alias("_dl"), *[term_count(text, t).alias(f"_tf{i}") for i, t in enumerate(terms)])
-    stats = counted((corpus if corpus is not None else docs).select(text)).agg(F.count("*").alias("_n"), F.coalesce(F.avg("_dl"), F.lit(0.0)).alias("_avgdl"), *[F.count_if(F.col(f"_tf{i}") > 0).alias(f"_df{i}") for i in range(len(terms))])
-    held = counted(docs.select(F.col(doc_id).alias("doc_id"), text)).where(" or ".join(f"_tf{i} > 0" for i in range(len(terms))))
-    held = held.drop(text)
+    # Texts are read once: what is counted of them is staged, and statistics and scores come from the counts.
+    every = corpus if corpus is not None else docs
+    counts = stage(_counted(every, text, terms, *([doc_id] if corpus is None else [])), "counts")
+    held = counts if corpus is None else _counted(docs, text, terms, doc_id)
+    stats = counts.agg(F.count("*").alias("_n"), F.coalesce(F.avg("_dl"), F.lit(0.0)).alias("_avgdl"), *[F.count_if(F.col(f"_tf{i}") > 0).alias(f"_df{i}") for i in range(len(terms))])
+    held = held.withColumnRenamed(doc_id, "doc_id").where(" or ".join(f"_tf{i} > 0" for i in range(len(terms))))
     both = held.crossJoin(F.broadcast(stats))  # one row of statistics
     norm = length_norm(F.col("_dl"), F.col("_avgdl"), b)
     parts = [F.struct(F.lit(t).alias("term"), F.col(f"_tf{i}").cast("bigint").alias("tf"), F.col(f"_df{i}").alias("df"), idf(F.col("_n"), F.col(f"_df{i}")).alias("idf"), (term_score(idf(F.col("_n"), F.col(f"_df{i}")), F.col(f"_tf{i}"), norm, k1) * asked.count(t)).alias("score")) for i, t in enumerate(terms)]
