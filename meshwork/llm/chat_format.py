@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meshwork.llm.common import pick, slices
+from meshwork.llm.common import bound_batches, pick, slices
 
 START, END = "<|im_start|>", "<|im_end|>\n"
 ROLES = {"human": "user", "prompter": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
@@ -127,6 +127,7 @@ def format_records(df: DataFrame, record: str, conv_id: str = "conv_id", turn: s
     Returns one row per turn: conv_id, turn (the record's), part (within the record), the formatted text and
     the loss mask within it. Joined by conv_id, turn, formatted and part they are the training text.
     """
+    bound_batches(df.sparkSession)
     rows = df.select(F.col(conv_id).cast("bigint").alias("conv_id"), (F.col(turn) if turn else F.lit(0)).cast("bigint").alias("turn"), F.col(record).alias("record"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

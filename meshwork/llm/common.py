@@ -17,7 +17,19 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS, size: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+#: Bytes of a batch between the JVM and Python, where the session sets none: rows may hold long texts.
+BATCH_BYTES = 8 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Limit the bytes of Arrow batches; the built-in default limits rows only."""
+    found = spark.conf.get(_BATCH, None)
+    if found is None or not found.isdigit() or int(found) >= 2**31 - 1:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS, size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Cut batches so that a step holds few rows and, single long texts aside, few megabytes."""
     for batch in batches:
         at = 0
@@ -43,18 +55,18 @@ def map_arrow(df: DataFrame, schema: str, step: Callable[[pa.RecordBatch], dict]
 
 def annotate(df: DataFrame, schema: str, step: Callable[[pa.RecordBatch], dict], into: str, **columns: str) -> DataFrame:
     """All rows and columns of ``df`` with the columns of ``step`` as one struct ``into``; no shuffle, no join."""
+    bound_batches(df.sparkSession)
     names = [x.strip().split(" ")[0] for x in schema.split(",")]
-    both = df.select(*[F.col(f"`{c}`") for c in df.columns], *[F.col(f"`{c}`").alias(f"_{k}_in") for k, c in columns.items()])
-    width = len(df.columns)
+    read = [df.columns.index(c) for c in columns.values()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            made = step(pa.RecordBatch.from_arrays(part.columns[width:], list(columns)))
+            made = step(pa.RecordBatch.from_arrays([part.column(i) for i in read], list(columns)))
             made = [x if isinstance(x, pa.Array) else pa.array(x) for x in (made[n] for n in names)]
-            yield pa.RecordBatch.from_arrays([*part.columns[:width], pa.StructArray.from_arrays(made, names)], [*part.schema.names[:width], into])
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.StructArray.from_arrays(made, names)], [*part.schema.names, into])
 
     out = T.StructType([*df.schema.fields, T.StructField(into, T._parse_datatype_string(schema))])
-    return both.mapInArrow(run, out)
+    return df.mapInArrow(run, out)
 
 
 def finish(df: DataFrame, schema: str, step: Callable[[pa.RecordBatch], dict], into: str | None, doc_id: str, text: str) -> DataFrame:
@@ -76,4 +88,5 @@ def texts(column: pa.Array) -> list[str]:
 
 def pick(df: DataFrame, **columns: str) -> DataFrame:
     """Only the named columns, under the operator's own names: others, and clashing names, stay out."""
+    bound_batches(df.sparkSession)
     return df.select(*[F.col(f"`{source}`").alias(name) for name, source in columns.items()])

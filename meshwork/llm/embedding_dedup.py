@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meshwork.llm.common import slices
+from meshwork.llm.common import bound_batches, slices
 from meshwork.plans.components import components
 from meshwork.plans.staging import drop, stage
 
@@ -192,6 +192,7 @@ def _unite(root: np.ndarray, p: np.ndarray, q: np.ndarray, rank: np.ndarray) ->
 def near_vectors(vectors: DataFrame, threshold: float = 0.9, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """Per row: vec_id, n_links, component_id (smallest id reachable by links), kept."""
     spark = vectors.sparkSession
+    bound_batches(spark)
     source = vectors.select(F.col(vec_id).cast("bigint").alias("vec_id"), F.col(embedding).cast("array<double>").alias("v"))
     # Rows get names of their own, once: ids may repeat.
     single = vectors.schema[embedding].dataType.elementType.simpleString() == "float"
