@@ -95,8 +95,8 @@ def score_queries(docs: DataFrame, queries: DataFrame, doc_id: str = "doc_id", t
     split by adaptive execution. Rank limits are applied per query before the final sort.
     """
     asked = queries.select("query_id", F.explode(tokens("query")).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    # Only tokens that some query asks for are counted and shuffled.
-    wanted = _post(_exploded(docs, doc_id, text).join(asked.select("term").distinct(), "term", "left_semi"))
+    # Only tokens that some query asks for are counted and shuffled; what they leave is staged, as it is read twice.
+    wanted = stage(_post(_exploded(docs, doc_id, text).join(asked.select("term").distinct(), "term", "left_semi")), "postings")
     dfs = wanted.groupBy("term").agg(F.count("*").alias("df"))
     stats = collection_stats(docs, text)
     scored = asked.join(wanted, "term").join(dfs, "term").crossJoin(F.broadcast(stats))
