@@ -3,9 +3,9 @@
 Training counts byte trigrams (hashed to a fixed number of slots) of every labelled text, over all rows, by
 language; the model is one smoothed log-probability table per language, of a size that does not depend on the
 data. A document is a mixture: each of its words was written in one language of a set, with unknown
-proportions. Expectation-maximisation estimates the proportions for nested candidate sets, the set with the
-best likelihood less ``penalty`` times half the log of the word count a language wins, and the language with the
-largest proportion is predicted; that proportion is the score.
+proportions. Expectation-maximisation estimates the proportions over all languages and then over nested sets of
+the leading ones; a set grows while its likelihood, less ``penalty`` times half the log of the word count for
+each language, gains. The language with the largest proportion is predicted; that proportion is the score.
 
 Texts that are null or have no letter are ``und`` with score 0, as is everything under a model without
 languages. Labels that are null teach nothing. Rows are independent, so repeated rows get equal results; a tie
@@ -95,7 +95,7 @@ def _em(like: np.ndarray, doc: np.ndarray, starts: np.ndarray, share: np.ndarray
     return share
 
 
-def infer(model: Model, parts: list[bytes], most: int = 3, penalty: float = 4.0) -> tuple[list[str], list[float], list[str]]:
+def infer(model: Model, parts: list[bytes], penalty: float = 4.0) -> tuple[list[str], list[float], list[str]]:
     """Predicted language, its proportion, and the chosen set (by falling proportion) of every text."""
     n, names = len(parts), np.array(model.langs)
     lang, score, chosen = ["und"] * n, [0.0] * n, [""] * n
@@ -119,15 +119,18 @@ def infer(model: Model, parts: list[bytes], most: int = 3, penalty: float = 4.0)
     full = _em(like, doc, starts, np.full((len(docs), len(names)), 1 / len(names)), 12)
     order = np.argsort(-full, axis=1, kind="stable")
     best, best_share = np.full(len(docs), -np.inf), full
-    for k in range(1, min(most, len(names)) + 1):
+    growing = np.ones(len(docs), bool)  # a text's set grows until a language gains it nothing
+    for k in range(1, len(names) + 1):
         mask = np.zeros_like(full)
         np.put_along_axis(mask, order[:, :k], 1.0, axis=1)
         share = full * mask + mask * 1e-9
         share = _em(like, doc, starts, share / share.sum(axis=1, keepdims=True), 6 if k > 1 else 0)
         value = np.add.reduceat(np.log(np.maximum((share[doc] * like).sum(axis=1), 1e-300)), starts) - penalty * k * 0.5 * np.log(count + 1)
-        better = value > best
-        best = np.where(better, value, best)
-        best_share = np.where(better[:, None], share, best_share)
+        growing &= value > best
+        if not growing.any():
+            break
+        best = np.where(growing, value, best)
+        best_share = np.where(growing[:, None], share, best_share)
     lead = best_share.argmax(axis=1)
     for i, d in enumerate(docs.tolist()):
         row = best_share[i]
