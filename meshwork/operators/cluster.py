@@ -87,15 +87,36 @@ def similar_pairs(df: DataFrame, threshold: float, key: str = "id", embedding: s
     return _blocked(_deal(clean, F.lit(n)), "a bigint, b bigint, sim double", pairs)
 
 
+def similar_pairs_lsh(df: DataFrame, threshold: float, key: str = "id", embedding: str = "embedding", tables: int = 24, length: float = 1.0) -> DataFrame:
+    """As ``similar_pairs``, from random projections: work follows the candidates and not the square of the rows.
+
+    What it returns is exact; of the pairs over the threshold it finds most: more ``tables`` find more, at the
+    cost of as many rows a vector; a larger ``length`` of buckets finds more, at the cost of more candidates.
+    """
+    from pyspark.ml.feature import BucketedRandomProjectionLSH
+    from pyspark.ml.functions import array_to_vector
+
+    unit = _rows(df, key, embedding).select(F.col("_id").alias("id"), vector.unit(F.col("_v")).alias("v")).where(vector.norm(F.col("v")) > 0)
+    rows = stage(unit.select("id", array_to_vector("v").alias("x"), "v"), "units")
+    model = BucketedRandomProjectionLSH(inputCol="x", outputCol="h", bucketLength=length, numHashTables=tables, seed=7).fit(rows)
+    reach = (2 - 2 * threshold) ** 0.5 + 1e-9
+    found = model.approxSimilarityJoin(rows, rows, reach, "distance").where("datasetA.id < datasetB.id")
+    sim = vector.dot(F.col("datasetA.v"), F.col("datasetB.v"))
+    return found.select(F.col("datasetA.id").alias("a"), F.col("datasetB.id").alias("b"), sim.alias("sim")).where(F.col("sim") >= threshold)
+
+
 def pairwise(df: DataFrame, key: str = "id", embedding: str = "embedding") -> DataFrame:
     """The similarity matrix as rows (a, b, sim) with a < b, clipped at 0."""
     return similar_pairs(df, -2.0, key, embedding).withColumn("sim", F.greatest(F.lit(0.0), F.col("sim")))
 
 
-def cluster(df: DataFrame, threshold: float = 0.85, min_samples: int = 1, key: str = "id", embedding: str = "embedding") -> DataFrame:
-    """(id, cluster_id): density clusters at cosine distance 1 - threshold; noise has no row."""
+def cluster(df: DataFrame, threshold: float = 0.85, min_samples: int = 1, key: str = "id", embedding: str = "embedding", pairs: Callable[..., DataFrame] = similar_pairs) -> DataFrame:
+    """(id, cluster_id): density clusters at cosine distance 1 - threshold; noise has no row.
+
+    ``pairs`` finds the neighbours: all of them by blocks, or most of them by ``similar_pairs_lsh``.
+    """
     nodes = df.where(F.col(embedding).isNotNull()).select(F.col(key).cast("bigint").alias("id"))
-    pairs = stage(similar_pairs(df, threshold, key, embedding), "pairs")
+    pairs = stage(pairs(df, threshold, key, embedding), "pairs")
     if min_samples <= 1:
         found = components(pairs, "a", "b")
         return nodes.join(found, F.col("id") == F.col("node"), "left").select("id", F.coalesce("component", "id").alias("cluster_id"))

@@ -199,6 +199,20 @@ def test_clusters(spark, monkeypatch, block):
     assert cluster.pairwise(v).count() == 36
 
 
+def test_random_projections_find_most_pairs(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(40, 16))
+    x = np.repeat(centres, 6, axis=0) + rng.normal(size=(240, 16)) * 0.35
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)] + [(900, [0.0] * 16), (901, None)], "id bigint, embedding array<double>")
+    exact = {(r.a, r.b): r.sim for r in cluster.similar_pairs(v, 0.8).collect()}
+    found = {(r.a, r.b): r.sim for r in cluster.similar_pairs_lsh(v, 0.8).collect()}
+    assert set(found) <= set(exact) and len(found) >= 0.9 * len(exact) > 100
+    assert all(found[p] == pytest.approx(exact[p]) for p in found)
+    assert cluster.cluster(v.where("id < 240"), 0.8, pairs=cluster.similar_pairs_lsh).count() == 240
+
+
 @pytest.mark.parametrize("block", [2048, 2])
 def test_cluster_metadata(spark, monkeypatch, block):
     monkeypatch.setattr(cluster, "BLOCK_ROWS", block)
