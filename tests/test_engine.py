@@ -104,3 +104,23 @@ def test_stores_hold_scenarios(spark, tmp_path):
     t = stores.Table(spark, f"file://{tmp_path}/m", stores.MESSAGES, ["channel"])
     t.append(scenarios.messages(spark, ["outage"]))
     assert t.read().where("channel = 'incidents'").count() == 4
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from meshwork.__main__ import main
+
+    root = f"file://{tmp_path}/tables"
+    main(["generate", root, "--scenario", "api_twice", "--scenario", "outage", "--clear"])
+    assert "23 messages" in capsys.readouterr().out
+    main(["generate", root, "--scenario", "api_twice", "--scenario", "outage"])  # again: nothing doubles
+    assert "23 messages" in capsys.readouterr().out
+    main(["search", root, "rolled back", "--strategy", "bm25", "--limit", "3"])
+    assert "Rolled back" in capsys.readouterr().out
+    main(["detect", root, "--threshold", "0.5"])
+    assert "gap_id" in capsys.readouterr().out
+    main(["queries", root, f"{tmp_path}/q", "--count", "24"])
+    (tmp_path / "queries.json").write_text('{"query_id":"a","query_text":"graphql schema"}\n{"query_id":"b","query_text":"checkout outage"}')
+    (tmp_path / "judgments.json").write_text(json.dumps([{"query_id": "a", "document_id": str(i), "relevance": 2} for i in range(1, 19)]))
+    main(["evaluate", root, f"{tmp_path}/queries.json", f"{tmp_path}/judgments.json", "--strategy", "bm25", "--format", "csv"])
+    out = capsys.readouterr().out.splitlines()
+    assert out[0].startswith("strategy,queries") and out[1].startswith("bm25,2,")
