@@ -81,8 +81,8 @@ def pack_histogram(counts: dict[int, int], capacities: Sequence[int] = CAPACITIE
                 put(Bins(m, bins.room - k * s, bins.capacity, (bins.placed, s, k) if k else bins.placed))
         return n - full * each - part
 
-    for s in reversed(sizes):
-        n = left[s]
+    while sizes:
+        s, n = sizes[-1], left[sizes[-1]]
         while n:
             at = bisect.bisect_left(open_, (s, -1))
             if at < len(open_):
