@@ -132,12 +132,12 @@ def fused_run(semantic: DataFrame, keyword: DataFrame, kind: str) -> DataFrame:
 
 @query(f"WITH {BATCH}, {RRF} SELECT query_id, doc_id, round(score, 6) AS score, CAST(coalesce(sr, 0) AS INTEGER) AS semantic_rank, CAST(coalesce(kr, 0) AS INTEGER) AS keyword_rank, CAST(rank AS INTEGER) AS rank FROM rrf_run")
 def rrf_fusion(spark: SparkSession, d: str) -> DataFrame:
-    return fused_run(semantic_run(spark, d), keyword_run(spark, d), "rrf").select("query_id", "doc_id", F.round("score", 6).alias("score"), *[F.expr(r) for r in _RANKS], "rank")
+    return fused_run(semantic_run(spark, d), keyword_run(spark, d), "rrf").select("query_id", "doc_id", F.round("score", 6).alias("score"), *map(F.expr, _RANKS), "rank")
 
 
 @query(f"WITH {BATCH}, {WEIGHTED} SELECT query_id, doc_id, round(score, 6) AS score, CAST(coalesce(sr, 0) AS INTEGER) AS semantic_rank, CAST(coalesce(kr, 0) AS INTEGER) AS keyword_rank, CAST(rank AS INTEGER) AS rank FROM weighted_run")
 def weighted_fusion(spark: SparkSession, d: str) -> DataFrame:
-    return fused_run(semantic_run(spark, d), keyword_run(spark, d), "weighted").select("query_id", "doc_id", F.round("score", 6).alias("score"), *[F.expr(r) for r in _RANKS], "rank")
+    return fused_run(semantic_run(spark, d), keyword_run(spark, d), "weighted").select("query_id", "doc_id", F.round("score", 6).alias("score"), *map(F.expr, _RANKS), "rank")
 
 
 @query("""SELECT user_id, max(value) AS value, arg_max(event_id, struct_pack(v := value, e := -event_id)) AS event_id FROM events GROUP BY user_id""")
@@ -177,7 +177,7 @@ def search_hybrid(spark: SparkSession, d: str) -> DataFrame:
     q = [float(x) for x in v.where("id = 0").select("embedding").first()[0]]
     request = search.SearchRequest(first_words(spark, d), q, threshold=0.1, ranking_strategy="hybrid_rrf")
     found = search.search(request, messages(spark, d), sources(spark, d), v)
-    return found.select("message_id", "source", "channel", F.round("score", 6).alias("score"), *[F.expr(r) for r in _RANKS])
+    return found.select("message_id", "source", "channel", F.round("score", 6).alias("score"), *map(F.expr, _RANKS))
 
 
 @query("SELECT count(*) AS messages, (SELECT count(*) FROM embeddings) AS vectors FROM documents")
