@@ -83,11 +83,12 @@ def silhouette(spark: SparkSession, d: str) -> DataFrame:
     return cluster.silhouette(v, cluster.similar_pairs(v, -2.0)).withColumn("silhouette", F.round("silhouette", 6))
 
 
-@query(f"WITH RECURSIVE {_CLUSTERS}, s AS (SELECT cluster_id, count(*) AS n FROM clusters GROUP BY 1 HAVING count(*) >= 2) SELECT count(*) AS clusters, round(avg(n), 6) AS avg_size, round(sum(n) / 500.0, 6)::DOUBLE AS coverage FROM s")
+@query(f"WITH RECURSIVE {_CLUSTERS}, s AS (SELECT cluster_id, count(*) AS n FROM clusters GROUP BY 1 HAVING count(*) >= 2) SELECT count(*) AS clusters, round(avg(n), 6) AS avg_size, round(sum(n) / (SELECT count(*) FROM v), 6)::DOUBLE AS coverage FROM s")
 def cluster_quality(spark: SparkSession, d: str) -> DataFrame:
-    c = stage(cluster.cluster(vectors(spark, d), THRESHOLD), "clusters")
+    v = vectors(spark, d)
+    c = stage(cluster.cluster(v, THRESHOLD), "clusters")
     big = c.join(c.groupBy("cluster_id").count().where("count >= 2").select("cluster_id"), "cluster_id", "left_semi")
-    return cluster.quality(big, F.lit(500.0)).withColumn("avg_size", F.round("avg_size", 6)).withColumn("coverage", F.round("coverage", 6))
+    return cluster.quality(big, F.lit(float(max(1, v.count())))).withColumn("avg_size", F.round("avg_size", 6)).withColumn("coverage", F.round("coverage", 6))
 
 
 @query(f"WITH RECURSIVE {_CLUSTERS} SELECT cluster_id, count(*) AS size FROM clusters GROUP BY 1 ORDER BY size DESC, cluster_id LIMIT 5")
