@@ -129,7 +129,7 @@ def _covered(spans: list[tuple[int, int]]) -> int:
     return total
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10, chunk_words: int = 2_000_000, into: str | None = None) -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10, chunk_words: int = 200_000, into: str | None = None) -> DataFrame:
     """Per row: doc_id, words, words inside any occurrence of an item's window, items with one, their digest."""
     rows = pick(docs, doc_id=doc_id, text=text)
     chunks = []
