@@ -37,6 +37,8 @@ class DetectionConfig:
     channels: list[str] = field(default_factory=list)
     teams: list[str] = field(default_factory=list)
     include_evidence: bool = True
+    #: Find similar messages by random projections: most pairs, with work that follows the candidates.
+    approximate: bool = False
 
     def __post_init__(self) -> None:
         if not 0 <= self.similarity_threshold <= 1 or not 0 <= self.min_impact <= 1:
@@ -157,7 +159,8 @@ def detect(messages: DataFrame, embeddings: DataFrame, reference: Column, config
         scan = scan.where(F.col(name).isin(wanted)) if wanted else scan
     rows = scan.join(embeddings.select(F.col("message_id").alias("id"), "embedding"), "id").where("embedding is not null")
     rows = stage(with_teams(rows), "messages")
-    members = stage(rows.join(clustering.cluster(rows, config.similarity_threshold), "id"), "members")
+    pairs = clustering.similar_pairs_lsh if config.approximate else clustering.similar_pairs
+    members = stage(rows.join(clustering.cluster(rows, config.similarity_threshold, pairs=pairs), "id"), "members")
     stats = clustering.cluster_metadata(members).where(F.col("size") >= config.min_cluster_size)
     teams = team_sets(members)
     overlap = team_overlap(timelines(members))
