@@ -48,13 +48,10 @@ def _entities(*groups: Column) -> Column:
     return F.coalesce(_first_seen(F.concat(*[g.cast(ENTITY) for g in groups])), F.array().cast(ENTITY))
 
 
-def _word(term: Column) -> Column:
-    """Pattern of a term between word borders."""
-    return F.concat(F.lit(r"\b"), F.regexp_replace(term, "([/.+])", r"\\$1"), F.lit(r"\b"))
-
-
 def _present(words: list[str], lowered: Column) -> Column:
-    return F.filter(F.array(*[F.lit(w) for w in sorted(words)]), lambda w: F.rlike(lowered, _word(w)))
+    """The words a text holds between word borders, in alphabetical order; patterns are constants, compiled once."""
+    found = [F.when(F.contains(lowered, F.lit(w)) & F.rlike(lowered, F.lit(rf"\b\Q{w}\E\b")), F.lit(w)) for w in sorted(words)]
+    return F.array_compact(F.array(*found))
 
 
 def people(text: Column, author: Column, domain: str = "company.com") -> Column:

@@ -73,7 +73,7 @@ def score(docs: DataFrame, query: str, doc_id: str = "doc_id", text: str = "text
     # Texts are read once: what is counted of them is staged, and statistics and scores come from the counts.
     every = corpus if corpus is not None else docs
     counts = stage(_counted(every, text, terms, *([doc_id] if corpus is None else [])), "counts")
-    held = counts if corpus is None else _counted(docs, text, terms, doc_id)
+    held = counts if corpus is None else stage(_counted(docs, text, terms, doc_id), "held")
     stats = counts.agg(F.count("*").alias("_n"), F.coalesce(F.avg("_dl"), F.lit(0.0)).alias("_avgdl"), *[F.count_if(F.col(f"_tf{i}") > 0).alias(f"_df{i}") for i in range(len(terms))])
     held = held.withColumnRenamed(doc_id, "doc_id").where(" or ".join(f"_tf{i} > 0" for i in range(len(terms))))
     both = held.crossJoin(F.broadcast(stats))  # one row of statistics

@@ -129,7 +129,7 @@ def search(request: SearchRequest, messages: DataFrame, sources: DataFrame, vect
     texts = pool.select("id", "content")
 
     def keyword() -> DataFrame:
-        found = bm25.score(texts, request.query, "id", "content", corpus=messages.select("content"))
+        found = bm25.score(texts, request.query, "id", "content", corpus=messages.select("content") if request.prefilter else None)
         return fusion.ranked(bm25.top_k(found.where("score > 0"), n))
 
     def semantic() -> DataFrame:
