@@ -50,7 +50,8 @@ _SPANS = "s AS (SELECT user_id, min(ts) AS a, max(ts) AS b FROM events WHERE eve
 
 
 def _spans(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "events").where("event_id % 40 < 3").groupBy("user_id").agg(F.min("ts").alias("a"), F.max("ts").alias("b"))
+    """First and last event of each user, over all events."""
+    return read(spark, d, "events").groupBy("user_id").agg(F.min("ts").alias("a"), F.max("ts").alias("b"))
 
 
 @query(f"""WITH {_SPANS}, p AS (SELECT x.user_id AS u, y.user_id AS v, (epoch_us(least(x.b, y.b)) - epoch_us(greatest(x.a, y.a))) / 1e6 AS o,
