@@ -2,12 +2,12 @@
 
 Pages become trees of block elements; inline markup dissolves into the text of its block. Parts that HTML itself
 names as something else (navigation, footers, forms, scripts, adverts by class, reader comments, ...) are left
-out. Of what remains, the trees of a host's pages are aligned by simple tree matching and merged into one
-template: a node whose text is the same on at least ``MIN_PAGES`` pages and on ``MIN_SHARE`` of its host's is
-constant, and the rest are slots. Constant nodes are template and go, varying slots are content and stay. A
-host whose pages vary nowhere consists of copies, and loses nothing.
+out. Of what remains, the blocks of a host's pages are aligned by their place in the tree: a block whose text is
+the same at one place on at least ``MIN_PAGES`` pages and on ``MIN_SHARE`` of its host's is constant, whatever the
+other pages have there, and the rest are slots. Constant blocks are template and go, slots are content and stay.
+Copies of a page are one page in these counts, so they are no evidence for each other.
 
-Templates are merged within each task first, so a host sends one row per task however many pages it has.
+Places and texts are counted by sums, exactly; pages of any length and hosts of any size are counted alike.
 
 Null and empty html give an empty text; pages without a host have no template; equal pages give equal rows;
 other columns are ignored; an empty table gives an empty table.
@@ -17,8 +17,8 @@ from __future__ import annotations
 
 import hashlib
 import html as entities
-import json
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from meshwork.llm.common import map_arrow, pick, slices, texts
 from meshwork.plans.staging import stage
 
-MIN_PAGES, MIN_SHARE, WIDE = 3, 0.5, 24
+MIN_PAGES, MIN_SHARE = 3, 0.5
 
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul head noscript template select button".split())
 RAW = frozenset("script style textarea title iframe noembed xmp svg math object canvas video audio".split())
@@ -202,172 +202,74 @@ def _drop_link_lists(node: Node) -> None:
     node.kids = keep
 
 
-# Templates are nested lists: label, pages, digest of the text (null where pages differ), kids.
+# A template is the set of keys of a host's constant blocks: a key is a hash of a block's text and its place.
 
 
-def _digest(text: str) -> str:
-    return hashlib.md5(text.encode("utf-8", "surrogatepass"), usedforsecurity=False).hexdigest()[:16]
-
-
-def shape(node: Node) -> tuple[list, list[Node]]:
-    """Template of one node, and the nodes behind it; neighbours of one label are one repeated node."""
-    if not node.tag:
-        return ["#text", 1, _digest(node.text[0]), []]
-    return [node.label, 1, "", _group([shape(k) for k in node.kids])]
-
-
-def _group(kids: list[list]) -> list[list]:
-    out: list[list] = []
-    for kid in kids:
-        if out and out[-1][0].rstrip("*") == kid[0].rstrip("*"):
-            out[-1] = _repeat(out[-1], kid)
-        else:
-            out.append(kid)
-    if len(out) > WIDE:  # long mixed lists: one repeated node for each label
-        by: dict[str, list] = {}
-        for kid in out:
-            key = kid[0].rstrip("*")
-            by[key] = _repeat(by[key], kid) if key in by else kid
-        out = list(by.values())
-    return out
-
-
-def _repeat(a: list, b: list) -> list:
-    """Two siblings of one label as one repeated node, with the digest of all their text in order."""
-    return [a[0].rstrip("*") + "*", max(a[1], b[1]), _digest(json.dumps([a, b])), []]
-
-
-def align(a: list, b: list) -> tuple[int, list[tuple[int, int]]]:
-    """Simple tree matching of two lists of kids: the size of the best matching, and the pairs in it."""
-    m, n = len(a), len(b)
-    if m == n and all(x[0].rstrip("*") == y[0].rstrip("*") for x, y in zip(a, b, strict=True)):
-        pairs = [(i, i) for i in range(m)]  # equal labels in equal order are a best matching
-        return sum(matched(x, y) for x, y in zip(a, b, strict=True)), pairs
-    w = [[0] * (n + 1) for _ in range(m + 1)]
-    own = [[0] * n for _ in range(m)]
-    for i in range(m):
-        for j in range(n):
-            own[i][j] = matched(a[i], b[j])
-            w[i + 1][j + 1] = max(w[i][j + 1], w[i + 1][j], w[i][j] + own[i][j])
-    pairs, i, j = [], m, n
-    while i and j:
-        if own[i - 1][j - 1] and w[i][j] == w[i - 1][j - 1] + own[i - 1][j - 1]:
-            i, j = i - 1, j - 1
-            pairs.append((i, j))
-        elif w[i][j] == w[i - 1][j]:
-            i -= 1
+def _walk(node: Node, path: str, first: str, rows: list[tuple[str, ...]]) -> None:
+    """Text, path of labels and place of each block; a place counts neighbours of one label from the first."""
+    seen: Counter = Counter()
+    for kid in node.kids:
+        i = seen[kid.label]
+        seen[kid.label] += 1
+        if kid.tag:
+            _walk(kid, f"{path}/{kid.label}", f"{first}/{kid.label}+{i}", rows)
         else:
-            j -= 1
-    return w[m][n], pairs[::-1]
-
-
-def matched(a: list, b: list) -> int:
-    """Simple tree matching: nodes in the largest order-preserving matching of two trees."""
-    if a[0].rstrip("*") != b[0].rstrip("*"):
-        return 0
-    return 1 + (align(a[3], b[3])[0] if a[3] and b[3] else 0)
-
-
-def merge(a: list, b: list) -> list:
-    """Merge two templates of one label; unmatched kids keep their places and counts."""
-    label = a[0] if a[0].endswith("*") else b[0]
-    if a[0] != b[0]:  # repeated on one side only
-        return [label, a[1] + b[1], None, []]
-    kids, i, j = [], 0, 0
-    for x, y in [*align(a[3], b[3])[1], (len(a[3]), len(b[3]))]:
-        kids += a[3][i:x] + b[3][j:y]
-        if x < len(a[3]):
-            kids.append(merge(a[3][x], b[3][y]))
-        i, j = x + 1, y + 1
-    return [label, a[1] + b[1], a[2] if a[2] == b[2] else None, kids if len(kids) <= 2 * WIDE else _group(kids)]
+            rows.append((kid.text[0], path, f"{first}+{i}"))
 
 
-def _slots(t: list) -> Iterator[list]:
-    if t[0] == "#text" or t[0].endswith("*"):
-        yield t
-    for kid in t[3]:
-        yield from _slots(kid)
+def keyed(top: Node) -> list[tuple[str, list[int]]]:
+    """Each block of a page, in page order: its text and its keys, the one of its whole place first."""
+    rows: list[tuple[str, ...]] = []
+    _walk(top, "", "", rows)
+    return [(text, _keys(text, places)) for text, _, *places in rows]
 
 
-def useful(template: list) -> bool:
-    """Whether a host's template has a constant node beside varying ones."""
-    slots = list(_slots(template))
-    return any(constant(s, template[1]) for s in slots) and any(s[2] is None for s in slots)
+def _hash(data: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "big", signed=True)
 
 
-def constant(slot: list, pages: int) -> bool:
-    return slot[2] is not None and slot[1] >= MIN_PAGES and slot[1] >= MIN_SHARE * pages
+def _keys(text: str, places: list[str]) -> list[int]:
+    said = hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+    return [_hash(said + f"{kind}{place}".encode("utf-8", "surrogatepass")) for kind, place in enumerate(places)]
 
 
-def _strip(node: Node, template: list, pages: int, out: list[str]) -> None:
-    """Texts of a page's node that its template doesn't have as constant, in page order."""
-    groups: list[list[Node]] = []
-    for kid in node.kids:
-        if groups and groups[-1][0].label == kid.label:
-            groups[-1].append(kid)
-        else:
-            groups.append([kid])
-    shapes = [shape(g[0]) if len(g) == 1 else _group([shape(k) for k in g])[0] for g in groups]
-    by = {j: template[3][i] for i, j in align(template[3], shapes)[1]} if len(groups) <= WIDE else {}
-    for j, group in enumerate(groups):
-        slot = by.get(j)
-        if slot is not None and constant(slot, pages) and slot[2] == shapes[j][2] and (slot[0] == "#text" or slot[0].endswith("*")):
-            continue
-        for kid in group:
-            if not kid.tag:
-                out.append(kid.text[0])
-            elif slot is not None and slot[3]:
-                _strip(kid, slot, pages, out)
-            else:
-                out += [x.text[0] for x in _leaves(kid)]
-
-
-def extract(page: str, template: list | None = None) -> str:
+def extract(page: str, template: frozenset[int] | None = None) -> str:
     """Main text of one page: its blocks, joined by an empty line."""
     top = candidates(page)
-    if template is None:
+    if not template:
         return "\n\n".join(x.text[0] for x in _leaves(top))
-    out: list[str] = []
-    _strip(top, template, template[1], out)
-    return "\n\n".join(out)
+    return "\n\n".join(text for text, keys in keyed(top) if template.isdisjoint(keys))
 
 
 @lru_cache(maxsize=1024)
-def _load(template: str) -> list:
-    return json.loads(template)
+def _load(template: str) -> frozenset[int]:
+    return frozenset(map(int, template.split(",")))
+
+
+#: The key that every page has once.
+PAGE = 0
 
 
 def induce(pages: DataFrame) -> DataFrame:
-    """(host, template) of every host whose pages share constant nodes beside varying slots."""
+    """(host, template) of every host with constant blocks; hosts are the hashes in column ``host``.
+
+    Pages with equal blocks at equal places are copies, and count as one page of their host. Counts are exact. They are sums by host and key, so a large host is spread like many small ones, and only
+    what is constant meets at its host: at most twice the blocks of a page.
+    """
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[str, list] = {}
         for part in slices(batches):
-            for host, page in zip(part.column(0).to_pylist(), texts(part.column(1)), strict=True):
-                t = shape(candidates(page))
-                found[host] = merge(found[host], t) if host in found else t
-        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array([json.dumps(t) for t in found.values()], pa.string())], ["host", "template"])
-
-    def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple[str, list] | None = None
-        for batch in batches:
-            out = []
-            for host, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                t = json.loads(text)
-                if held and held[0] == host:
-                    held = (host, merge(held[1], t))
-                    continue
-                if held and useful(held[1]):
-                    out.append(held)
-                held = (host, t)
-            yield _rows(out)
-        yield _rows([held] if held and useful(held[1]) else [])
-
-    def _rows(out: list[tuple[str, list]]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([h for h, _ in out], pa.string()), pa.array([json.dumps(t) for _, t in out], pa.string())], ["host", "template"])
-
-    parts = pages.where("host <> '' and html is not null").select("host", "html").mapInArrow(collect, "host string, template string")
-    return parts.repartition("host").sortWithinPartitions("host", "template").mapInArrow(combine, "host string, template string")
+            blocks = [[k for _, k in keyed(candidates(page))] for page in texts(part.column(1))]
+            same = [_hash(repr([k[0] for k in b]).encode()) for b in blocks]
+            keys = [sorted({PAGE}.union(*b)) for b in blocks]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(same, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["host", "page", "keys"])
+
+    found = pages.where("host is not null and html is not null").select("host", "html").mapInArrow(collect, "host bigint, page bigint, keys array<bigint>")
+    counts = found.dropDuplicates(["host", "page"]).select("host", F.explode("keys").alias("key")).groupBy("host", "key").agg(F.count("*").alias("n"))
+    counts = stage(counts.where(F.col("n") >= MIN_PAGES), "blocks")
+    sizes = counts.where(F.col("key") == PAGE).select(F.col("host").alias("_host"), F.col("n").alias("pages"))
+    kept = counts.where(F.col("key") != PAGE).join(sizes, F.col("host") == F.col("_host")).where(F.col("n") >= MIN_SHARE * F.col("pages"))
+    return kept.groupBy("host").agg(F.array_join(F.sort_array(F.collect_list("key")), ",").alias("template"))
 
 
 def extract_pages(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
@@ -377,7 +279,8 @@ def extract_pages(pages: DataFrame, page_id: str = "page_id", url: str = "url",
     beyond it joins by sorting, where adaptive execution splits a hot host.
     """
     rows = pick(pages, page_id=page_id, url=url, html=html)
-    rows = rows.withColumn("host", F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)))
+    host = F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
+    rows = rows.withColumn("host", F.when(host != "", F.xxhash64(host)))
     templates = stage(induce(rows), "templates").withColumnRenamed("host", "_host")
     both = rows.join(templates, F.col("host") == F.col("_host"), "left").select("page_id", "url", "html", "template")
     kind = both.schema["page_id"].dataType.simpleString()
