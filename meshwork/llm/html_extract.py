@@ -21,6 +21,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -205,23 +206,35 @@ def _drop_link_lists(node: Node) -> None:
 # A template is the set of keys of a host's constant blocks: a key is a hash of a block's text and its place.
 
 
-def _walk(node: Node, path: str, first: str, rows: list[tuple[str, ...]]) -> None:
-    """Text, path of labels and place of each block; a place counts neighbours of one label from the first."""
-    seen: Counter = Counter()
+def _walk(node: Node, path: str, first: str, last: str, mixed: tuple[str, str], rows: list[tuple[str, ...]]) -> None:
+    """Text, path of labels and places of each block; places count siblings of one label from the first or the last."""
+    total, seen = Counter(kid.label for kid in node.kids), Counter()
     for kid in node.kids:
         i = seen[kid.label]
         seen[kid.label] += 1
+        j = total[kid.label] - 1 - i
         if kid.tag:
-            _walk(kid, f"{path}/{kid.label}", f"{first}/{kid.label}+{i}", rows)
+            a, b = f"{first}/{kid.label}", f"{last}/{kid.label}"
+            _walk(kid, f"{path}/{kid.label}", f"{a}+{i}", f"{b}-{j}", (f"{a}-{j}", f"{b}+{i}"), rows)
         else:
-            rows.append((kid.text[0], path, f"{first}+{i}"))
+            rows.append((kid.text[0], path, f"{first}+{i}", f"{last}-{j}", f"{mixed[0]}+{i}", f"{mixed[1]}-{j}"))
 
 
 def keyed(top: Node) -> list[tuple[str, list[int]]]:
-    """Each block of a page, in page order: its text and its keys, the one of its whole place first."""
+    """Each block of a page, in page order: its text and its keys, one for each way to tell its place.
+
+    Siblings are told apart from the first on, from the last on, and with the block's own element the other way
+    round; neighbouring blocks with one path of labels also by their distance from either end of their run. So
+    what is constant before, after or between siblings of its own label is found, however many these are.
+    """
     rows: list[tuple[str, ...]] = []
-    _walk(top, "", "", rows)
-    return [(text, _keys(text, places)) for text, _, *places in rows]
+    _walk(top, "", "", "", ("", ""), rows)
+    out = []
+    for _, run in groupby(rows, lambda r: r[1]):
+        own = list(run)
+        for i, (text, path, *places) in enumerate(own):
+            out.append((text, _keys(text, [*places, f"{path}+{i}", f"{path}-{len(own) - 1 - i}"])))
+    return out
 
 
 def _hash(data: bytes) -> int:

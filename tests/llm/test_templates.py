@@ -17,3 +17,17 @@ def test_a_variant_of_the_header_keeps_the_template(spark):
     assert all(got[i] == f"Title {i}" for i in (1, 2, 4, 5, 7, 8))
     few = texts_of(spark, [page.format("My site" if i < 4 else f"Site {i}", i, "2024") for i in range(9)])
     assert few[0] == "My site\n\nTitle 0"  # 4 of 9 pages are under half
+
+
+def test_constant_siblings_of_one_label_go(spark):
+    body = lambda i: "".join(f"<p>Text {i} {k}</p>" for k in range(i % 4 + 1))
+    plain = lambda i: "\n\n".join(f"Text {i} {k}" for k in range(i % 4 + 1))
+    line = "<p>Subscribe to our letter</p>"
+    for page in ("<body>" + line + "{}<p>All rights reserved</p></body>", "<body><div>My site</div><div>{}</div><div>Low</div></body>", "<body><div>{}" + line + "</div><div>{}</div></body>"):
+        got = texts_of(spark, [page.format(*[body(i + 7 * k) for k in range(page.count("{}"))]) for i in range(9)])
+        assert got == ["\n\n".join(plain(i + 7 * k) for k in range(page.count("{}"))) for i in range(9)]
+
+
+def test_a_text_that_recurs_in_the_middle_of_articles_stays(spark):
+    page = lambda i: f"<body><h1>T{i}</h1>" + "".join(f"<p>{'Yes.' if k == 3 + 2 * i else f'{i} {k}'}</p>" for k in range(40 + 5 * i)) + "</body>"
+    assert all("Yes." in t for t in texts_of(spark, [page(i) for i in range(9)]))
