@@ -31,3 +31,10 @@ def test_constant_siblings_of_one_label_go(spark):
 def test_a_text_that_recurs_in_the_middle_of_articles_stays(spark):
     page = lambda i: f"<body><h1>T{i}</h1>" + "".join(f"<p>{'Yes.' if k == 3 + 2 * i else f'{i} {k}'}</p>" for k in range(40 + 5 * i)) + "</body>"
     assert all("Yes." in t for t in texts_of(spark, [page(i) for i in range(9)]))
+
+
+def test_long_lists_of_blocks_are_aligned(spark):
+    part = lambda i, n: "".join(f"<h2>Part {i} {k}</h2><p>Text {i} {k}</p>" for k in range(n))
+    got = texts_of(spark, [f"<body>{part(i, 2 + 9 * (i % 3))}<div class=box>Read our book</div>{part(-i - 1, 13)}</body>" for i in range(9)])
+    assert not any("Read our book" in t for t in got)
+    assert [t.count("Part") for t in got] == [t.count("Text") for t in got] == [2 + 9 * (i % 3) + 13 for i in range(9)]
