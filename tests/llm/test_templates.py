@@ -38,3 +38,9 @@ def test_long_lists_of_blocks_are_aligned(spark):
     got = texts_of(spark, [f"<body>{part(i, 2 + 9 * (i % 3))}<div class=box>Read our book</div>{part(-i - 1, 13)}</body>" for i in range(9)])
     assert not any("Read our book" in t for t in got)
     assert [t.count("Part") for t in got] == [t.count("Text") for t in got] == [2 + 9 * (i % 3) + 13 for i in range(9)]
+
+
+def test_copies_are_no_evidence_for_each_other(spark):
+    post = "<div class=post><p>One story</p><p>told once</p></div>"
+    got = texts_of(spark, [f"<body><h1>Post</h1>{post}</body>"] * 3 + [f"<body><h1>Page {i}</h1><ul><li>Item {i}</ul></body>" for i in range(2)])
+    assert got == ["Post\n\nOne story\n\ntold once"] * 3 + [f"Page {i}\n\nItem {i}" for i in range(2)]
