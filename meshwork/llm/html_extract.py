@@ -39,45 +39,56 @@ OUTSIDE = frozenset("head nav footer aside form dialog menu search noscript temp
 CLASSES = frozenset("nav navbar navigation menu masthead footer sidebar ad ads advert adverts advertisement advertising adslot promo sponsor sponsored cookie cookies consent notice notices alert popup modal newsletter subscribe share sharing social breadcrumb breadcrumbs comment comments respond disqus related recommended widget toolbar pagination pager login signup".split())
 #: These names are left out only outside an article, where they are the page's own.
 OUTER = frozenset("header banner side search".split())
+#: A class or id is such a name alone, or after a word for where it is and before words for what holds it.
+WHERE = frozenset("site page main global top bottom left right primary secondary".split())
+HOLDERS = WHERE | frozenset("area bar block body box btn button buttons col column container content count form group heading icon icons inner item items label link links list outer overlay panel posts row section slot text title toggle unit wrap wrapper".split())
 ROLES = frozenset("navigation contentinfo complementary search form dialog alert alertdialog menu menubar banner".split())
+#: Articles of these names are none.
+TEASERS = frozenset("comment comments ad ads related promo".split())
 KEPT = frozenset("html body article main h1 h2 h3 h4 h5 h6 p".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 STOPS = frozenset("ul ol dl table tbody thead tfoot div section article body".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>|[^>]*+>)|<[!?][^>]*+>|<[/a-zA-Z!?][^>]*+\Z", re.S)
-_ATTR = re.compile(r"""(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
+#: Names of attributes are read whole, so that neither other names nor words of values count.
+_ATTR = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
 class Node:
-    __slots__ = ("kids", "label", "links", "tag", "text")
+    __slots__ = ("doubt", "kids", "label", "links", "tag", "text")
 
     def __init__(self, tag: str, label: str) -> None:
         self.tag, self.label, self.kids = tag, label, []
         self.text: list[str] = []  # of the run of text that is open; closed runs are kids without a tag
         self.links = 0
+        self.doubt = False  # whether its names alone say that it is outside any article
+
+
+def _named(value: str, wanted: frozenset[str]) -> bool:
+    """Whether a class or id holds one of the wanted names as a whole token."""
+    for token in value.split():
+        parts = [x.lower() for x in _NAME.findall(token)]
+        while parts and parts[0] in WHERE:
+            parts = parts[1:]
+        if parts and parts[0] in wanted and all(x in HOLDERS or x in CLASSES or x in OUTER for x in parts[1:]):
+            return True
+    return False
 
 
 @lru_cache(maxsize=4096)
-def _attributes(tag: str, raw: str) -> tuple[str, bool, bool]:
-    """Label of an element, whether it is outside any article, and whether it is so unless inside one."""
-    names, role, hidden = [], "", False
+def _attributes(tag: str, raw: str) -> tuple[str, bool, bool, bool, bool]:
+    """Label of an element, whether it is outside any article, or so unless inside one; both by HTML, and by names alone."""
+    held: dict[str, str] = {}
     for m in _ATTR.finditer(raw):
-        key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-        if key in ("class", "id"):
-            names += [x.lower() for x in _NAME.findall(value)]
-        elif key == "role":
-            role = value.lower()
-        elif key == "hidden" or key == "aria-hidden" and value.lower() == "true":
-            hidden = True
-        elif key == "style":
-            hidden |= "display:none" in value.replace(" ", "").lower()
-    found = set(names)
+        held.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+    names = [x.lower() for key in held if key in ("class", "id") for x in _NAME.findall(held[key])]
+    label, said = f"{tag}.{'.'.join(names)}", f"{held.get('class', '')} {held.get('id', '')}"
+    role = held.get("role", "").lower()
+    hidden = "hidden" in held or held.get("aria-hidden", "").lower() == "true" or "display:none" in held.get("style", "").replace(" ", "").lower()
     if tag in KEPT:
-        out = hidden or bool(tag == "article" and found & {"comment", "comments", "ad", "ads", "related", "promo"})
-        return f"{tag}.{'.'.join(names)}", out, False
-    out = tag in OUTSIDE or hidden or bool(found & CLASSES) or role in ROLES - {"banner"}
-    return f"{tag}.{'.'.join(names)}", out, tag == "header" or bool(found & OUTER) or role == "banner"
+        return label, hidden, False, tag == "article" and _named(said, TEASERS), False
+    return label, tag in OUTSIDE or hidden or role in ROLES - {"banner"}, tag == "header" or role == "banner", _named(said, CLASSES), _named(said, OUTER)
 
 
 def _close_run(node: Node) -> None:
@@ -146,12 +157,13 @@ def parse(page: str) -> Node:
             _close_run(stack[-1])
         if tag == "hr":
             continue
-        label, out, outer = _attributes(tag, m[3])
+        label, out, outer, named, named_outer = _attributes(tag, m[3])
         if skip or out or outer and not depth:
             stack.append(Node(tag, None))
             skip += 1
             continue
         node = Node(tag, label)
+        node.doubt = named or named_outer and not depth
         depth += tag in ("article", "main")
         stack[-1].kids.append(node)
         stack.append(node)
@@ -159,9 +171,33 @@ def parse(page: str) -> Node:
         stack[-1].text.append(page[at:])
     while stack:
         _close_run(stack.pop())
+    _drop_named(root)
     return root
 
 
+def _drop_named(root: Node) -> None:
+    """Leave out what only its names call outside, unless it holds most of the page's text or its only article."""
+    if not _doubted(root):
+        return
+    half = sum(len(x.text[0]) for x in _leaves(root)) / 2
+    alone = not any(True for _ in _articles(root, sure=True))
+
+    def clear(node: Node) -> None:
+        keep = []
+        for kid in node.kids:
+            if kid.doubt and sum(len(x.text[0]) for x in _leaves(kid)) <= half and not (alone and kid.tag != "article" and len(list(_articles(kid, sure=True))) == 1):
+                continue
+            clear(kid)
+            keep.append(kid)
+        node.kids = keep
+
+    clear(root)
+
+
+def _doubted(node: Node) -> bool:
+    return node.doubt or any(_doubted(kid) for kid in node.kids)
+
+
 def _leaves(node: Node) -> Iterator[Node]:
     for kid in node.kids:
         if kid.tag:
@@ -170,13 +206,15 @@ def _leaves(node: Node) -> Iterator[Node]:
             yield kid
 
 
-def _articles(node: Node) -> Iterator[Node]:
+def _articles(node: Node, sure: bool = False) -> Iterator[Node]:
     for kid in node.kids:
+        if sure and kid.doubt:
+            continue
         if kid.tag in ("article", "main"):
             if any(True for _ in _leaves(kid)):
                 yield kid
         elif kid.tag:
-            yield from _articles(kid)
+            yield from _articles(kid, sure)
 
 
 def candidates(page: str) -> Node:

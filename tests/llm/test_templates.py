@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pytest
+
 from meshwork.llm import html_extract
 
 
@@ -44,3 +46,18 @@ def test_copies_are_no_evidence_for_each_other(spark):
     post = "<div class=post><p>One story</p><p>told once</p></div>"
     got = texts_of(spark, [f"<body><h1>Post</h1>{post}</body>"] * 3 + [f"<body><h1>Page {i}</h1><ul><li>Item {i}</ul></body>" for i in range(2)])
     assert got == ["Post\n\nOne story\n\ntold once"] * 3 + [f"Page {i}\n\nItem {i}" for i in range(2)]
+
+
+@pytest.mark.parametrize("mark", ['data-slug="hidden-gems"', 'title="The hidden cost"', 'data-hidden="false"', 'data-testid="comments"', 'class="content has-sidebar"', 'id="post-share-enabled"', "data-class=ad", 'data-x="a id=comments b"', 'class="social-history"', 'class="widget"', 'class="comments main-content"'])
+@pytest.mark.parametrize("tag", ["article", "div", "p"])
+def test_parts_of_attributes_hide_nothing(tag, mark):
+    assert html_extract.extract(f"<body><h1>Head</h1><{tag} {mark}>The whole story, told at length</{tag}><div>End</div></body>").count("story") == 1
+
+
+def test_names_hide_whole_tokens_beside_the_text():
+    story = "<p>The whole story, told at length</p>" * 3
+    for mark in ("class=ad", 'class="x cookie-notice"', "id=sidebar", "class=share_buttons", 'class="site-footer"', "class=newsletterBox", "hidden", "aria-hidden=true", "style='display: none'"):
+        assert "Buy" not in html_extract.extract(f"<body><div {mark}>Buy</div>{story}</body>")
+    assert html_extract.extract(f"<body><div class=widget><article>Short</article></div><div>{story}</div></body>") == "Short"
+    assert "Teaser" not in html_extract.extract(f"<body><div class=related><article>Teaser</article></div><article>{story}</article></body>")
+    assert "First!" not in html_extract.extract(f"<body><article>{story}<article class=comment>First!</article></article></body>")
