@@ -24,10 +24,16 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the smallest id of each group of texts that share 0.8 of their five-word shingles; repeated rows once."""
-    found = minhash_dedup.near_duplicates(docs, shingle=5, percent=80)
+    """Keep the smallest id of each group of texts that share 0.8 of their five-word shingles; repeated rows once.
+
+    Rows without an id take part under a number made from their text, above all usual ids: they go where a row with
+    an id says the same, and stay otherwise.
+    """
+    number = F.lit(1 << 62) + F.xxhash64("text").bitwiseAND(F.lit((1 << 62) - 1))
+    rows = docs.withColumn("_row", F.coalesce(F.col("doc_id").cast("bigint"), number))
+    found = minhash_dedup.near_duplicates(rows, shingle=5, percent=80, doc_id="_row")
     kept = found.where("kept").select(F.col("doc_id").alias("_kept"))
-    return docs.join(kept, F.col("doc_id") == F.col("_kept"), "left_semi").dropDuplicates(["doc_id", "text"])
+    return rows.join(kept, F.col("_row") == F.col("_kept"), "left_semi").dropDuplicates(["_row", "text"]).drop("_row")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
