@@ -9,13 +9,17 @@ candidate is verified in double precision. A pair counts in the first subspace w
 links are counted without emitting pairs, and a task returns a count for each of its vectors and a spanning
 forest of its links.
 
-Rotation and pivots come from a sample (``SAMPLE`` vectors by hash order); they steer only the work, never the
-result. Cells with many vectors are dealt over several tasks: a cell of h parts of its own vectors and s parts
-of the others becomes h * s units of bounded size, from exact counts of one row a cell and part.
+Exact copies of a vector are one representative with a weight before anything is compared, so a group of copies
+costs one vector. Vectors of different length have no cosine; each length is joined by itself, with an index of
+its own where it has more than ``CELL`` different vectors, and as one cell otherwise.
 
-Vectors that are null, zero, or hold null or non-finite components link with nothing, as do vectors of
-any but the most frequent length. Rows of one id count as separate vectors of one component; other columns are ignored; an empty
-table gives an empty table.
+Rotation and pivots come from a sample (about ``SAMPLE`` vectors of each large length, by hash); they steer only
+the work, never the result. Cells with many vectors are dealt over several tasks: a cell of h parts of its own
+vectors and s parts of the others becomes h * s units of bounded size, from exact counts.
+
+Vectors that are null, empty, zero, or hold null or non-finite components link with nothing. Rows of one id count
+as separate vectors of one component. Rows without an id take part; a component is named by its smallest id, and
+has none if no row of it has one. Other columns are ignored; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -25,6 +29,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +38,8 @@ from meshwork.plans.components import components
 from meshwork.plans.staging import drop, stage
 
 BLOCKS, SAMPLE, CELL, UNIT = 4, 4096, 8192, 16384
+#: Most pivots of a subspace, and the length up to which a unit may hold CELL and UNIT vectors; longer ones get fewer.
+PIVOTS, LENGTH = 1024, 128
 SLACK = 1e-6  # on budgets while searching; what is found is decided exactly
 
 
@@ -44,6 +51,11 @@ class Index:
     pivots: list[np.ndarray]
 
 
+def whole(dim: int, total: float) -> Index:
+    """The index of few vectors: one subspace, one cell."""
+    return Index(np.eye(dim), [(0, dim)], np.array([total]), [np.zeros((1, dim))])
+
+
 def fit(sample: np.ndarray, total: float, cells: int) -> Index:
     """Axes by falling variance, dealt in turn to the subspaces; pivots are spread over the sample."""
     dim = sample.shape[1]
@@ -77,31 +89,19 @@ def _nearest(x: np.ndarray, centre: np.ndarray) -> np.ndarray:
     return ((centre**2).sum(axis=1)[None] - 2 * x @ centre.T).argmin(axis=1)
 
 
-def assign(index: Index, unit: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """For each subspace: (k, rows, cells, whether it is the row's own cell)."""
+def assign(index: Index, unit: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each subspace: (k, whether a cell is sent a row, the row's own cell)."""
     turned = unit @ index.rotation
     for k, (a, b) in enumerate(index.cuts):
         x, centre = turned[:, a:b], index.pivots[k]
-        far = ((x[:, None, :] - centre[None]) ** 2).sum(axis=2)
+        square = (centre**2).sum(axis=1)
+        far = (x**2).sum(axis=1)[:, None] + square[None] - 2 * x @ centre.T
         own = far.argmin(axis=1)
-        between = np.sqrt(((centre[own][:, None, :] - centre[None]) ** 2).sum(axis=2))
+        between = np.sqrt(np.maximum(square[:, None] + square[None] - 2 * centre @ centre.T, 0))[own]
         reach = np.sqrt(index.budget[k] * (1 + SLACK)) + 1e-9
-        near = far - far[np.arange(len(x)), own][:, None] <= 2 * between * reach + 1e-12
+        near = far - far[np.arange(len(x)), own][:, None] <= 2 * between * reach + 1e-9
         near[np.arange(len(x)), own] = True
-        rows, cells = np.nonzero(near)
-        yield k, rows, cells, own[rows] == cells
-
-
-def valid(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Rows whose vector counts, and those vectors in double precision; they must share one length."""
-    rows, found = [], []
-    for i, v in enumerate(column.to_pylist()):
-        if v and None not in v:
-            x = np.array(v, np.float64)
-            if np.isfinite(x).all() and x.any():
-                rows.append(i)
-                found.append(x)
-    return np.array(rows, np.int64), unit_rows(np.stack(found)) if found else np.zeros((0, 0))
+        yield k, near, own
 
 
 def unit_rows(x: np.ndarray) -> np.ndarray:
@@ -133,22 +133,26 @@ def _candidates(own: np.ndarray, others: np.ndarray, first: np.ndarray, reach: f
 class Task:
     """Range join of one unit: ``own`` vectors of a cell with all vectors the unit was sent."""
 
-    def __init__(self, index: Index, threshold: float) -> None:
-        self.index, self.threshold = index, threshold
+    def __init__(self, fitted: dict[int, Index], threshold: float) -> None:
+        self.fitted, self.threshold = fitted, threshold
+
+    def index(self, dim: int) -> Index:
+        return self.fitted.get(dim) or whole(dim, 2 - 2 * self.threshold)
 
-    def join(self, k: int, rows: np.ndarray, ids: np.ndarray, vectors: np.ndarray, own: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int]]]:
-        """Links counted here for each vector; spanning edges (id, smallest id). ``rows`` tell vectors apart.
+    def join(self, k: int, rows: np.ndarray, weight: np.ndarray, vectors: np.ndarray, own: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int]]]:
+        """Links counted here for each vector; spanning edges (row, smallest row).
 
-        A pair is taken where the vector of the smaller row is at home, and counts for both.
+        A pair is taken where the vector of the smaller row is at home, and counts for both, with the other's weight.
         """
-        turned = vectors @ self.index.rotation
-        a, b = self.index.cuts[k]
+        index = self.index(vectors.shape[1])
+        turned = vectors @ index.rotation
+        a, b = index.cuts[k]
         order = np.argsort(rows, kind="stable")
-        first, second, counts = order[own[order]], order[other[order]], np.zeros(len(ids), np.int64)
+        first, second, counts = order[own[order]], order[other[order]], np.zeros(len(rows), np.int64)
         later = np.searchsorted(rows[second], rows[first], side="right")
-        root = np.arange(len(ids))
-        rank = np.argsort(np.argsort(ids, kind="stable"), kind="stable")
-        for p, q in _candidates(turned[first, a:b], turned[second, a:b], later, float(self.index.budget[k]) * (1 + SLACK)):
+        root = np.arange(len(rows))
+        rank = np.argsort(order, kind="stable")
+        for p, q in _candidates(turned[first, a:b], turned[second, a:b], later, float(index.budget[k]) * (1 + SLACK)):
             p, q = first[p], second[q]
             keep = rows[p] < rows[q]
             p, q = p[keep], q[keep]
@@ -157,14 +161,14 @@ class Task:
             if not len(p):
                 continue
             gap = (turned[p] - turned[q]) ** 2
-            within = np.stack([gap[:, s:e].sum(axis=1) <= self.index.budget[m] for m, (s, e) in enumerate(self.index.cuts)], axis=1)
+            parts = np.stack([gap[:, s:e].sum(axis=1) / index.budget[m] for m, (s, e) in enumerate(index.cuts)], axis=1)
             # Rounding may leave a pair at the very edge of all budgets: it then belongs to the relatively closest.
-            owner = np.where(within.any(axis=1), within.argmax(axis=1), np.stack([gap[:, s:e].sum(axis=1) / self.index.budget[m] for m, (s, e) in enumerate(self.index.cuts)], axis=1).argmin(axis=1))
-            np.add.at(counts, p[owner == k], 1)
-            np.add.at(counts, q[owner == k], 1)
+            owner = np.where((parts <= 1).any(axis=1), (parts <= 1).argmax(axis=1), parts.argmin(axis=1))
+            np.add.at(counts, p[owner == k], weight[q[owner == k]])
+            np.add.at(counts, q[owner == k], weight[p[owner == k]])
             _unite(root, p, q, rank)
         top = _flatten(root)
-        edges = [(int(ids[x]), int(ids[top[x]])) for x in np.flatnonzero(top != np.arange(len(top)))]
+        edges = [(int(rows[x]), int(rows[top[x]])) for x in np.flatnonzero(top != np.arange(len(top)))]
         return counts, edges
 
 
@@ -189,48 +193,71 @@ def _unite(root: np.ndarray, p: np.ndarray, q: np.ndarray, rank: np.ndarray) ->
         root[high[order]] = low[order]  # the last written, of the smallest rank, stays
 
 
+def _indexes(reps: DataFrame, threshold: float) -> dict[int, Index]:
+    """An index for each length of more than ``CELL`` vectors: that is at most one row a ``CELL`` to the driver."""
+    large = reps.groupBy("d").count().where(F.col("count") > CELL).collect()
+    if not large:
+        return {}
+    sizes = reps.sparkSession.createDataFrame([(r.d, r["count"]) for r in large], "_d int, _n bigint")
+    most = max(256, SAMPLE // len(large))
+    drawn = reps.join(F.broadcast(sizes), F.col("d") == F.col("_d")).where(F.pmod(F.xxhash64("v", F.lit(3)), F.ceil(F.col("_n") / most)) == 0)
+    held: dict[int, list[np.ndarray]] = {}
+    for batch in drawn.select("d", "v").toArrow().to_batches():
+        for d, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            held.setdefault(d, []).append(np.array(v, np.float64))
+    cells = {r.d: int(min(PIVOTS, max(2, -(-r["count"] // CELL)))) for r in large}
+    return {d: fit(unit_rows(np.stack(x)), 2 - 2 * threshold, cells[d]) for d, x in held.items()}
+
+
 def near_vectors(vectors: DataFrame, threshold: float = 0.9, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """Per row: vec_id, n_links, component_id (smallest id reachable by links), kept."""
     spark = vectors.sparkSession
     bound_batches(spark)
-    source = vectors.select(F.col(vec_id).cast("bigint").alias("vec_id"), F.col(embedding).cast("array<double>").alias("v"))
+    element = "float" if vectors.schema[embedding].dataType.elementType.simpleString() == "float" else "double"
+    kind = "<f4" if element == "float" else "<f8"  # what vectors travel as
+    source = vectors.select(F.col(f"`{vec_id}`").cast("bigint").alias("vec_id"), F.col(f"`{embedding}`").cast(f"array<{element}>").alias("v"))
+    finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
+    usable = F.forall("v", finite) & F.exists("v", lambda x: x != 0)
     # Rows get names of their own, once: ids may repeat.
-    single = vectors.schema[embedding].dataType.elementType.simpleString() == "float"
-    kind = "<f4" if single else "<f8"  # what vectors travel as
-    keyed = stage(source.withColumn("row", F.monotonically_increasing_id()), "vectors")
-    sample = keyed.where("v is not null").orderBy(F.xxhash64("vec_id"), "row").limit(SAMPLE).select("v").toArrow()
-    _, fitted = _common(sample.column(0).combine_chunks() if sample.num_rows else pa.array([], pa.list_(pa.float64())))
-    if not len(fitted):
-        return keyed.select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id")).withColumn("kept", F.lit(True))
-    dim = fitted.shape[1]
-    cells = int(min(256, max(2, -(-keyed.count() // CELL))))
-    index = fit(fitted, 2 - 2 * threshold, cells)
-    sent = spark.sparkContext.broadcast(Task(index, threshold))
+    keyed = stage(source.select("vec_id", F.when(usable, F.col("v")).alias("v")).withColumn("row", F.monotonically_increasing_id()), "vectors")
+    reps = stage(keyed.where("v is not null").groupBy("v").agg(F.min("row").alias("row"), F.count("*").alias("m"), F.min("vec_id").alias("least")).withColumn("d", F.size("v")), "copies")
+    sent = spark.sparkContext.broadcast(Task(_indexes(reps, threshold), threshold))
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[tuple[int, int], np.ndarray] = {}
+        for part in slices(batches, rows=1024):
+            for d, (_, unit) in _lists(part.column(0)).items():
+                for k, near, own in assign(sent.value.index(d), unit):
+                    got = np.stack([np.bincount(own, minlength=near.shape[1]), near.sum(axis=0)])
+                    total[d, k] = total[d, k] + got if (d, k) in total else got
+        for (d, k), (mine, n) in total.items():
+            some = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), x), pa.int32()) for x in (d, k)] + [pa.array(some, pa.int32()), pa.array(mine[some], pa.int64()), pa.array(n[some], pa.int64())], ["_d", "_k", "_c", "mine", "n"])
 
     def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, rows=1024):
-            at, unit = _length(part.column(2), dim)
-            if not len(at):
-                continue
-            row, ident = part.column(0).to_numpy()[at], part.column(1).to_numpy(zero_copy_only=False)[at]
-            raw = np.array(part.column(2).take(pa.array(at)).to_pylist(), kind)
-            packed = np.array([x.tobytes() for x in raw], object)
-            for k, rows, found, own in assign(sent.value.index, unit):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), k), pa.int32()), pa.array(found, pa.int32()), pa.array(own), pa.array(row[rows]), pa.array(ident[rows], pa.int64()), pa.array(packed[rows], pa.binary())], ["k", "cell", "own", "row", "vec_id", "v"])
-
-    filed = keyed.where("v is not null and vec_id is not null").select("row", "vec_id", "v").mapInArrow(file, "k int, cell int, own boolean, row bigint, vec_id bigint, v binary")
-    counts = {(r.k, r.cell): (r.mine, r.n) for r in filed.groupBy("k", "cell").agg(F.sum(F.col("own").cast("bigint")).alias("mine"), F.count("*").alias("n")).collect()}
-    # As many entries as subspaces times pivots.
-    parts = spark.createDataFrame([(k, c, -(-mine // CELL) or 1, -(-n // UNIT)) for (k, c), (mine, n) in counts.items()], "_k int, _c int, h int, s int") if counts else spark.createDataFrame([], "_k int, _c int, h int, s int")
-    dealt = filed.join(F.broadcast(parts), (F.col("k") == F.col("_k")) & (F.col("cell") == F.col("_c")))
+            row, weight = part.column(1).to_numpy(), part.column(2).to_numpy()
+            for d, (at, unit) in _lists(part.column(0)).items():
+                packed = np.array([np.array(x, kind).tobytes() for x in part.column(0).take(pa.array(at)).to_pylist()], object)
+                for k, near, own in assign(sent.value.index(d), unit):
+                    rows, cells = np.nonzero(near)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), x), pa.int32()) for x in (d, k)] + [pa.array(cells, pa.int32()), pa.array(own[rows] == cells), pa.array(row[at][rows]), pa.array(weight[at][rows]), pa.array(packed[rows], pa.binary())], ["d", "k", "cell", "own", "row", "m", "v"])
+
+    counts = reps.select("v").mapInArrow(tally, "_d int, _k int, _c int, mine bigint, n bigint").groupBy("_d", "_k", "_c").agg(F.sum("mine").alias("mine"), F.sum("n").alias("n"))
+    share = F.lit(LENGTH) / F.greatest(F.lit(LENGTH), F.col("_d"))
+    # A row for each cell of each length.
+    parts = stage(counts.select("_d", "_k", "_c", F.greatest(F.lit(1), F.ceil(F.col("mine") / (CELL * share))).cast("int").alias("h"), F.ceil(F.col("n") / (UNIT * share)).cast("int").alias("s")), "cells")
+    filed = reps.select("v", "row", "m").mapInArrow(file, "d int, k int, cell int, own boolean, row bigint, m bigint, v binary")
+    dealt = filed.join(parts, (F.col("d") == F.col("_d")) & (F.col("k") == F.col("_k")) & (F.col("cell") == F.col("_c")))
     salt = F.xxhash64("row")
     mine, rest = F.pmod(salt, F.col("h")).cast("int"), F.pmod(F.xxhash64("row", F.lit(1)), F.col("s")).cast("int")
     # Each vector is in part ``rest`` of the others for all parts of own vectors, and an own vector also in its
     # own part for all parts of the others: once where both meet.
     as_other = F.transform(F.sequence(F.lit(0), F.col("h") - 1), lambda i: F.struct(i.cast("int").alias("i"), rest.alias("j"), (F.col("own") & (i == mine)).alias("mine"), F.lit(True).alias("other")))
     as_own = F.when(F.col("own"), F.transform(F.filter(F.sequence(F.lit(0), F.col("s") - 1), lambda j: j != rest), lambda j: F.struct(mine.alias("i"), j.cast("int").alias("j"), F.lit(True).alias("mine"), F.lit(False).alias("other")))).otherwise(F.expr("cast(array() as array<struct<i:int,j:int,mine:boolean,other:boolean>>)"))
-    units = dealt.withColumn("u", F.explode(F.concat(as_other, as_own))).select("k", "cell", "u.i", "u.j", "u.mine", "u.other", "row", "vec_id", "v")
-    grouped = units.repartition("k", "cell", "i", "j").sortWithinPartitions("k", "cell", "i", "j")
+    units = dealt.withColumn("u", F.explode(F.concat(as_other, as_own))).select("d", "k", "cell", "u.i", "u.j", "u.mine", "u.other", "row", "m", "v")
+    unit_key = ("d", "k", "cell", "i", "j")
+    grouped = units.repartition(*unit_key).sortWithinPartitions(*unit_key)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unit, held = None, []
@@ -238,10 +265,8 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, vec_id: str = "vec_
         def close() -> Iterator[pa.RecordBatch]:
             if unit is None:
                 return
-            k = unit[0]
-            mine, other, rows, ids = (np.concatenate([h[x] for h in held]) for x in range(4))
-            x = np.concatenate([h[4] for h in held])
-            counts, edges = sent.value.join(k, rows, ids, x, mine, other)
+            mine, other, rows, weight, x = (np.concatenate([h[c] for h in held]) for c in range(5))
+            counts, edges = sent.value.join(unit[1], rows, weight, x, mine, other)
             some = np.flatnonzero(counts)
             yield pa.RecordBatch.from_arrays([pa.array(rows[some]), pa.array(counts[some]), pa.nulls(len(some), pa.int64()), pa.nulls(len(some), pa.int64())], ["row", "n", "a", "b"])
             yield pa.RecordBatch.from_arrays([pa.nulls(len(edges), pa.int64()), pa.nulls(len(edges), pa.int64()), pa.array([e[0] for e in edges], pa.int64()), pa.array([e[1] for e in edges], pa.int64())], ["row", "n", "a", "b"])
@@ -249,7 +274,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, vec_id: str = "vec_
         for batch in batches:
             if not batch.num_rows:
                 continue
-            key = np.stack([batch.column(i).to_numpy() for i in range(4)], axis=1)
+            key = np.stack([batch.column(i).to_numpy() for i in range(5)], axis=1)
             ends = np.append(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1, len(key))
             begin = 0
             for end in ends.tolist():
@@ -258,33 +283,34 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, vec_id: str = "vec_
                     yield from close()
                     unit, held = own_key, []
                 part = batch.slice(begin, end - begin)
-                x = unit_rows(np.frombuffer(b"".join(part.column(8).to_pylist()), kind).reshape(-1, dim))
-                held.append((part.column(4).to_numpy(zero_copy_only=False), part.column(5).to_numpy(zero_copy_only=False), part.column(6).to_numpy(), part.column(7).to_numpy(), x))
+                x = unit_rows(np.frombuffer(b"".join(part.column(9).to_pylist()), kind).reshape(-1, own_key[0]))
+                held.append((part.column(5).to_numpy(zero_copy_only=False), part.column(6).to_numpy(zero_copy_only=False), part.column(7).to_numpy(), part.column(8).to_numpy(), x))
                 begin = end
         yield from close()
 
     found = stage(grouped.mapInArrow(run, "row bigint, n bigint, a bigint, b bigint"), "links")
+    drop(parts)
     roots = components(found.where("a is not null"), "a", "b")
     links = found.where("row is not null").groupBy(F.col("row").alias("_row")).agg(F.sum("n").alias("links"))
-    out = keyed.select("row", "vec_id").join(links, F.col("row") == F.col("_row"), "left").join(roots, F.col("vec_id") == F.col("node"), "left")
-    component = F.coalesce("component", "vec_id")
-    return out.select("vec_id", F.coalesce("links", F.lit(0)).cast("bigint").alias("n_links"), component.alias("component_id")).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
-
-
-def _common(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Usable vectors of the length that is most frequent (ties: the longer)."""
-    lists = [v for v in column.to_pylist() if v and None not in v]
-    lengths: dict[int, int] = {}
-    for v in lists:
-        lengths[len(v)] = lengths.get(len(v), 0) + 1
-    if not lengths:
-        return np.zeros(0, np.int64), np.zeros((0, 0))
-    dim = max(lengths, key=lambda n: (lengths[n], n))
-    return valid(pa.array([v for v in lists if len(v) == dim], pa.list_(pa.float64())))
-
-
-def _length(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
-    """Usable vectors of one length."""
-    some = [i for i, v in enumerate(column.to_pylist()) if v is not None and len(v) == dim]
-    rows, unit = valid(column.take(pa.array(some, pa.int64())))
-    return np.array(some, np.int64)[rows] if len(rows) else rows, unit
+    named = reps.join(links, F.col("row") == F.col("_row"), "left").join(roots, F.col("row") == F.col("node"), "left")
+    named = stage(named.select(F.col("v").alias("_v"), "least", F.coalesce("component", "row").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("links")), "named")
+    first = named.groupBy(F.col("root").alias("_root")).agg(F.min("least").alias("component"))
+    named = named.join(first, F.col("root") == F.col("_root")).select("_v", "links", "component")
+    out = keyed.join(named, F.col("v") == F.col("_v"), "left")
+    component = F.when(F.col("_v").isNull(), F.col("vec_id")).otherwise(F.col("component"))
+    out = stage(out.select("vec_id", F.coalesce("links", F.lit(0)).cast("bigint").alias("n_links"), component.alias("component_id")), "near_vectors")
+    for done in (keyed, reps, found):
+        drop(done)
+    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
+
+
+def _lists(column: pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Rows of each length, and their vectors scaled to length 1; all are usable."""
+    size = pc.list_value_length(column).to_numpy()
+    flat = np.asarray(column.flatten(), np.float64)
+    at = np.concatenate(([0], np.cumsum(size)))
+    out = {}
+    for d in np.unique(size).tolist():
+        rows = np.flatnonzero(size == d)
+        out[d] = rows, unit_rows(flat[at[rows][:, None] + np.arange(d)[None]])
+    return out
