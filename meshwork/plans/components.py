@@ -3,16 +3,23 @@
 Every round each vertex hooks onto its smallest smaller neighbour (a grouped ``min``, combined before the
 shuffle, so a hub costs one row a map task), pointer jumping flattens the resulting forest, and the edges are
 relabelled to the roots that remain. Each round's tables are staged, so lineage stays short and both sides of
-every join are plain exchanges that adaptive execution may split when one vertex has most of the edges.
+every join are plain exchanges that adaptive execution may split when one vertex has most of the edges. Once at
+most ``FEW`` edges remain, one task of bounded size finishes them.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meshwork.plans.staging import drop, stage
 
+FEW = 1 << 18
+
 
 def _root(df: DataFrame, parents: DataFrame, col: str) -> DataFrame:
     """Replace ``col`` by its parent where it has one."""
@@ -25,14 +32,51 @@ def _edges(df: DataFrame) -> DataFrame:
     return df.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
+def _finish(live: DataFrame) -> DataFrame:
+    """(node, root) of every vertex of few edges but the roots, in one task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.stack([part.column(0).to_numpy(), part.column(1).to_numpy()]) for part in batches if part.num_rows]
+        if not held:
+            return
+        nodes, ends = np.unique(np.concatenate(held, axis=1), return_inverse=True)
+        a, b = ends.reshape(2, -1)
+        root = np.arange(len(nodes))
+        while (root[a] != root[b]).any():
+            np.minimum.at(root, np.maximum(root[a], root[b]), np.minimum(root[a], root[b]))
+            while (root[root] != root).any():
+                root = root[root]
+        some = np.flatnonzero(root != np.arange(len(root)))
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[some]), pa.array(nodes[root[some]])], ["node", "root"])
+
+    return live.coalesce(1).mapInArrow(run, "node bigint, root bigint")
+
+
+def _merged(labels: DataFrame, parents: DataFrame) -> DataFrame:
+    """Labels so far, led on by a round's parents."""
+    if parents.isEmpty():
+        return labels
+    # Nodes that were roots so far and hook now get their first label.
+    known = labels.select(F.col("node").alias("_k"))
+    fresh = parents.join(known, F.col("node") == F.col("_k"), "left_anti")
+    merged = stage(_root(labels, parents, "root").select("node", "root").unionByName(fresh), "labels")
+    drop(labels)
+    drop(parents)
+    return merged
+
+
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """``(node, component)`` for every endpoint of ``edges``; component is the smallest node id reachable.
 
     Null endpoints and loops link nothing; repeated edges count once; no edges give an empty table.
     """
-    live = stage(_edges(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).dropna()), "edges")
+    live = stage(_edges(edges.select(F.col(a).cast("bigint").alias("a"), F.col(b).cast("bigint").alias("b")).dropna()), "edges")
     labels: DataFrame | None = None
-    while not live.isEmpty():
+    while n := live.count():
+        if n <= FEW:
+            parents = stage(_finish(live), "parents")
+            labels = parents if labels is None else _merged(labels, parents)
+            break
         parents = stage(live.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root")), "parents")
         while True:
             inner = parents.select(F.col("node").alias("_m"))
@@ -44,17 +88,9 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         rest = stage(_edges(_root(_root(live, parents, "a"), parents, "b")), "edges")
         drop(live)
         live = rest
-        if labels is None:
-            labels = parents
-        elif not parents.isEmpty():
-            joined = _root(labels, parents, "root").select("node", "root")
-            # Nodes that were roots so far and hook now get their first label.
-            known = labels.select(F.col("node").alias("_k"))
-            fresh = parents.join(known, F.col("node") == F.col("_k"), "left_anti")
-            merged = stage(joined.unionByName(fresh), "labels")
-            drop(labels)
-            drop(parents)
-            labels = merged
+        labels = parents if labels is None else _merged(labels, parents)
+    if labels is not None:
+        drop(live)
     if labels is None:
         return live.select(F.col("a").alias("node"), F.col("b").alias("component"))
     roots = labels.select(F.col("root").alias("node"), F.col("root").alias("component")).distinct()

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from meshwork.operators import bm25, cluster, detect, evaluation, filters, fusion, search, usage
 from meshwork.operators.validate import evidence_quality, validate, verification_quality
+from meshwork.plans import components as plans
 from meshwork.plans.components import components
 from meshwork.sources import files, scenarios, stores
 
@@ -161,16 +162,20 @@ def test_batched_neighbours_equal_single_ones(spark):
 # --- clusters
 
 
-def test_components(spark):
+@pytest.mark.parametrize("few", [0, 3, 1 << 18])
+def test_components(spark, monkeypatch, few):
+    monkeypatch.setattr(plans, "FEW", few)
     e = spark.createDataFrame([(5, 4), (4, 3), (3, 2), (2, 1), (9, 8), (7, 7), (1, None), (20, 11), (20, 12), (20, 13), (5, 4)], "a bigint, b bigint")
     got = {r.node: r.component for r in components(e, "a", "b").collect()}
     assert got == {1: 1, 2: 1, 3: 1, 4: 1, 5: 1, 8: 8, 9: 8, 11: 11, 12: 11, 13: 11, 20: 11}
     assert components(e.limit(0), "a", "b").collect() == []
 
 
+@pytest.mark.parametrize("few", [0, 1 << 18])
 @settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
-@given(st.lists(st.tuples(st.integers(0, 25), st.integers(0, 25)), max_size=30))
-def test_components_are_a_partition(spark, edges):
+@given(edges=st.lists(st.tuples(st.integers(0, 25), st.integers(0, 25)), max_size=30))
+def test_components_are_a_partition(spark, few, edges):
+    plans.FEW, before = few, plans.FEW
     up = list(range(26))
 
     def find(x):
@@ -181,7 +186,10 @@ def test_components_are_a_partition(spark, edges):
     for a, b in edges:
         x, y = find(a), find(b)
         up[max(x, y)] = min(x, y)
-    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a bigint, b bigint"), "a", "b").collect()}
+    try:
+        got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a bigint, b bigint"), "a", "b").collect()}
+    finally:
+        plans.FEW = before
     assert got == {x: find(x) for a, b in edges if a != b for x in (a, b)}
 
 
