@@ -34,6 +34,27 @@ def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.read_back(chat_format.format_conversations(turns.unionByName(extra)))
 
 
+def chat_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All turns of ``conversations`` as JSON records of seven layouts, formatted and read back."""
+    turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    role, text, ident = F.col("role"), F.col("text"), F.col("turn").alias("id")
+    other = F.when(role == "user", "human").when(role == "assistant", "gpt").otherwise(role)
+    message = F.struct(role, text.alias("content"))
+    part = F.struct(F.lit("text").alias("type"), text)
+    layouts = [
+        F.to_json(F.struct(role, text)),
+        F.to_json(F.struct(role, text.alias("content"), ident)),
+        F.to_json(F.struct(F.array(message).alias("messages"), F.array().cast("array<string>").alias("tags"))),
+        F.to_json(F.struct(F.array(F.struct(other.alias("from"), text.alias("value"))).alias("conversations"), ident)),
+        F.to_json(F.struct(F.array(F.struct(role, F.array(part).alias("content"), F.lit("n").alias("name"))).alias("messages"))),
+        F.to_json(F.array(message)),
+        F.to_json(F.struct(F.struct(F.lit(1).alias("b")).alias("a"), role, text)),
+    ]
+    chosen = F.pmod(F.col("turn") + F.col("conv_id"), F.lit(len(layouts)))
+    record = F.coalesce(*[F.when(chosen == i, x) for i, x in enumerate(layouts)])
+    return chat_format.read_back(chat_format.format_records(turns.select("conv_id", "turn", record.alias("record")), "record", turn="turn"))
+
+
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(read(spark, sf_dir, "documents"), shingle=3, percent=85)
 
@@ -57,7 +78,7 @@ def op10_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_binary.round_trip(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_token_counts, op3_secret_scans, op4_best_fit_packing, op5_chat_formatting, op6_minhash_near_dedup, op7_embedding_near_dedup, op8_decontamination, op9_language_id, op10_token_binary)}
+QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_token_counts, op3_secret_scans, op4_best_fit_packing, op5_chat_formatting, chat_layouts, op6_minhash_near_dedup, op7_embedding_near_dedup, op8_decontamination, op9_language_id, op10_token_binary)}
 
 _COMPONENTS = """, edges AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
 reach AS (SELECT {id} AS id, {id} AS other FROM {nodes} UNION SELECT r.id, e.b FROM reach r JOIN edges e ON r.other = e.a),
@@ -65,11 +86,10 @@ labels AS (SELECT id, min(other) AS component_id FROM reach GROUP BY id)"""
 
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
-ORACLES = {
-    "op5_chat_formatting": f"""
+_CHAT = """
 WITH turns AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-  UNION ALL SELECT -1, 0, 'user', '{MARKS}' UNION ALL SELECT -1, 1, 'assistant', '{MARKS}'
+  {more}
 )
 SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
@@ -77,7 +97,11 @@ SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
   CAST(sum(length('<|im_start|>') + length(role) + 1 + length(regexp_replace(text, '<(\\\\*)\\|', '<\\\\\\1|', 'g')) + length('<|im_end|>') + 1) AS BIGINT) AS formatted_chars
 FROM turns GROUP BY conv_id
-""",
+"""
+
+ORACLES = {
+    "op5_chat_formatting": _CHAT.format(more=f"UNION ALL SELECT -1, 0, 'user', '{MARKS}' UNION ALL SELECT -1, 1, 'assistant', '{MARKS}'"),
+    "chat_layouts": _CHAT.format(more=""),
     "op6_minhash_near_dedup": f"""
 WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^ \\t-\\r]+') AS w FROM documents),
 sets AS (

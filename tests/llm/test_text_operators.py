@@ -104,6 +104,13 @@ def test_layouts_become_canonical_turns(spark):
     mapper = chat_format.Mapper()
     assert all(mapper.turns(r) == [("user", "q"), ("assistant", "a")] for r in records)
     assert mapper.turns({"instruction": "q", "input": "i", "output": "a", "system": "s"}) == [("system", "s"), ("user", "q\n\ni"), ("assistant", "a")]
+    for extra in ({"id": 7, "meta": {"a": [1, {}]}}, {"tags": []}):
+        assert all(mapper.turns(r | extra) == [("user", "q"), ("assistant", "a")] for r in records)
+    for empty in ({"messages": []}, {"conversations": [], "id": 1}, []):
+        assert mapper.turns(empty) == []
+    parts = [{"type": "text", "text": "one"}, {"type": "image", "url": "u"}, "two"]
+    assert mapper.turns({"messages": [{"role": "user", "content": parts, "name": "n"}, {"role": "gpt", "content": None}, {"role": "user", "content": []}]}) == [("user", "one\ntwo"), ("assistant", ""), ("user", "")]
+    assert mapper.turns([{"role": "user", "content": "q"}]) == [("user", "q")] and mapper.turns({"prompt": 3, "completion": True}) == [("user", "3"), ("assistant", "true")]
     with pytest.raises(ValueError, match="no layout"):
         mapper.turns({"foo": {"bar": 1}})
     df = spark.createDataFrame([(i, json.dumps(r)) for i, r in enumerate(records)], "conv_id bigint, record string")
@@ -111,6 +118,23 @@ def test_layouts_become_canonical_turns(spark):
     assert len(done) == len(records) and {r.turns_sha256 for r in done} == {sha("user\nq\nassistant\na\n")}
 
 
+def test_unknown_shapes_are_rejected_and_named(spark):
+    records = ['{"role": "user", "text": "q"}', '{"foo": {"bar": 1}}', "no json", '"text"', "3", "null", "{}", '{"messages": ["q"]}', '{"messages": [{"role": "user", "content": "q"}, 3]}', "[" * 5000, None, "", '{"role": "\\ud800", "text": "a\\ud800b"}']
+    done = chat_format.format_records(spark.createDataFrame(list(enumerate(records)), "conv_id bigint, record string"), "record")
+    got = {r.conv_id: r for r in done.collect()}
+    assert set(got) == {*range(10), 12} and all(got[i].rejected and got[i].formatted is None for i in range(1, 10)) and got[0].rejected is None
+    assert "foo.bar" in got[1].rejected
+    assert sorted(r.conv_id for r in chat_format.read_back(done).collect()) == [0, 12]
+
+
+def test_turns_of_one_number_are_ordered_by_role_and_text(spark):
+    texts = ["<a", "<|", "<\\|", "<\\a", "", "<", "é", "z"]
+    rows = [(1, 0, r, t) for t in texts for r in ("user", "a\tb", "a", "a\nb", None)]
+    got = chat_format.read_back(chat_format.format_conversations(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string"))).collect()[0]
+    want = sorted((r or "", t) for _, _, r, t in rows)
+    assert got.turns_sha256 == sha("".join(f"{r}\n{t}\n" for r, t in want))
+
+
 # --- benchmark
 
 
