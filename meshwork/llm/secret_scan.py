@@ -5,9 +5,11 @@ there a pattern is tried, anchored at the hit. Runs of lower-case hexadecimal di
 found by one linear pattern. Kinds that carry their own check are reported only if it holds:
 
 * ``github``, ``npm``: the last six characters are the CRC-32 of the 30 before them, in base 62;
-* ``jwt``: the first part is base64url of a JSON object with ``alg``;
+* ``jwt``: the first part, from the first ``eyJ`` of a run of its characters on, is base64url of a JSON object with ``alg``;
 * ``pem``: the body is base64 of one DER sequence whose stated length is that of the body.
 
+A try that fails uses up the text that would make later tries in it fail as well, so time grows with the text.
+
 Null and empty texts have no spans. Rows are independent, so repeated rows and ties give equal results;
 other columns, whatever their names, are ignored; an empty table gives an empty table.
 """
@@ -36,7 +38,8 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 GITHUB = re.compile(r"gh[pousr]_([A-Za-z0-9]{30})([A-Za-z0-9]{6})(?![A-Za-z0-9])")
 NPM = re.compile(r"npm_([A-Za-z0-9]{30})([A-Za-z0-9]{6})(?![A-Za-z0-9])")
-JWT = re.compile(r"(eyJ[A-Za-z0-9_-]+)\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+")
+JWT = re.compile(r"(eyJ[A-Za-z0-9_-]++)\.eyJ[A-Za-z0-9_-]++\.[A-Za-z0-9_-]++")
+JWT_RUN = re.compile(r"eyJ[A-Za-z0-9_-]*+")
 PEM = re.compile(r"-----BEGIN ([A-Z ]*)PRIVATE KEY-----([A-Za-z0-9+/=\s]+)-----END \1PRIVATE KEY-----")
 
 #: Lower-cased keyword to the kind that may start there.
@@ -90,7 +93,7 @@ def _automaton() -> ahocorasick.Automaton:
     return found
 
 
-#: Per kind: pattern, and whether a match counts. A match that doesn't count still uses up its text.
+#: Per kind: pattern, and whether a match counts. One that doesn't count still uses up its text, of a jwt its first part.
 RULES = {
     "assign": (ASSIGN, lambda m: len(m[2]) >= 6),
     "access": (ACCESS, lambda m: len(m[0]) >= 20),
@@ -113,10 +116,16 @@ def scan(text: str) -> list[tuple[int, int, int]]:
     for end, (size, kind) in _automaton().iter(low):
         start = end + 1 - size
         pattern, counts = RULES[kind]
-        if start >= free[kind] and (m := pattern.match(text, start)):
+        if start < free[kind]:
+            continue
+        m = pattern.match(text, start)
+        if m and counts(m):
+            free[kind] = m.end()
+            spans.append((start, KINDS.index(kind), m.end()))
+        elif kind == "jwt":
+            free[kind] = run.end() if (run := JWT_RUN.match(text, start)) else 0
+        elif m:
             free[kind] = m.end()
-            if counts(m):
-                spans.append((start, KINDS.index(kind), m.end()))
     return sorted(spans)
 
 

@@ -4,11 +4,12 @@ An Aho-Corasick automaton of all pieces lists, at each end position, the pieces
 Dynamic programming keeps the best score and the number of pieces for each position and no back pointers. The
 tie rule is the tokenizer's: among equal scores the earliest start stays (a later candidate must be better by
 strict comparison). A character that no piece of one character covers is unknown, at the lowest score less 10;
-a run of unknown characters on the best path is one unknown, counted as its UTF-8 bytes where the vocabulary
-has byte pieces.
+a run of unknown characters on the best path, and of the unknown piece's own name, is one unknown, counted as its
+UTF-8 bytes where the vocabulary has byte pieces and the run is no piece itself.
 
 Words begin at spaces, which become the mark U+2581 in front of them, and are counted by themselves; counts of
-frequent words are kept. The vocabulary file is a parameter: pieces in order of merge rank, whose score is
+short words are kept, up to ``KEPT_WORDS`` of ``KEPT_CHARS`` characters. Texts are parted and long words scored a
+window at a time, so memory beyond the text itself is bounded. The vocabulary file is a parameter: pieces in order of merge rank, whose score is
 ``-log(rank + 1)``.
 
 Null and empty texts have no tokens. Rows are independent, so repeated rows get equal counts; other columns are
@@ -29,7 +30,8 @@ from meshwork.llm.common import finish, texts
 
 MARK = "▁"
 PENALTY = 10.0
-KEPT_WORDS = 300_000
+KEPT_WORDS, KEPT_CHARS = 300_000, 64
+WINDOW = 1 << 16
 
 
 @lru_cache(maxsize=2)
@@ -42,53 +44,72 @@ def vocabulary(path: str) -> tuple[tuple[str, float], ...]:
 
 
 class Counter:
-    def __init__(self, pieces: tuple[tuple[str, float], ...]) -> None:
+    def __init__(self, pieces: tuple[tuple[str, float], ...], unknown: int = 0) -> None:
+        """``unknown`` is the id of the unknown piece."""
         self.auto = ahocorasick.Automaton()
-        for piece, score in pieces:
-            self.auto.add_word(piece, (len(piece), score))
+        for i, (piece, score) in enumerate(pieces):
+            self.auto.add_word(piece, (len(piece), score, i == unknown))
         self.auto.make_automaton()
-        names = {p for p, _ in pieces}
+        self.names = {p for p, _ in pieces}
+        self.longest = max(map(len, self.names))
         self.unknown = min(s for _, s in pieces) - PENALTY
-        self.bytes = all(f"<0x{b:02X}>" in names for b in range(256))
+        self.bytes = all(f"<0x{b:02X}>" in self.names for b in range(256))
         self.kept: dict[str, tuple[int, float]] = {}
 
     def word(self, word: str) -> tuple[int, float]:
-        """Piece count and score of the best path over one word."""
-        n = len(word)
-        ends: list[list[tuple[int, float]]] = [[] for _ in range(n)]
-        for end, found in self.auto.iter(word):
-            ends[end].append(found)
-        score, count, run = [0.0] * (n + 1), [0] * (n + 1), [0] * (n + 1)
-        for e in range(1, n + 1):
-            best, pieces, open_run = -math.inf, 0, 0
-            single = False
-            for size, s in ends[e - 1]:  # longest first: the earliest start
+        """Piece count and score of the best path over one word.
+
+        For each position: score and count of the best path, and, where it ends in an unknown run, where the run
+        began, the count there and its bytes.
+        """
+        score, count, runs, base = [0.0], [0], [None], 0
+        matches = self.auto.iter(word)
+        ahead = next(matches, None)
+        for e in range(1, len(word) + 1):
+            best, back, single, run = -math.inf, 0, False, False
+            while ahead is not None and ahead[0] == e - 1:  # longest first: the earliest start
+                size, s, unknown = ahead[1]
                 single |= size == 1
-                if (value := score[e - size] + s) > best:
-                    best, pieces, open_run = value, count[e - size] + 1, 0
-            if not single and (value := score[e - 1] + self.unknown) > best:
-                best, open_run = value, 1
-                pieces = count[e - 1] + (len(word[e - 1].encode()) if self.bytes else 0 if run[e - 1] else 1)
-            score[e], count[e], run[e] = best, pieces, open_run
-        return count[n], score[n]
+                if (value := score[e - size - base] + s) > best:
+                    best, back, run = value, size, unknown
+                ahead = next(matches, None)
+            if not single and (value := score[e - 1 - base] + self.unknown) > best:
+                best, back, run = value, 1, True
+            at = e - back - base
+            if run:
+                start, before, size = runs[at] or (e - back, count[at], 0)
+                size += len(word[e - back : e].encode())
+                whole = e - start <= self.longest and word[start:e] in self.names
+                runs.append((start, before, size))
+                count.append(before + (1 if whole or not self.bytes else size))
+            else:
+                runs.append(None)
+                count.append(count[at] + 1)
+            score.append(best)
+            if len(score) > WINDOW + self.longest:
+                del score[:WINDOW], count[:WINDOW], runs[:WINDOW]
+                base += WINDOW
+        return count[-1], score[-1]
 
     def text(self, text: str) -> tuple[int, float]:
-        total, score = 0, 0.0
-        if not text:
-            return total, score
-        words = text.replace(" ", MARK).split(MARK)
-        kept = self.kept
-        for i, w in enumerate(words):
-            if i == 0 and w == "" and len(words) > 1:
-                continue  # the text begins with its own mark
-            got = kept.get(w)
-            if got is None:
-                got = self.word(MARK + w)
-                if len(kept) >= KEPT_WORDS:
-                    kept.clear()
-                kept[w] = got
-            total += got[0]
-            score += got[1]
+        total, score, at = 0, 0.0, 0
+        while at < len(text):
+            cut = text.find(" ", at + WINDOW)
+            cut = len(text) if cut < 0 else cut
+            words = text[at:cut].replace(" ", MARK).split(MARK)
+            if words[0] == "" and len(words) > 1:
+                del words[0]  # what begins with a space or a mark has its own mark
+            at, kept = cut, self.kept
+            for w in words:
+                got = kept.get(w)
+                if got is None:
+                    got = self.word(MARK + w)
+                    if len(w) <= KEPT_CHARS:
+                        if len(kept) >= KEPT_WORDS:
+                            kept.clear()
+                        kept[w] = got
+                total += got[0]
+                score += got[1]
         return total, score
 
 
