@@ -209,6 +209,70 @@ def test_held_out_accuracy(spark, small):
     assert all(0 <= r.score <= 1 for r in found)
 
 
+def plain_mixture(model, text: bytes, penalty: float = 4.0) -> tuple[str, float]:
+    """Expectation-maximisation a word at a time."""
+    import math
+
+    low = "".join(chr(b) if b >= 128 or chr(b).isalpha() else " " for b in text).translate({c: c + 32 for c in range(65, 91)})
+    likes = []
+    for w in low.split(" "):
+        if w:
+            x = [ord(c) for c in f" {w} "]
+            rows = [model.table[((((a << 16) | (b << 8) | c) * 0x9E3779B1) & 0xFFFFFFFF) >> 16] for a, b, c in zip(x, x[1:], x[2:])]
+            total = [float(sum(float(r[k]) for r in rows)) for k in range(len(model.langs))]
+            likes.append([max(math.exp(t - max(total)), 1e-30) for t in total])
+    if not likes:
+        return "und", 0.0
+
+    def em(share: list[float], rounds: int) -> list[float]:
+        for _ in range(rounds):
+            new = [0.0] * len(share)
+            for like in likes:
+                own = [s * y for s, y in zip(share, like)]
+                new = [t + o / sum(own) for t, o in zip(new, own)]
+            share = [t / len(likes) for t in new]
+        return share
+
+    full = em([1 / len(model.langs)] * len(model.langs), 12)
+    order = sorted(range(len(full)), key=lambda j: (-full[j], j))
+    best, best_share = -math.inf, full
+    for k in range(1, len(full) + 1):
+        share = [full[j] + 1e-9 if j in order[:k] else 0.0 for j in range(len(full))]
+        share = em([x / sum(share) for x in share], 6 if k > 1 else 0)
+        value = sum(math.log(max(sum(s * y for s, y in zip(share, like)), 1e-300)) for like in likes) - penalty * k * 0.5 * math.log(len(likes) + 1)
+        if value <= best:
+            break
+        best, best_share = value, share
+    return model.langs[max(range(len(full)), key=lambda j: (best_share[j], -j))], min(1.0, max(best_share))
+
+
+@pytest.mark.parametrize("cells", [1 << 22, 1 << 12])
+def test_mixtures_equal_plain_expectation_maximisation(spark, small, monkeypatch, cells):
+    rows = spark.read.parquet(f"{small}/documents.parquet")
+    model = language_id.train(rows)
+    own = [(r.text or "").encode() for r in rows.where("lang is not null").orderBy("doc_id").limit(24).collect()]
+    parts = [own[i] + b" " + own[i + 1][: len(own[i])] for i in range(0, 20, 2)] + own[20:] + ["été 12 а б w".encode(), b"", b"...", "x\u00e4".encode() * 900]
+    want = [plain_mixture(model, x) for x in parts]
+    monkeypatch.setattr(language_id, "_CELLS", cells)  # also with words and texts that cross pieces
+    for got in (language_id.infer(model, parts), [sum(x, []) for x in zip(*(language_id.infer(model, [p])[:2] for p in parts))]):
+        assert got[0] == [lang for lang, _ in want]
+        assert np.allclose(got[1], [s for _, s in want], atol=1e-4)
+
+
+def test_memory_of_language_id_is_bounded():
+    start = "rng = np.random.default_rng(0); t = rng.normal(-9, 2, (language_id.SLOTS, 4)).astype(np.float32); m = language_id.Model(list('abcd'), t)\nlanguage_id.infer(m, [b'a b' * 400_000])\n"
+    vocabulary = "w = [('w%x' % i).translate({48 + k: 103 + k for k in range(10)}) for i in range(20_000)]\nx = (' '.join(w) * 200).encode()\nassert len(x) > 2e7\n"
+    small, large = (peak_mb(start + vocabulary + MEASURE.format(f"language_id.infer(m, [x[: {n}]])")) for n in (4_000_000, 20_000_000))
+    assert large - small < 100  # 16 MB more text, copied a few times
+    assert peak_mb(start + "x = b'z' * 20_000_000\n" + MEASURE.format("language_id.infer(m, [x])")) < 150
+
+
+def test_too_many_languages_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "LANGUAGES", 2)
+    with pytest.raises(ValueError, match="3 languages"):
+        language_id.train(spark.createDataFrame([(i, "abc", f"l{i}", "", 3) for i in range(3)], DOCS))
+
+
 def test_mixtures_and_awkward_texts(spark, small):
     rows = spark.read.parquet(f"{small}/documents.parquet")
     model = language_id.train(rows)
