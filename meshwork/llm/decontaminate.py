@@ -2,161 +2,191 @@
 
 Every item contributes its windows of ``window`` consecutive words (a shorter item is one window). A window is
 a set of shingles, all of which a containing document must hold, so the necessary prefix is one shingle: the
-window's rarest, by document frequency over the whole corpus. Documents are probed with the prefix shingles
-only; a hit fixes where the window would start (positional bound) and end (length bound), and the window is
-then compared word by word. Words are compared by 64-bit hashes, a window by all of its words.
+window's rarest, by document frequency over the whole corpus. Positions of documents that hold a prefix shingle
+are joined with the windows filed under it; a hit fixes where the window would start (positional bound) and end
+(length bound), and the window is then compared word by word. Words are compared by 64-bit hashes, a window by
+all of its words.
 
-The item table is cut into chunks of at most ``chunk_words`` words, each broadcast by itself, so its broadcast
-is bounded whatever the size of the benchmark; every document meets every chunk. Document texts are never
-shuffled. Frequencies are exact counts over all documents.
+Documents are read twice, for frequencies and for positions, and their texts never shuffled: what leaves a task
+was let through by a table of ``BITS`` bits of the shingles that matter, the only thing that is broadcast. Its size
+is fixed; windows, frequencies and hits are tables and met by joins, so a benchmark of any size takes no more
+memory. Frequencies are exact counts over all documents.
 
 Null or empty texts have no words, and items without words hit nothing; repeated documents give equal rows;
-repeated items each count; other columns are ignored; an empty table gives an empty table.
+rows of one item id are one item, and what rows without an item id hit is hit but counted for no item; other columns
+are ignored; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meshwork.llm.common import finish, pick, slices, text_bytes
+from meshwork.llm.common import map_arrow, pick, slices, text_bytes
 from meshwork.llm.words import ALNUM_WORDS, batch_words, combine
+from meshwork.plans.staging import drop, stage
 
 SHINGLE = 3
+#: Bits of the table that lets shingles through, and how many low bits of a shingle's hash it leaves out.
+BITS = 1 << 26
+_LEFT_OUT = 64 - 26
 
+KEY = ["doc_id", "h1", "h2"]
 
-class Items:
-    """Windows of one chunk of items, indexed by their prefix shingle."""
-
-    def __init__(self, ids: list, words: list[np.ndarray], window: int) -> None:
-        self.ids = ids
-        wins: dict[bytes, list[int]] = {}
-        for k, w in enumerate(words):
-            n = min(window, len(w))
-            for i in range(len(w) - n + 1 if n else 0):
-                wins.setdefault(w[i : i + n].tobytes(), []).append(k)
-        self.windows = [np.frombuffer(w, np.uint64) for w in wins]
-        self.owners = [sorted(set(o)) for o in wins.values()]
-
-    def shingles(self) -> np.ndarray:
-        made = [combine(w, min(SHINGLE, len(w))) for w in self.windows]
-        return np.unique(np.concatenate(made)) if made else np.zeros(0, np.uint64)
-
-    def index(self, frequency: dict[int, int]) -> None:
-        """Order each window's shingles by rarity and file the window under the first, with its position."""
-        by: dict[int, list[tuple[int, int]]] = {}
-        for k, w in enumerate(self.windows):
-            own = combine(w, min(SHINGLE, len(w))).tolist()
-            at = min(range(len(own)), key=lambda i: (frequency.get(own[i], 0), own[i], i))
-            by.setdefault(own[at], []).append((k, at))
-        self.keys = np.array(sorted(by), np.uint64)
-        self.filed = [by[int(k)] for k in self.keys]
-        self.sizes = sorted({min(SHINGLE, len(w)) for w in self.windows})
-
-    def hits(self, words: np.ndarray) -> list[tuple[int, int, int]]:
-        """(start, end, window) of every occurrence of a window in one document."""
-        out = []
-        for n in self.sizes:
-            probe = combine(words, n)
-            if not len(probe) or not len(self.keys):
-                continue
-            slot = np.minimum(np.searchsorted(self.keys, probe), len(self.keys) - 1)
-            for p in np.flatnonzero(self.keys[slot] == probe).tolist():
-                for k, at in self.filed[slot[p]]:
-                    w, start = self.windows[k], p - at
-                    if min(SHINGLE, len(w)) == n and start >= 0 and start + len(w) <= len(words) and np.array_equal(words[start : start + len(w)], w):
-                        out.append((start, start + len(w), k))
-        return out
-
-
-def _chunks(items: DataFrame, window: int, chunk_words: int) -> Iterator[Items]:
-    ids, words, size = [], [], 0
-    for row in items.toLocalIterator():
-        ids.append(row[0])
-        words.append(batch_words([(row[1] or "").encode()], ALNUM_WORDS)[0])
-        size += len(words[-1])
-        if size >= chunk_words:
-            yield Items(ids, words, window)
-            ids, words, size = [], [], 0
-    if ids:
-        yield Items(ids, words, window)
-
-
-def _frequencies(docs: DataFrame, shingles: np.ndarray) -> dict[int, int]:
-    """Documents holding each of these shingles, counted over all documents; as many rows as shingles at most."""
-    sent = docs.sparkSession.sparkContext.broadcast(shingles)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = sent.value
-        total = np.zeros(len(wanted), np.int64)
-        for part in slices(batches):
-            words, at = batch_words(text_bytes(part.column(0)), ALNUM_WORDS)
-            if not len(wanted) or not len(words):
-                continue
-            found = []
-            for n in range(1, SHINGLE + 1):
-                probe = combine(words, n)
-                slot = np.minimum(np.searchsorted(wanted, probe), len(wanted) - 1)
-                where = np.flatnonzero(wanted[slot] == probe)
-                doc = np.searchsorted(at, where, side="right") - 1
-                inside = where + n <= at[doc + 1]
-                found.append(doc[inside] * len(wanted) + slot[where[inside]])
-            total += np.bincount(np.unique(np.concatenate(found)) % len(wanted), minlength=len(wanted))
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["slot", "n"])
 
-    counted = docs.select("text").mapInArrow(run, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n"))
-    return {int(shingles[r.slot]): r.n for r in counted.toLocalIterator()}
+def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """Rows under id and digest of the text: rows that agree in both are repeated documents."""
+    rows = pick(docs, doc_id=doc_id, text=text)
+    return rows.select("doc_id", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"), "text")
 
 
-COLUMNS = "n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean"
+def _same(left: str, right: str) -> Column:
+    return F.expr(f"{left}doc_id <=> {right}doc_id and {left}h1 = {right}h1 and {left}h2 = {right}h2")
 
 
-def _digest(ids: list) -> str:
-    return hashlib.sha256(",".join(sorted(map(str, ids))).encode()).hexdigest()
+def windows(items: DataFrame, window: int = 10, item_id: str = "item_id", text: str = "text") -> DataFrame:
+    """(item, win) of every window, once an item; a window is the hashes of its words, 8 bytes each."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            words, at = batch_words(text_bytes(part.column(1)), ALNUM_WORDS)
+            for i, ident in enumerate(part.column(0).to_pylist()):
+                own = words[at[i] : at[i + 1]]
+                n = min(window, len(own))
+                for j in range(0, len(own) - n + 1 if n else 0, 1 << 16):
+                    rows = np.unique(np.lib.stride_tricks.sliding_window_view(own[j : j + (1 << 16) + n - 1], n), axis=0)
+                    yield pa.RecordBatch.from_arrays([pa.array([ident] * len(rows), pa.string()), pa.array([r.tobytes() for r in rows], pa.binary())], ["item", "win"])
 
-def _covered(spans: list[tuple[int, int]]) -> int:
-    total = free = 0
-    for start, end in sorted(spans):
-        total += max(0, end - max(start, free))
-        free = max(free, end)
-    return total
+    rows = pick(items, item_id=item_id, text=text).withColumn("item_id", F.col("item_id").cast("string"))
+    return rows.mapInArrow(run, "item string, win binary").distinct()
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10, chunk_words: int = 200_000, into: str | None = None) -> DataFrame:
-    """Per row: doc_id, words, words inside any occurrence of an item's window, items with one, their digest."""
-    rows = pick(docs, doc_id=doc_id, text=text)
-    chunks = []
-    for chunk in _chunks(pick(items, item_id=item_id, text=item_text), window, chunk_words):
-        chunk.index(_frequencies(rows, chunk.shingles()))
-        chunks.append(docs.sparkSession.sparkContext.broadcast(chunk))
-
-    def found(part: pa.RecordBatch, column: int, some: list) -> Iterator[tuple[int, list, list]]:
-        words, at = batch_words(text_bytes(part.column(column)), ALNUM_WORDS)
-        for i in range(part.num_rows):
-            own, spans, ids = words[at[i] : at[i + 1]], [], []
-            for sent in some:
-                hits = sent.value.hits(own)
-                spans += [(s, e) for s, e, _ in hits]
-                ids += [sent.value.ids[o] for o in {o for _, _, k in hits for o in sent.value.owners[k]}]
-            yield len(own), spans, ids
+def _shingles(wins: DataFrame) -> DataFrame:
+    """(win, at, shingle) of every shingle of every window."""
 
     def step(part: pa.RecordBatch) -> dict:
-        out = list(found(part, 1, chunks))
-        hit = [_covered(spans) for _, spans, _ in out]
+        own = [np.frombuffer(w, np.uint64) for w in part.column(0).to_pylist()]
+        made = [combine(w, min(SHINGLE, len(w))) for w in own]
+        sizes = np.array([len(m) for m in made], np.int64)
         return {
-            "doc_id": part.column(0),
-            "n_words": pa.array([n for n, _, _ in out], pa.int64()),
-            "n_hit": pa.array(hit, pa.int64()),
-            "n_items": pa.array([len(ids) for _, _, ids in out], pa.int64()),
-            "items_sha256": [_digest(ids) for _, _, ids in out],
-            "contaminated": [h > 0 for h in hit],
+            "win": part.column(0).take(pa.array(np.repeat(np.arange(len(own)), sizes))),
+            "at": pa.array(np.concatenate([np.arange(n) for n in sizes]) if len(own) else [], pa.int32()),
+            "shingle": pa.array(np.concatenate(made).view(np.int64) if len(own) else [], pa.int64()),
         }
 
-    return finish(docs, COLUMNS, step, into, doc_id, text)
+    return map_arrow(wins.select("win"), "win binary, at int, shingle bigint", step)
+
+
+class Sieve:
+    """Which shingles may matter: a bit for each value of a hash's leading bits, and the lengths of shingles."""
+
+    def __init__(self, shingles: DataFrame, sizes: list[int]) -> None:
+        bit = F.shiftrightunsigned("shingle", _LEFT_OUT)
+        blocks = shingles.groupBy(F.shiftright(bit, 6).alias("block")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(shingle, {_LEFT_OUT}) & 63 as int))")).alias("bits"))
+        found = blocks.toArrow()  # a row for each 64 bits at most
+        table = np.zeros(BITS // 64, np.int64)
+        table[found.column(0).to_numpy()] = found.column(1).to_numpy()
+        self.table, self.sizes = table.view(np.uint8), sizes
+
+    def pick(self, words: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(document, position, shingle) of what passes, for each length of shingle."""
+        for n in self.sizes:
+            probe = combine(words, n)
+            bit = probe >> np.uint64(_LEFT_OUT)
+            where = np.flatnonzero(self.table[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8) & 1)
+            doc = np.searchsorted(at, where, side="right") - 1
+            inside = where + n <= at[doc + 1]
+            yield doc[inside], where[inside], probe[where[inside]]
+
+
+def _frequencies(docs: DataFrame, sieve) -> DataFrame:  # noqa: ANN001
+    """(shingle, documents holding it) of all that pass the sieve."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            words, at = batch_words(text_bytes(part.column(0)), ALNUM_WORDS)
+            for doc, _, shingle in sieve.value.pick(words, at):
+                own = np.unique(np.stack([doc.astype(np.uint64), shingle]), axis=1)[1] if len(doc) else shingle
+                value, n = np.unique(own, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(n, pa.int64())], ["_s", "n"])
+
+    return docs.select("text").mapInArrow(run, "_s bigint, n bigint").groupBy("_s").agg(F.sum("n").alias("n"))
+
+
+def _probe(docs: DataFrame, sieve, window: int) -> DataFrame:  # noqa: ANN001
+    """A row for each document with its number of words, and one for each position that passes the sieve.
+
+    Such a position comes with the words around it that a window over it may hold, and its own place in them.
+    """
+    kind = docs.schema["doc_id"].dataType
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [*KEY, "n_words", "p", "shingle", "around", "place"]
+        for part in slices(batches):
+            words, at = batch_words(text_bytes(part.column(3)), ALNUM_WORDS)
+            none = [pa.nulls(part.num_rows, t) for t in (pa.int64(), pa.int64(), pa.binary(), pa.int32())]
+            yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(np.diff(at)), *none], names)
+            for doc, where, shingle in sieve.value.pick(words, at):
+                low, high = np.maximum(at[doc], where - window), np.minimum(at[doc + 1], where + window)
+                around = [words[a:b].tobytes() for a, b in zip(low.tolist(), high.tolist(), strict=True)]
+                own = [c.take(pa.array(doc)) for c in part.columns[:3]]
+                yield pa.RecordBatch.from_arrays([*own, pa.nulls(len(doc), pa.int64()), pa.array(where - at[doc]), pa.array(shingle.view(np.int64)), pa.array(around, pa.binary()), pa.array(where - low, pa.int32())], names)
+
+    return docs.mapInArrow(run, f"doc_id {kind.simpleString()}, h1 bigint, h2 bigint, n_words bigint, p bigint, shingle bigint, around binary, place int")
+
+
+def _search(docs: DataFrame, owned: DataFrame, window: int) -> tuple[DataFrame, DataFrame]:
+    """Staged: the probed documents, and (document, start, end, win) of every occurrence of a window, once a document."""
+    sc = docs.sparkSession.sparkContext
+    shingles = stage(_shingles(owned.select("win").distinct()), "shingles")
+    sizes = sorted(r.n for r in owned.select(F.least(F.lit(SHINGLE), F.length("win") / 8).cast("int").alias("n")).distinct().collect())
+    counts = _frequencies(docs, sc.broadcast(Sieve(shingles.select("shingle"), sizes)))
+    rare = shingles.join(counts, F.col("shingle") == F.col("_s"), "left").groupBy("win").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "shingle", "at")).alias("first"))
+    prefixes = stage(rare.select(F.col("first.shingle").alias("_s"), F.col("first.at").alias("at"), "win"), "prefixes")
+    probed = stage(_probe(docs, sc.broadcast(Sieve(prefixes.select(F.col("_s").alias("shingle")), sizes)), window), "probed")
+    start, size = F.col("p") - F.col("at"), F.length("win")
+    held = (F.col("place") >= F.col("at")) & (F.expr("substring(around, (place - at) * 8 + 1, length(win))") == F.col("win"))
+    met = probed.where("p is not null").join(prefixes, F.col("shingle") == F.col("_s")).where(held)
+    hits = stage(met.select(*KEY, start.alias("start"), (start + size / 8).cast("bigint").alias("end"), "win").distinct(), "hits")
+    drop(shingles)
+    drop(prefixes)
+    return probed, hits
+
+
+def _covered(spans: str) -> Column:
+    """Number of positions inside any of the spans."""
+    zero = F.struct(F.lit(0).cast("bigint").alias("total"), F.lit(0).cast("bigint").alias("free"))
+    grow = lambda a, s: F.struct((a.total + F.greatest(F.lit(0), s.end - F.greatest(s.start, a.free))).alias("total"), F.greatest(a.free, s.end).alias("free"))
+    return F.aggregate(F.sort_array(spans), zero, grow, lambda a: a.total)
+
+
+def decontaminate(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10) -> DataFrame:
+    """Per row: doc_id, n_words, n_hit (words inside any occurrence of an item's window), n_items, items_sha256, contaminated."""
+    owned = stage(windows(items, window, item_id, item_text), "windows")
+    probed, hits = _search(_keyed(docs, doc_id, text), owned, window)
+    spans = hits.groupBy(*KEY, "start").agg(F.max("end").alias("end")).groupBy(*KEY).agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    spans = spans.select(*[F.col(c).alias(f"_{c}") for c in KEY], _covered("spans").alias("n_hit"))
+    named = hits.join(owned.where("item is not null").withColumnRenamed("win", "_w"), F.col("win") == F.col("_w")).select(*KEY, "item").distinct()
+    named = named.groupBy(*KEY).agg(F.count("*").alias("n_items"), F.array_join(F.sort_array(F.collect_list("item")), ",").alias("items"))
+    named = named.select(*[F.col(c).alias(f"__{c}") for c in KEY], "n_items", "items")
+    found = stage(spans.join(named, _same("_", "__"), "left").drop(*[f"__{c}" for c in KEY]), "found")
+    out = probed.where("p is null").join(found, _same("", "_"), "left")
+    count = lambda c: F.coalesce(c, F.lit(0)).cast("bigint").alias(c)
+    drop(hits)
+    drop(owned)
+    return out.select("doc_id", "n_words", count("n_hit"), count("n_items"), F.sha2(F.coalesce("items", F.lit("")), 256).alias("items_sha256"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"))
+
+
+def clean(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that hold no window of an item."""
+    owned = stage(windows(items, window, item_id, item_text), "windows")
+    probed, hits = _search(_keyed(docs, doc_id, text), owned, window)
+    found = stage(hits.select(*[F.col(c).alias(f"_{c}") for c in KEY]).distinct(), "found")
+    for done in (owned, probed, hits):
+        drop(done)
+    ident, held = docs[f"`{doc_id}`"], docs[f"`{text}`"]
+    return docs.join(found, ident.eqNullSafe(found["_doc_id"]) & (F.xxhash64(held) == found["_h1"]) & (F.xxhash64(F.lit(1), held) == found["_h2"]), "left_anti")

@@ -134,7 +134,7 @@ sizes AS (SELECT DISTINCT n FROM iw),
 dw AS (SELECT doc_id, n, k, array_to_string(w[k:k + n - 1], ' ') AS x FROM d, sizes, unnest(range(1, len(w) - n + 2)) AS t(k)),
 hits AS (SELECT doc_id, item_id, k, dw.n FROM dw JOIN iw ON dw.n = iw.n AND dw.x = iw.x),
 covered AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM hits, unnest(range(k, k + n)) AS t(p) GROUP BY doc_id),
-found AS (SELECT doc_id, count(*) AS n_items, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids
+found AS (SELECT doc_id, count(item_id) AS n_items, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids
   FROM (SELECT DISTINCT doc_id, item_id FROM hits) GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
   sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated

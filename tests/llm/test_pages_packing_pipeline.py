@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from meshwork.llm import decontaminate, html_extract, packing, secret_scan
+from meshwork.llm import html_extract, packing, secret_scan
 from meshwork.llm import queries as q
 from tests.llm.helpers import AWKWARD, DOCS, docs, words
 from tests.llm.test_near_dedup import plain
@@ -173,5 +173,5 @@ def test_run_and_empty_documents(spark, small, tmp_path):
 
 def test_annotation_keeps_all_columns(spark):
     df = docs(spark, ["a", None], extra=True).withColumn("_found0", F.array(F.lit(1)))
-    out = decontaminate.decontaminate(df, spark.createDataFrame([(1, "a")], "item_id bigint, text string"), into="_found")
-    assert out.columns == [*df.columns, "_found"] and [r._found.contaminated for r in out.orderBy("doc_id").collect()] == [True, False]
+    out = secret_scan.redact_secrets(df, into="_found")
+    assert out.columns == [*df.columns, "_found"] and [r._found.redacted for r in out.orderBy("doc_id").collect()] == ["a", None]

@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from meshwork.llm import chat_format, decontaminate, language_id, secret_scan, token_binary, token_counts
 from meshwork.llm import queries as q
@@ -180,22 +181,40 @@ def plain_hits(text: str | None, items: list[tuple], window: int = 10) -> tuple[
             if tuple(w[i : i + n]) in wins:
                 any_ = True
                 hit.update(range(i, i + n))
-        found += [str(ident)] if any_ else []
-    return len(w), len(hit), sorted(found)
+        found += [str(ident)] if any_ and ident is not None else []
+    return len(w), len(hit), sorted(set(found))
 
 
 def test_windows_equal_plain_search(spark):
-    items = [(i, " ".join(words(i, n, 30))) for i, n in enumerate([25, 12, 10, 9, 3, 2, 1, 40])] + [(20, None), (21, "..."), (22, "w1 w2"), (0, "again W3, w4")]
+    items = [(i, " ".join(words(i, n, 30))) for i, n in enumerate([25, 12, 10, 9, 3, 2, 1, 40])] + [(20, None), (21, "..."), (22, "w1 w2"), (0, "again W3, w4"), (7, " ".join(words(7, 40, 30))), (None, " ".join(words(5, 2, 30)))]
     texts = [" ".join(words(100 + i, 200, 30)) for i in range(10)] + [f"Lead {t} tail, {t}" for _, t in items if t] + [(items[0][1] + " ") * 50] + AWKWARD
     table = spark.createDataFrame(items, "item_id bigint, text string").selectExpr("*", "1 as doc_id", "2 as slot")
-    for chunk in (200_000, 15):  # one chunk of items, and several
-        got = {r.doc_id: r for r in decontaminate.decontaminate(docs(spark, texts, extra=True), table, chunk_words=chunk).collect()}
-        for i, t in enumerate(texts):
-            n, hit, found = plain_hits(t, items)
-            assert (got[i].n_words, got[i].n_hit, got[i].n_items, got[i].items_sha256, got[i].contaminated) == (n, hit, len(found), sha(",".join(found)), hit > 0), i
+    some = docs(spark, texts, extra=True)
+    some = some.union(some.where("doc_id < 12")).union(some.where("doc_id in (11, 13)").withColumn("doc_id", F.lit(None))).selectExpr("*", "1 as _doc_id", "2 as _h1", "3 as p").repartition(3)
+    rows = decontaminate.decontaminate(some, table).collect()
+    assert len(rows) == len(texts) + 14
+    got = {r.doc_id: r for r in rows}
+    for r in rows:
+        assert r.doc_id is None or r == got[r.doc_id]
+    for i, t in enumerate(texts):
+        n, hit, found = plain_hits(t, items)
+        assert (got[i].n_words, got[i].n_hit, got[i].n_items, got[i].items_sha256, got[i].contaminated) == (n, hit, len(found), sha(",".join(found)), hit > 0), i
+    kept = decontaminate.clean(some, table)
+    assert kept.columns == some.columns
+    assert sorted(r.doc_id or -1 for r in kept.collect()) == sorted(r.doc_id or -1 for r in rows if not r.contaminated)
     none = decontaminate.decontaminate(docs(spark, ["a b"]), table.limit(0)).collect()
     assert [(r.n_words, r.n_hit) for r in none] == [(2, 0)]
     assert decontaminate.decontaminate(spark.createDataFrame([], DOCS), table).collect() == []
+    assert decontaminate.clean(spark.createDataFrame([], DOCS), table).collect() == []
+
+
+def test_a_sieve_lets_all_wanted_shingles_through(spark):
+    rng = np.random.default_rng(1)
+    wanted = rng.integers(0, 1 << 64, 5000, np.uint64)
+    sieve = decontaminate.Sieve(spark.createDataFrame([(int(x),) for x in wanted.view(np.int64)], "shingle bigint"), [1])
+    bit = wanted >> np.uint64(decontaminate._LEFT_OUT)
+    assert (sieve.table[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8) & 1).all()
+    assert len(sieve.table) == decontaminate.BITS // 8 and np.unpackbits(sieve.table).sum() <= 5000
 
 
 # --- languages
