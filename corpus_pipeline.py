@@ -38,8 +38,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that hold ten consecutive words of a benchmark item."""
-    found = decontaminate.decontaminate(docs, read(spark, sf_dir, "benchmark"), into="_found")
-    return found.where(~F.col("_found.contaminated")).drop("_found")
+    return decontaminate.clean(docs, read(spark, sf_dir, "benchmark"))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
