@@ -68,7 +68,7 @@ def _merged(labels: DataFrame, parents: DataFrame) -> DataFrame:
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """``(node, component)`` for every endpoint of ``edges``; component is the smallest node id reachable.
 
-    Null endpoints and loops link nothing; repeated edges count once; no edges give an empty table.
+    The table is staged. Null endpoints and loops link nothing; repeated edges count once; no edges give an empty table.
     """
     live = stage(_edges(edges.select(F.col(a).cast("bigint").alias("a"), F.col(b).cast("bigint").alias("b")).dropna()), "edges")
     labels: DataFrame | None = None
@@ -89,9 +89,10 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         drop(live)
         live = rest
         labels = parents if labels is None else _merged(labels, parents)
-    if labels is not None:
-        drop(live)
     if labels is None:
-        return live.select(F.col("a").alias("node"), F.col("b").alias("component"))
+        labels = live.select(F.col("a").alias("node"), F.col("b").alias("root"))
     roots = labels.select(F.col("root").alias("node"), F.col("root").alias("component")).distinct()
-    return labels.select("node", F.col("root").alias("component")).unionByName(roots)
+    out = stage(labels.select("node", F.col("root").alias("component")).unionByName(roots), "components")
+    drop(live)
+    drop(labels)
+    return out

@@ -8,6 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_local: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``; a new temporary one only where none is set in local mode."""
     found = spark.conf.get("spark.checkpoint.dir", None)
@@ -15,8 +18,9 @@ def shared_dir(spark: SparkSession) -> str:
         master = spark.sparkContext.master
         if not master.startswith("local") or master.startswith("local-cluster"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="meshwork-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        if not _local:
+            _local.append("file://" + tempfile.mkdtemp(prefix="meshwork-"))
+        found = _local[0]
     return found.rstrip("/")
 
 
