@@ -293,13 +293,13 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, vec_id: str = "vec_
     roots = components(found.where("a is not null"), "a", "b")
     links = found.where("row is not null").groupBy(F.col("row").alias("_row")).agg(F.sum("n").alias("links"))
     named = reps.join(links, F.col("row") == F.col("_row"), "left").join(roots, F.col("row") == F.col("node"), "left")
-    named = stage(named.select(F.col("v").alias("_v"), "least", F.coalesce("component", "row").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("links")), "named")
-    first = named.groupBy(F.col("root").alias("_root")).agg(F.min("least").alias("component"))
-    named = named.join(first, F.col("root") == F.col("_root")).select("_v", "links", "component")
+    names = stage(named.select(F.col("v").alias("_v"), "least", F.coalesce("component", "row").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("links")), "named")
+    first = names.groupBy(F.col("root").alias("_root")).agg(F.min("least").alias("component"))
+    named = names.join(first, F.col("root") == F.col("_root")).select("_v", "links", "component")
     out = keyed.join(named, F.col("v") == F.col("_v"), "left")
     component = F.when(F.col("_v").isNull(), F.col("vec_id")).otherwise(F.col("component"))
     out = stage(out.select("vec_id", F.coalesce("links", F.lit(0)).cast("bigint").alias("n_links"), component.alias("component_id")), "near_vectors")
-    for done in (keyed, reps, found):
+    for done in (keyed, reps, found, roots, names):
         drop(done)
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 

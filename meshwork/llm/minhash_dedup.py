@@ -8,14 +8,16 @@ similarity 0.85 a symbol differs with probability 0.15: with 9 chunks of 5 symbo
 17 is exceeded for about one borderline pair in ten thousand.
 
 1. Texts of equal sets (count and 128-bit digest) become one representative: the smallest id, by grouped minimum.
-2. Under each key every representative points at the smallest one, so a key of n texts makes n-1 edges; the
-   components of these edges hold every pair that shares a key.
-3. Components are cut into blocks of about ``BLOCK`` texts by hash. Units of one or two blocks compare all full
+2. Under each key the texts that may be within the signature distance are connected: two bits of each symbol
+   travel with a key, and a pair that differs in more of these than the distance allows differs in more symbols.
+   Under a key of more than ``GROUP`` texts all point at the smallest one instead. Either way a key of n texts makes
+   fewer than n edges, and the components of these edges hold every pair within the distance.
+3. Components are cut into blocks of about ``BLOCK`` texts and ``BLOCK_BYTES`` by hash. Units of one or two blocks compare all full
    sets across them exactly and return a spanning forest of the links they find; see ``confirmed``.
 4. Components of these links, joined back to all texts.
 
-Null and empty texts have an empty set and link with nothing. Rows of one id take the component of that id;
-ids that are null get no component. Other columns are ignored; an empty table gives an empty table.
+Null and empty texts have an empty set and link with nothing. Rows of one id are one node, whose texts all take part,
+and take the component of that id; ids that are null get no component. Other columns are ignored; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -34,7 +36,9 @@ from meshwork.plans.components import components
 from meshwork.plans.staging import drop, stage
 
 CHUNKS, WIDTH, ERRORS = 9, 5, 1
-BLOCK, PIVOTS = 64, 16
+DISTANCE = CHUNKS * (ERRORS + 1) - 1
+GROUP = 256
+BLOCK, BLOCK_BYTES, PIVOTS = 64, 16 << 20, 16
 U = np.uint64
 _A = mix(np.arange(1, CHUNKS * WIDTH + 1, dtype=U) * U(0xA24BAED4963EE407)) | U(1)
 _B = mix(np.arange(1, CHUNKS * WIDTH + 1, dtype=U) * U(0x9FB21C651E98DF25))
@@ -67,15 +71,17 @@ def keys(signature: np.ndarray) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, shingle: int, doc_id: str, text: str) -> DataFrame:
-    """doc_id, set size, 128-bit digest of the set, signature (null for an empty set)."""
+    """doc_id, bytes, set size, 128-bit digest of the set, signature (null for an empty set)."""
 
     def step(part: pa.RecordBatch) -> dict:
-        words, at = batch_words(text_bytes(part.column(1)), SPACE_WORDS)
+        raw = text_bytes(part.column(1))
+        words, at = batch_words(raw, SPACE_WORDS)
         sets = [shingle_set(words[a:b], shingle) for a, b in zip(at[:-1], at[1:], strict=True)]
         full = [s for s in sets if len(s)]
         made = iter(signatures(full) if full else [])
         return {
             "doc_id": part.column(0),
+            "size": pa.array([len(x) for x in raw], pa.int64()),
             "n": pa.array([len(s) for s in sets], pa.int64()),
             "d1": pa.array([int(mix(s).sum(dtype=U).view(np.int64)) for s in sets], pa.int64()),
             "d2": pa.array([int(np.bitwise_xor.reduce(mix(s ^ U(0x5851F42D4C957F2D))).view(np.int64)) if len(s) else 0 for s in sets], pa.int64()),
@@ -83,22 +89,77 @@ def fingerprints(docs: DataFrame, shingle: int, doc_id: str, text: str) -> DataF
         }
 
     rows = pick(docs, doc_id=doc_id, text=text).withColumn("doc_id", F.col("doc_id").cast("bigint"))
-    return map_arrow(rows, "doc_id bigint, n bigint, d1 bigint, d2 bigint, sig binary", step)
+    return map_arrow(rows, "doc_id bigint, size bigint, n bigint, d1 bigint, d2 bigint, sig binary", step)
+
+
+def sketches(signature: np.ndarray) -> np.ndarray:
+    """The lowest bit of every symbol, and the next one, as one 64-bit number each."""
+    wide = signature.astype(U)
+    place = np.arange(CHUNKS * WIDTH, dtype=U)
+    return np.stack([(((wide >> U(bit)) & U(1)) << place).sum(axis=1, dtype=U) for bit in (0, 1)], axis=1)
+
+
+def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """In how many symbols sketches differ: never more than their signatures do."""
+    differ = a ^ b
+    return np.bitwise_count(differ[..., 0] | differ[..., 1])
 
 
 def _filed(reps: DataFrame) -> DataFrame:
     def step(part: pa.RecordBatch) -> dict:
         sig = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint16).reshape(-1, CHUNKS * WIDTH)
-        made = keys(sig)
-        return {"rep": pa.array(np.repeat(part.column(0).to_numpy(), made.shape[1])), "key": pa.array(made.reshape(-1).view(np.int64))}
+        made, short = keys(sig), sketches(sig).view(np.int64)
+        times = made.shape[1]
+        return {"rep": pa.array(np.repeat(part.column(0).to_numpy(), times)), "key": pa.array(made.reshape(-1).view(np.int64)), "s0": pa.array(np.repeat(short[:, 0], times)), "s1": pa.array(np.repeat(short[:, 1], times))}
+
+    return map_arrow(reps.select("rep", "sig"), "rep bigint, key bigint, s0 bigint, s1 bigint", step)
+
+
+def near_in_group(reps: np.ndarray, short: np.ndarray) -> list[tuple[int, int]]:
+    """Edges (rep, smallest rep) that connect the texts of one key that may be within the signature distance."""
+    i, j = np.nonzero(np.triu(apart(short[:, None], short[None]) <= DISTANCE, 1))
+    return forest(list(zip(i.tolist(), j.tolist(), strict=True)), reps.tolist())
 
-    return map_arrow(reps.select("rep", "sig"), "rep bigint, key bigint", step)
+
+def _edges_of(rows: np.ndarray) -> pa.RecordBatch:
+    """Edges of whole groups; rows are (key, rep, s0, s1), ordered by key."""
+    first = np.flatnonzero(np.concatenate(([True], rows[1:, 0] != rows[:-1, 0])))
+    size, short = np.diff(np.append(first, len(rows))), rows[:, 2:].view(U)
+    two = first[size == 2]  # most keys: many at a time
+    two = two[apart(short[two], short[two + 1]) <= DISTANCE]
+    pair = np.sort(np.stack([rows[two, 1], rows[two + 1, 1]]), axis=0)
+    more = [near_in_group(rows[f : f + n, 1], short[f : f + n]) for f, n in zip(first[size > 2].tolist(), size[size > 2].tolist(), strict=True)]
+    rest = np.array([e for group in more for e in group], np.int64).reshape(-1, 2)
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate((pair[1], rest[:, 0]))), pa.array(np.concatenate((pair[0], rest[:, 1])))], ["rep", "lead"])
+
+
+def _near_in_groups(grouped: DataFrame) -> DataFrame:
+    """Edges of all keys; rows (key, rep, s0, s1) lie together by key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = np.zeros((0, 4), np.int64)
+        for part in slices(batches, rows=1 << 16, size=4 << 20):
+            if part.num_rows:
+                rows = np.concatenate((rest, np.stack([c.to_numpy() for c in part.columns], axis=1)))
+                last = int((rows[:, 0] != rows[-1, 0]).nonzero()[0].max(initial=-1)) + 1  # where the last key begins
+                rest = rows[last:]
+                if last:
+                    yield _edges_of(rows[:last])
+        if len(rest):
+            yield _edges_of(rest)
+
+    return grouped.mapInArrow(run, "rep bigint, lead bigint")
 
 
 def candidates(reps: DataFrame) -> DataFrame:
-    """Edges (rep, lead) from each representative to the smallest under each of its keys."""
-    lead = stage(_filed(reps).groupBy("key").agg(F.min("rep").alias("lead"), F.max("rep").alias("last")).where("lead < last").select(F.col("key").alias("_k"), "lead"), "leads")
-    edges = stage(_filed(reps).join(lead, F.col("key") == F.col("_k")).where("rep <> lead").select("rep", "lead").distinct(), "candidates")
+    """Edges (rep, lead) that connect all representatives within the signature distance of each other."""
+    lead = _filed(reps).groupBy("key").agg(F.min("rep").alias("lead"), F.max("rep").alias("last"), F.count("*").alias("n"))
+    lead = stage(lead.where("lead < last").select(F.col("key").alias("_k"), "lead", "n"), "leads")
+    met = _filed(reps).join(lead, F.col("key") == F.col("_k"))
+    small = met.where(F.col("n") <= GROUP).select("key", "rep", "s0", "s1")
+    near = _near_in_groups(small.repartition("key").sortWithinPartitions("key", "rep"))
+    large = met.where((F.col("n") > GROUP) & (F.col("rep") != F.col("lead"))).select("rep", "lead")
+    edges = stage(near.unionByName(large).where("rep <> lead").distinct(), "candidates")
     drop(lead)
     return edges
 
@@ -185,39 +246,42 @@ def _compared(units: DataFrame, shingle: int, percent: int) -> DataFrame:
     return dealt.mapInArrow(run, "a bigint, b bigint")
 
 
-def _block(n: str, name: str) -> list[Column]:
-    """How many blocks n members make, and the block of a member."""
-    blocks = F.ceil(F.col(n) / BLOCK).cast("int")
+def _block(n: str, size: str, name: str) -> list[Column]:
+    """How many blocks so many members of so many bytes make, and the block of a member."""
+    blocks = F.ceil(F.greatest(F.col(n) / BLOCK, F.col(size) / BLOCK_BYTES)).cast("int")
     return [blocks.alias(f"{name}_blocks"), F.pmod(F.xxhash64("rep"), blocks).cast("int").alias(name)]
 
 
 def confirmed(members: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """Edges (a, b) that connect what all links within each cluster connect; members are (rep, cluster, text).
+    """Edges (a, b) that connect what all links within each cluster connect.
+
+    Members are staged rows (rep, cluster, text, members and bytes of the cluster); they are dropped.
 
     A cluster of up to ``BLOCK`` members is one unit. A larger one is first compared block by block, each block
     together with the cluster's pivots (about ``PIVOTS`` of its members, by hash), which connects most of a
     group of near copies with each member read once. Members of one component need no further comparing, so
     afterwards those outside the cluster's largest component meet all members, block by block.
     """
-    size = members.groupBy(F.col("cluster").alias("_c")).agg(F.count("*").alias("n"))
-    members = stage(members.join(stage(size, "sizes"), F.col("cluster") == F.col("_c")).select("rep", "cluster", "text", "n"), "members")
-    dealt = members.select("*", *_block("n", "block"))
+    dealt = members.select("*", *_block("n", "size", "block"))
     pivot = F.pmod(F.xxhash64("rep", F.lit(7)), F.ceil(F.col("n") / PIVOTS)) == 0
     everywhere = F.when((F.col("block_blocks") > 1) & pivot, F.sequence(F.lit(0), F.col("block_blocks") - 1)).otherwise(F.array("block"))
     first = dealt.select("cluster", F.explode(everywhere).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side"), "rep", "text")
     near = stage(_compared(first, shingle, percent), "near")
 
-    large = members.where(F.col("n") > BLOCK)
+    large = members.where((F.col("n") > BLOCK) | (F.col("size") > BLOCK_BYTES))
     if large.isEmpty():
+        drop(members)
         return near
-    known = stage(components(near, "a", "b"), "known")
-    named = large.join(known, F.col("rep") == F.col("node"), "left").select("rep", "cluster", "text", "n", F.coalesce("component", "rep").alias("own"))
+    known = components(near, "a", "b")
+    named = large.join(known, F.col("rep") == F.col("node"), "left").select("rep", "cluster", "text", "n", "size", F.coalesce("component", "rep").alias("own"))
     named = stage(named, "named")
-    parts = named.groupBy("cluster", "own").agg(F.count("*").alias("k"))
-    main = stage(parts.groupBy(F.col("cluster").alias("_c")).agg(F.max_by("own", F.struct("k", -F.col("own"))).alias("main"), F.max("k").alias("inside")), "mains")
+    drop(members)
+    parts = named.groupBy("cluster", "own").agg(F.count("*").alias("k"), F.sum(F.octet_length("text")).alias("bytes"))
+    largest = F.max(F.struct("k", (-F.col("own")).alias("o"), "own", "bytes")).alias("main")
+    main = stage(parts.groupBy(F.col("cluster").alias("_c")).agg(largest).select("_c", F.col("main.own").alias("main"), F.col("main.k").alias("inside"), F.col("main.bytes").alias("inside_size")), "mains")
     placed = named.join(main, F.col("cluster") == F.col("_c")).where(F.col("n") > F.col("inside"))
-    placed = placed.withColumn("outside", F.col("n") - F.col("inside"))
-    blocks = placed.select("cluster", "rep", "text", (F.col("own") == F.col("main")).alias("is_main"), *_block("inside", "x"), *_block("outside", "y"))
+    placed = placed.withColumn("outside", F.col("n") - F.col("inside")).withColumn("outside_size", F.col("size") - F.col("inside_size"))
+    blocks = placed.select("cluster", "rep", "text", (F.col("own") == F.col("main")).alias("is_main"), *_block("inside", "inside_size", "x"), *_block("outside", "outside_size", "y"))
     # Units (i, j): block i from outside the main component against its block j, or, as j = -1 - i', against block i'.
     up_to = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     unit = lambda i, j, side: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), F.lit(side).alias("side"))
@@ -228,7 +292,10 @@ def confirmed(members: DataFrame, shingle: int, percent: int) -> DataFrame:
     own = F.array(unit(F.col("y"), -1 - F.col("y"), 0))
     exploded = blocks.withColumn("u", F.explode(F.when(F.col("is_main"), of_main).otherwise(F.concat(with_main, with_others, own))))
     far = _compared(exploded.select("cluster", "u.i", "u.j", "u.side", "rep", "text"), shingle, percent)
-    return near.unionByName(far)
+    both = stage(near.unionByName(far), "links")
+    for done in (near, known, named, main):
+        drop(done)
+    return both
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -238,20 +305,28 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, doc_id
     """
     prints = stage(fingerprints(docs, shingle, doc_id, text), "prints")
     full = prints.where("n > 0 and doc_id is not null")
-    reps = stage(full.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.min("sig").alias("sig")), "reps")
+    reps = stage(full.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.min("sig").alias("sig"), F.max("size").alias("size")), "reps")
     edges = candidates(reps)
-    clusters = stage(components(edges, "rep", "lead"), "clusters")
+    clusters = components(edges, "rep", "lead")
     drop(edges)
-    # One text for each representative: rows of one id may differ, so the set's size and digest decide.
-    wanted = reps.join(clusters, F.col("rep") == F.col("node")).select("rep", "component")
+    wanted = reps.join(clusters, F.col("rep") == F.col("node")).groupBy("rep", F.col("component").alias("cluster")).agg(F.sum("size").alias("own"))
+    whole = wanted.groupBy(F.col("cluster").alias("_c")).agg(F.count("*").alias("n"), F.sum("own").alias("size"))
+    wanted = stage(wanted.join(whole, F.col("cluster") == F.col("_c")).select("rep", "cluster", "n", "size"), "wanted")
     source = pick(docs, doc_id=doc_id, text=text).withColumn("doc_id", F.col("doc_id").cast("bigint"))
-    members = source.join(wanted, F.col("doc_id") == F.col("rep")).select("rep", F.col("component").alias("cluster"), "text")
-    found = stage(confirmed(members, shingle, percent), "links")
-    roots = stage(components(found, "a", "b"), "roots")
+    members = stage(source.join(wanted, F.col("doc_id") == F.col("rep")).select("rep", "cluster", "text", "n", "size"), "members")
+    drop(wanted)
+    found = confirmed(members, shingle, percent)
+    roots = components(found, "a", "b")
     drop(found)
+    drop(clusters)
     named = reps.join(roots, F.col("rep") == F.col("node"), "left").select(F.col("n").alias("_n"), F.col("d1").alias("_1"), F.col("d2").alias("_2"), F.coalesce("component", "rep").alias("component"))
     named = stage(named, "named")
+    drop(roots)
+    drop(reps)
     same = (F.col("n") == F.col("_n")) & (F.col("d1") == F.col("_1")) & (F.col("d2") == F.col("_2"))
     out = prints.drop("sig").join(named, same, "left")
     component = F.when(F.col("n") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+    out = stage(out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")), "near_duplicates")
+    drop(prints)
+    drop(named)
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))

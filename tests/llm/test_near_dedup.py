@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import os
 import random
 
 import numpy as np
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from meshwork.llm import minhash_dedup
 from meshwork.llm.queries import op6_minhash_near_dedup
 from meshwork.llm.words import SPACE_WORDS, batch_words, shingle_set
+from meshwork.plans import staging
 from tests.llm.helpers import AWKWARD, DOCS, docs, words
 
 
@@ -60,6 +62,49 @@ def test_equals_comparing_all_pairs(spark, monkeypatch, shingle, percent):
     assert found == plain(texts, shingle, percent)
 
 
+def test_blocks_are_bounded_in_bytes(spark, monkeypatch):
+    monkeypatch.setattr(minhash_dedup, "BLOCK_BYTES", 2000)
+    texts = near_copies()
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash_dedup.near_duplicates(docs(spark, texts), 3, 85).collect()}
+    assert found == plain(texts, 3, 85)
+
+
+@pytest.mark.parametrize("group", [0, 3, 256])
+def test_candidates_connect_all_pairs_within_the_distance(spark, monkeypatch, group):
+    monkeypatch.setattr(minhash_dedup, "GROUP", group)
+    rng = np.random.default_rng(group)
+    width = minhash_dedup.CHUNKS * minhash_dedup.WIDTH
+    sig = rng.integers(0, 1 << 16, (120, width)).astype(np.uint16)
+    for i in range(20, 120):  # near ones, and some that share a chunk with many but are far
+        sig[i] = sig[i % 20]
+        far = int(rng.integers(0, 35))
+        sig[i, rng.choice(width, far, replace=False)] = rng.integers(0, 1 << 16, far)
+    reps = spark.createDataFrame([(i, x.tobytes()) for i, x in enumerate(sig)], "rep bigint, sig binary").repartition(3)
+    edges = [(r.rep, r.lead) for r in minhash_dedup.candidates(reps).collect()]
+    up = list(range(len(sig)))
+
+    def find(x: int) -> int:
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in edges:
+        up[max(find(a), find(b))] = min(find(a), find(b))
+    for i in range(len(sig)):
+        for j in range(i):
+            assert (sig[i] != sig[j]).sum() > minhash_dedup.DISTANCE or find(i) == find(j)
+    if group > 100:
+        assert len(edges) < len(set(edges)) + 1 and any((sig[a] != sig[a % 20]).sum() > 25 and a not in {x for e in edges for x in e} for a in range(20, 120))
+    short = minhash_dedup.sketches(sig)
+    assert all(minhash_dedup.apart(short[i], short[j]) <= (sig[i] != sig[j]).sum() for i in range(30) for j in range(120))
+
+
+def test_nothing_staged_is_left_behind(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(staging, "shared_dir", lambda _: f"file://{tmp_path}")
+    assert minhash_dedup.near_duplicates(docs(spark, near_copies()), 3, 85).count() == 92
+    assert {x.rsplit("-", 1)[0] for x in os.listdir(f"{tmp_path}/meshwork")} == {"near_duplicates"}
+
+
 def test_repeated_rows_nulls_and_clashing_names(spark):
     rows = docs(spark, ["a b c d", "a b c d", "x y z", None], extra=True)
     more = rows.union(rows.where("doc_id = 1")).union(rows.where("doc_id = 2").withColumn("doc_id", F.lit(None).cast("bigint")))
