@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from meshwork.llm import html_extract
 
@@ -61,3 +63,92 @@ def test_names_hide_whole_tokens_beside_the_text():
     assert html_extract.extract(f"<body><div class=widget><article>Short</article></div><div>{story}</div></body>") == "Short"
     assert "Teaser" not in html_extract.extract(f"<body><div class=related><article>Teaser</article></div><article>{story}</article></body>")
     assert "First!" not in html_extract.extract(f"<body><article>{story}<article class=comment>First!</article></article></body>")
+
+
+# --- alignment
+
+
+def plain_match(a, b) -> int:
+    """Most elements that match, by the recursive definition; trees are (label, children)."""
+    if a[0] != b[0]:
+        return 0
+    x, y = a[1], b[1]
+    table = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+    for i in range(len(x)):
+        for j in range(len(y)):
+            table[i + 1][j + 1] = max(table[i][j + 1], table[i + 1][j], table[i][j] + plain_match(x[i], y[j]))
+    return 1 + table[-1][-1]
+
+
+def written(tree) -> str:
+    labels, parents = [], []
+
+    def walk(node, above):
+        me = len(labels)
+        labels.append(node[0])
+        parents.append(above)
+        for kid in node[1]:
+            walk(kid, me)
+
+    walk(tree, -1)
+    return html_extract.written(labels, parents)
+
+
+@settings(max_examples=200, deadline=None)
+@given(*[st.recursive(st.tuples(st.sampled_from("ab"), st.just([])), lambda kids: st.tuples(st.sampled_from("ab"), st.lists(kids, max_size=4)), max_leaves=12) for _ in range(2)])
+def test_alignment_equals_plain_simple_tree_matching(a, b):
+    a, b = ("root", [a]), ("root", [b])
+    x, y = written(a), written(b)
+    found = html_extract.match(x, y)
+    assert sum(r >= 0 for r in found) == plain_match(a, b)
+    (la, pa, _, _), (lb, pb, _, _) = html_extract._read(x), html_extract._read(y)
+    pairs = [(i, r) for i, r in enumerate(found) if r >= 0]
+    assert len({r for _, r in pairs}) == len(pairs) and sorted(pairs) == sorted(pairs, key=lambda p: p[1])
+    assert all(la[i] == lb[r] and (not i or found[pa[i]] == pb[r]) for i, r in pairs)
+    assert html_extract.match(x, x) == list(range(len(la)))
+
+
+# --- content by evidence of the host
+
+
+def anonymous(page: str) -> str:
+    """A page whose elements and names tell nothing."""
+    for old, new in (("<article>", "<div class=k>"), ("</article>", "</div>"), ("<nav>", "<div class=z>"), ("</nav>", "</div>"), ("<footer>", "<div class=y>"), ("</footer>", "</div>"), ('"ad"', '"q"')):
+        page = page.replace(old, new)
+    return page
+
+
+def test_the_wrapper_decides_where_names_say_nothing(spark, small):
+    rows = spark.read.parquet(f"{small.replace('0.001', '0.01')}/pages.parquet").collect()
+    by: dict[str, list] = {}
+    for r in rows:
+        by.setdefault(r.url.split("/")[2], []).append(r)
+    rows = [r for own in by.values() if len(own) >= 5 for r in own]
+    want = {r.page_id: html_extract.extract(r.html) for r in rows}
+    told = {r.page_id: anonymous(r.html) for r in rows}
+    df = spark.createDataFrame([(r.page_id, r.url, told[r.page_id]) for r in rows], "page_id bigint, url string, html string")
+    for names in (True, False):
+        assert {r.page_id: r.text for r in html_extract.extract_pages(df, names=names).collect()} == want
+    assert all(html_extract.extract(told[i]) != want[i] for i in want)  # the wrapper does it
+
+
+def story(i: int, n: int) -> str:
+    return "".join(f"<p>Story {i} paragraph {k} tells what nobody else tells at {i * k}.</p>" for k in range(n))
+
+
+def test_headings_beside_the_content_stay_and_menus_inside_it_go(spark):
+    menu = lambda i: "<ul>" + "".join(f"<li><a href=x>Other story {i + k} to read</a></li>" for k in range(4)) + "</ul>"
+    page = lambda i: f"<body><div class=a><a href=/>Home {i}</a> <a href=/>News</a></div><div class=b><h1>Title {i}</h1><div class=c>By {i}, 5 min</div><div class=d>{story(i, 3 + i % 3)}{menu(i)}</div></div><div class=e>Visit {i}</div></body>"
+    got = texts_of(spark, [page(i) for i in range(6)])
+    assert got == [f"Title {i}\n\n" + "\n\n".join(f"Story {i} paragraph {k} tells what nobody else tells at {i * k}." for k in range(3 + i % 3)) for i in range(6)]
+
+
+def test_pages_of_another_kind_rest_on_names(spark):
+    pages = [f"<body><div class=a>Home {i}</div><div class=d>{story(i, 4)}</div></body>" for i in range(6)] + ["<body><nav>Menu</nav><table><tr><td>Contact us here</table></body>"]
+    assert texts_of(spark, pages)[-1] == "Contact us here"
+
+
+def test_pages_of_any_depth(spark):
+    deep = lambda i, n: "<body>" + "<div>" * n + f"Text {i}" + "</div>" * n + "<p>end</p></body>"
+    got = texts_of(spark, [deep(i, 5000 + 500 * (i % 3)) for i in range(6)] + ["<ul><li>" * 3000 + "x", "<article>" * 2000 + "y"])
+    assert [t.split("\n\n")[0] for t in got] == [*(f"Text {i}" for i in range(6)), "x", "y"]
