@@ -41,12 +41,12 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS, size: int
             at += n
 
 
-def map_arrow(df: DataFrame, schema: str, step: Callable[[pa.RecordBatch], dict]) -> DataFrame:
-    """Apply ``step`` to slices of ``df``; it returns columns of equal length for ``schema``."""
+def map_arrow(df: DataFrame, schema: str, step: Callable[[pa.RecordBatch], dict], rows: int = SLICE_ROWS) -> DataFrame:
+    """Apply ``step`` to slices of ``df`` of at most ``rows`` rows; it returns columns of equal length for ``schema``."""
     names = [x.strip().split(" ")[0] for x in schema.split(",")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
+        for part in slices(batches, rows):
             out = step(part)
             yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in (out[n] for n in names)], names)
 

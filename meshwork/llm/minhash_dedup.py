@@ -10,8 +10,9 @@ similarity 0.85 a symbol differs with probability 0.15: with 9 chunks of 5 symbo
 1. Texts of equal sets (count and 128-bit digest) become one representative: the smallest id, by grouped minimum.
 2. Under each key the texts that may be within the signature distance are connected: two bits of each symbol
    travel with a key, and a pair that differs in more of these than the distance allows differs in more symbols.
-   Under a key of more than ``GROUP`` texts all point at the smallest one instead. Either way a key of n texts makes
-   fewer than n edges, and the components of these edges hold every pair within the distance.
+   Under a key of more than ``GROUP`` texts all point at the smallest one instead, first within a task, which sends
+   on only that one with their number. Either way a key of n texts makes fewer than n edges, and the components of
+   these edges hold every pair within the distance.
 3. Components are cut into blocks of about ``BLOCK`` texts and ``BLOCK_BYTES`` by hash. Units of one or two blocks compare all full
    sets across them exactly and return a spanning forest of the links they find; see ``confirmed``.
 4. Components of these links, joined back to all texts.
@@ -105,14 +106,33 @@ def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(differ[..., 0] | differ[..., 1])
 
 
+def _starts(key: np.ndarray) -> np.ndarray:
+    """Where runs of equal keys begin."""
+    return np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+
+
 def _filed(reps: DataFrame) -> DataFrame:
+    """Rows (key, rep, s0, s1, n) of every key of every representative; rows without a number are edges (rep, s0 as lead)."""
+
     def step(part: pa.RecordBatch) -> dict:
         sig = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint16).reshape(-1, CHUNKS * WIDTH)
-        made, short = keys(sig), sketches(sig).view(np.int64)
+        made, short = keys(sig).view(np.int64), sketches(sig).view(np.int64)
         times = made.shape[1]
-        return {"rep": pa.array(np.repeat(part.column(0).to_numpy(), times)), "key": pa.array(made.reshape(-1).view(np.int64)), "s0": pa.array(np.repeat(short[:, 0], times)), "s1": pa.array(np.repeat(short[:, 1], times))}
-
-    return map_arrow(reps.select("rep", "sig"), "rep bigint, key bigint, s0 bigint, s1 bigint", step)
+        rows = np.stack([made.reshape(-1), *(np.repeat(c, times) for c in (part.column(0).to_numpy(), short[:, 0], short[:, 1]))])
+        rows = rows[:, np.lexsort((rows[1], rows[0]))]
+        first = _starts(rows[0])
+        size = np.diff(np.append(first, rows.shape[1]))
+        lead, many = np.repeat(rows[1, first], size), np.repeat(size > GROUP, size)
+        head = np.zeros(rows.shape[1], bool)
+        head[first] = True
+        sent, number = rows[:, head | ~many], np.where(many, np.repeat(size, size), 1)[head | ~many]
+        tied = many & (rows[1] != lead)
+        edges = np.unique(np.stack([rows[1, tied], lead[tied]]), axis=1)
+        blank = np.zeros(edges.shape[1], np.int64)
+        both = np.concatenate((sent, np.stack([mix(edges[0].view(U)).view(np.int64), edges[0], edges[1], blank])), axis=1)
+        return {**{c: pa.array(x) for c, x in zip(("key", "rep", "s0", "s1"), both, strict=True)}, "n": pa.array(np.concatenate((number, blank)).astype(np.int32))}
+
+    return map_arrow(reps.select("rep", "sig"), "key bigint, rep bigint, s0 bigint, s1 bigint, n int", step, rows=1 << 13)
 
 
 def near_in_group(reps: np.ndarray, short: np.ndarray) -> list[tuple[int, int]]:
@@ -122,29 +142,40 @@ def near_in_group(reps: np.ndarray, short: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _edges_of(rows: np.ndarray) -> pa.RecordBatch:
-    """Edges of whole groups; rows are (key, rep, s0, s1), ordered by key."""
-    first = np.flatnonzero(np.concatenate(([True], rows[1:, 0] != rows[:-1, 0])))
-    size, short = np.diff(np.append(first, len(rows))), rows[:, 2:].view(U)
-    two = first[size == 2]  # most keys: many at a time
+    """Edges of whole groups; rows are (key, rep, s0, s1, n), ordered by key and rep."""
+    first = _starts(rows[:, 0])
+    size, short, total = np.diff(np.append(first, len(rows))), rows[:, 2:4].view(U), np.add.reduceat(rows[:, 4], first)
+    small = total <= GROUP
+    two = first[small & (size == 2)]  # most keys: many at a time
     two = two[apart(short[two], short[two + 1]) <= DISTANCE]
-    pair = np.sort(np.stack([rows[two, 1], rows[two + 1, 1]]), axis=0)
-    more = [near_in_group(rows[f : f + n, 1], short[f : f + n]) for f, n in zip(first[size > 2].tolist(), size[size > 2].tolist(), strict=True)]
-    rest = np.array([e for group in more for e in group], np.int64).reshape(-1, 2)
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate((pair[1], rest[:, 0]))), pa.array(np.concatenate((pair[0], rest[:, 1])))], ["rep", "lead"])
+    star = np.repeat(~small, size)
+    pairs = [np.stack([rows[two + 1, 1], rows[two, 1]]), np.stack([rows[star, 1], np.repeat(rows[first, 1], size)[star]])]
+    for f, n in zip(first[small & (size > 2)].tolist(), size[small & (size > 2)].tolist(), strict=True):
+        pairs.append(np.array(near_in_group(rows[f : f + n, 1], short[f : f + n]), np.int64).reshape(-1, 2).T)
+    found = np.concatenate(pairs, axis=1)
+    return pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], ["rep", "lead"])
 
 
 def _near_in_groups(grouped: DataFrame) -> DataFrame:
-    """Edges of all keys; rows (key, rep, s0, s1) lie together by key."""
+    """Edges of all keys; rows (key, rep, s0, s1, n) lie together by key, ordered by rep."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = np.zeros((0, 4), np.int64)
+        rest = np.zeros((0, 5), np.int64)
         for part in slices(batches, rows=1 << 16, size=4 << 20):
             if part.num_rows:
-                rows = np.concatenate((rest, np.stack([c.to_numpy() for c in part.columns], axis=1)))
+                rows = np.stack([c.to_numpy().astype(np.int64) for c in part.columns], axis=1)
+                tied = rows[rows[:, 4] == 0]
+                yield pa.RecordBatch.from_arrays([pa.array(tied[:, 1]), pa.array(tied[:, 2])], ["rep", "lead"])
+                rows = np.concatenate((rest, rows[rows[:, 4] > 0]))
+                if not len(rows):
+                    continue
                 last = int((rows[:, 0] != rows[-1, 0]).nonzero()[0].max(initial=-1)) + 1  # where the last key begins
                 rest = rows[last:]
                 if last:
                     yield _edges_of(rows[:last])
+                if len(rest) > GROUP:  # a star already: its first row stands for those so far
+                    yield _edges_of(rest)
+                    rest = np.concatenate((rest[:1, :4], [[rest[:, 4].sum()]]), axis=1)
         if len(rest):
             yield _edges_of(rest)
 
@@ -152,16 +183,9 @@ def _near_in_groups(grouped: DataFrame) -> DataFrame:
 
 
 def candidates(reps: DataFrame) -> DataFrame:
-    """Edges (rep, lead) that connect all representatives within the signature distance of each other."""
-    lead = _filed(reps).groupBy("key").agg(F.min("rep").alias("lead"), F.max("rep").alias("last"), F.count("*").alias("n"))
-    lead = stage(lead.where("lead < last").select(F.col("key").alias("_k"), "lead", "n"), "leads")
-    met = _filed(reps).join(lead, F.col("key") == F.col("_k"))
-    small = met.where(F.col("n") <= GROUP).select("key", "rep", "s0", "s1")
-    near = _near_in_groups(small.repartition("key").sortWithinPartitions("key", "rep"))
-    large = met.where((F.col("n") > GROUP) & (F.col("rep") != F.col("lead"))).select("rep", "lead")
-    edges = stage(near.unionByName(large).where("rep <> lead").distinct(), "candidates")
-    drop(lead)
-    return edges
+    """Edges (rep, lead) that connect all representatives within the signature distance of each other; staged."""
+    grouped = _filed(reps).repartition("key").sortWithinPartitions("key", "rep")
+    return stage(_near_in_groups(grouped).where("rep <> lead").distinct(), "candidates")
 
 
 def links_across(left: list[np.ndarray], right: list[np.ndarray] | None, percent: int) -> list[tuple[int, int]]:
