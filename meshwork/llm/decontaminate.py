@@ -19,6 +19,7 @@ are ignored; an empty table gives an empty table.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -139,46 +140,92 @@ def _probe(docs: DataFrame, sieve, window: int) -> DataFrame:  # noqa: ANN001
     return docs.mapInArrow(run, f"doc_id {kind.simpleString()}, h1 bigint, h2 bigint, n_words bigint, p bigint, shingle bigint, around binary, place int")
 
 
+def _prefixes(shingles: DataFrame, counts: DataFrame) -> DataFrame:
+    """(shingle, at, win) of each window's rarest shingle, the first of equally rare ones."""
+    place = F.coalesce("n", F.lit(0)) * (1 << 20) + F.col("at")
+    rare = shingles.join(counts, F.col("shingle") == F.col("_s"), "left").groupBy("win").agg((F.min(place) % (1 << 20)).alias("at"))
+
+    def step(part: pa.RecordBatch) -> dict:
+        own = zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)
+        made = [_shingle(np.frombuffer(w, np.uint64), at) for w, at in own]
+        return {"_s": pa.array(np.array(made, np.uint64).view(np.int64)), "at": part.column(1), "win": part.column(0)}
+
+    return map_arrow(rare, "_s bigint, at bigint, win binary", step)
+
+
+def _shingle(words: np.ndarray, at: int) -> int:
+    n = min(SHINGLE, len(words))
+    return int(combine(words[at : at + n], n)[0])
+
+
 def _search(docs: DataFrame, owned: DataFrame, window: int) -> tuple[DataFrame, DataFrame]:
-    """Staged: the probed documents, and (document, start, end, win) of every occurrence of a window, once a document."""
+    """Staged: the probed documents, and (document, start, end, win) of every occurrence of a window."""
     sc = docs.sparkSession.sparkContext
     shingles = stage(_shingles(owned.select("win").distinct()), "shingles")
     sizes = sorted(r.n for r in owned.select(F.least(F.lit(SHINGLE), F.length("win") / 8).cast("int").alias("n")).distinct().collect())
     counts = _frequencies(docs, sc.broadcast(Sieve(shingles.select("shingle"), sizes)))
-    rare = shingles.join(counts, F.col("shingle") == F.col("_s"), "left").groupBy("win").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "shingle", "at")).alias("first"))
-    prefixes = stage(rare.select(F.col("first.shingle").alias("_s"), F.col("first.at").alias("at"), "win"), "prefixes")
+    prefixes = stage(_prefixes(shingles, counts), "prefixes")
     probed = stage(_probe(docs, sc.broadcast(Sieve(prefixes.select(F.col("_s").alias("shingle")), sizes)), window), "probed")
-    start, size = F.col("p") - F.col("at"), F.length("win")
-    held = (F.col("place") >= F.col("at")) & (F.expr("substring(around, (place - at) * 8 + 1, length(win))") == F.col("win"))
+    held = (F.col("place") >= F.col("at")) & (F.expr("substring(around, cast((place - at) * 8 + 1 as int), length(win))") == F.col("win"))
     met = probed.where("p is not null").join(prefixes, F.col("shingle") == F.col("_s")).where(held)
-    hits = stage(met.select(*KEY, start.alias("start"), (start + size / 8).cast("bigint").alias("end"), "win").distinct(), "hits")
+    start = F.col("p") - F.col("at")
+    hits = stage(met.select(*KEY, start.alias("start"), (start + F.length("win") / 8).cast("bigint").alias("end"), "win"), "hits")
     drop(shingles)
     drop(prefixes)
     return probed, hits
 
 
-def _covered(spans: str) -> Column:
-    """Number of positions inside any of the spans."""
-    zero = F.struct(F.lit(0).cast("bigint").alias("total"), F.lit(0).cast("bigint").alias("free"))
-    grow = lambda a, s: F.struct((a.total + F.greatest(F.lit(0), s.end - F.greatest(s.start, a.free))).alias("total"), F.greatest(a.free, s.end).alias("free"))
-    return F.aggregate(F.sort_array(spans), zero, grow, lambda a: a.total)
+def _summed(hits: DataFrame) -> DataFrame:
+    """n_hit, n_items and items_sha256 of each document; hits are rows (document, start, end, item), an item each."""
+    grouped = hits.repartition(*KEY).sortWithinPartitions(*KEY, "start")
+    kind = hits.schema["doc_id"].dataType
+    names = [*(f"_{c}" for c in KEY), "n_hit", "n_items", "items_sha256"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, hit, free, items, out = None, 0, 0, set(), []
+
+        def batch() -> pa.RecordBatch:
+            kinds = [arrow, pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
+            columns = list(zip(*out, strict=True)) or [[]] * len(kinds)
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+
+        def close() -> None:
+            if key is not None:
+                out.append((*key, hit, len(items), hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()))
+
+        arrow = pa.int64()
+        for part in slices(batches, rows=1 << 14):
+            arrow = part.column(0).type
+            for *own, start, end, item in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                if own != key:
+                    close()
+                    key, hit, free, items = own, 0, 0, set()
+                hit += max(0, end - max(start, free))
+                free = max(free, end)
+                if item is not None:
+                    items.add(item)
+            if len(out) > 1000:
+                yield batch()
+                out.clear()
+        close()
+        if out:
+            yield batch()
+
+    return grouped.mapInArrow(run, f"_doc_id {kind.simpleString()}, _h1 bigint, _h2 bigint, n_hit bigint, n_items bigint, items_sha256 string")
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10) -> DataFrame:
     """Per row: doc_id, n_words, n_hit (words inside any occurrence of an item's window), n_items, items_sha256, contaminated."""
     owned = stage(windows(items, window, item_id, item_text), "windows")
     probed, hits = _search(_keyed(docs, doc_id, text), owned, window)
-    spans = hits.groupBy(*KEY, "start").agg(F.max("end").alias("end")).groupBy(*KEY).agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    spans = spans.select(*[F.col(c).alias(f"_{c}") for c in KEY], _covered("spans").alias("n_hit"))
-    named = hits.join(owned.where("item is not null").withColumnRenamed("win", "_w"), F.col("win") == F.col("_w")).select(*KEY, "item").distinct()
-    named = named.groupBy(*KEY).agg(F.count("*").alias("n_items"), F.array_join(F.sort_array(F.collect_list("item")), ",").alias("items"))
-    named = named.select(*[F.col(c).alias(f"__{c}") for c in KEY], "n_items", "items")
-    found = stage(spans.join(named, _same("_", "__"), "left").drop(*[f"__{c}" for c in KEY]), "found")
+    met = hits.join(owned.withColumnRenamed("win", "_w"), F.col("win") == F.col("_w")).select(*KEY, "start", "end", "item")
+    found = stage(_summed(met), "found")
     out = probed.where("p is null").join(found, _same("", "_"), "left")
     count = lambda c: F.coalesce(c, F.lit(0)).cast("bigint").alias(c)
     drop(hits)
     drop(owned)
-    return out.select("doc_id", "n_words", count("n_hit"), count("n_items"), F.sha2(F.coalesce("items", F.lit("")), 256).alias("items_sha256"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"))
+    none = F.lit(hashlib.sha256(b"").hexdigest())
+    return out.select("doc_id", "n_words", count("n_hit"), count("n_items"), F.coalesce("items_sha256", none).alias("items_sha256"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"))
 
 
 def clean(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10) -> DataFrame:
