@@ -8,8 +8,8 @@ from pyspark.sql.window import Window as W
 
 from meshwork.catalog.registry import MESSAGES, TOKENS, messages, query, read, sources, vectors
 from meshwork.functions import vector
-from meshwork.functions.text import tokens
 from meshwork.operators import bm25, filters, fusion, search
+from meshwork.sources.textindex import TextIndex
 
 _DOCS = f"d AS (SELECT doc_id, {TOKENS.format('text')} AS t FROM documents), stats AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM d)"
 #: One query: the first five words of the first benchmark item.
@@ -31,13 +31,18 @@ def first_words(spark: SparkSession, d: str, item: int = 0) -> str:
     return " ".join((row[0] if row else "").lower().split()[:5])
 
 
+def index(spark: SparkSession, d: str) -> TextIndex:
+    """The stored index of the documents."""
+    return TextIndex.of(spark, f"{d}/documents.parquet")
+
+
 def scored(spark: SparkSession, d: str, explain: bool = False) -> DataFrame:
     return bm25.score(read(spark, d, "documents"), first_words(spark, d), explain=explain)
 
 
 @query(f"WITH {_SCORED} SELECT doc_id, round(score, 6) AS score FROM scored ORDER BY round(score, 9) DESC, doc_id LIMIT 10")
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
-    top = scored(spark, d).withColumn("exact", F.round("score", 9)).orderBy(F.desc("exact"), "doc_id").limit(10)
+    top = index(spark, d).score(first_words(spark, d)).withColumn("exact", F.round("score", 9)).orderBy(F.desc("exact"), "doc_id").limit(10)
     return top.select("doc_id", F.round("score", 6).alias("score"))
 
 
@@ -64,12 +69,11 @@ def postings(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _queries(spark: SparkSession, d: str) -> DataFrame:
-    words = F.array_join(F.slice(tokens("text"), 1, 5), " ")
-    return read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), words.alias("query"))
+    return read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
 BATCH = f"""{_DOCS},
-q AS (SELECT item_id AS query_id, unnest(list_slice({TOKENS.format('text')}, 1, 5)) AS term FROM benchmark),
+q AS (SELECT item_id AS query_id, unnest({TOKENS.format('text')}) AS term FROM benchmark),
 asked AS (SELECT query_id, term, count(*) AS times FROM q GROUP BY query_id, term),
 flat AS (SELECT doc_id, len(t) AS dl, unnest(t) AS term FROM d),
 tf AS (SELECT doc_id, dl, term, count(*) AS tf FROM flat WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
@@ -83,7 +87,7 @@ semantic AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s
 
 
 def keyword_run(spark: SparkSession, d: str) -> DataFrame:
-    return bm25.score_queries(read(spark, d, "documents"), _queries(spark, d))
+    return index(spark, d).score_queries(_queries(spark, d))
 
 
 def semantic_run(spark: SparkSession, d: str) -> DataFrame:
@@ -98,6 +102,12 @@ def bm25_batch(spark: SparkSession, d: str) -> DataFrame:
     return keyword_run(spark, d).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
+@query(f"WITH {BATCH} SELECT query_id, doc_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM keyword")
+def bm25_scan(spark: SparkSession, d: str) -> DataFrame:
+    """The same without an index: one pass over the texts, for the terms asked."""
+    return bm25.score_queries(read(spark, d, "documents"), _queries(spark, d)).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+
+
 @query(f"WITH {BATCH} SELECT query_id, doc_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM semantic")
 def knn_batch(spark: SparkSession, d: str) -> DataFrame:
     return semantic_run(spark, d).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
@@ -160,7 +170,7 @@ ORDER BY round(score, 9) DESC, rank LIMIT 20""")
 def search_filtered(spark: SparkSession, d: str) -> DataFrame:
     wanted = filters.SearchFilter(channels=[f"src{i}" for i in range(6)], date_from="2024-01-03 00:00:00", date_to="2024-01-28 00:00:00")
     request = search.SearchRequest(first_words(spark, d), limit=20, ranking_strategy="bm25", filter=wanted)
-    found = search.search(request, messages(spark, d), sources(spark, d))
+    found = search.search(request, messages(spark, d), sources(spark, d), index=index(spark, d))
     return found.select("message_id", "source", "channel", "author", "timestamp", F.round("score", 6).alias("score"), "keyword_rank")
 
 
@@ -176,7 +186,7 @@ def search_hybrid(spark: SparkSession, d: str) -> DataFrame:
     v = vectors(spark, d)
     q = [float(x) for x in v.where("id = 0").select("embedding").first()[0]]
     request = search.SearchRequest(first_words(spark, d), q, threshold=0.1, ranking_strategy="hybrid_rrf")
-    found = search.search(request, messages(spark, d), sources(spark, d), v)
+    found = search.search(request, messages(spark, d), sources(spark, d), v, index(spark, d))
     return found.select("message_id", "source", "channel", F.round("score", 6).alias("score"), *map(F.expr, _RANKS))
 
 

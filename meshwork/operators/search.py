@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +19,11 @@ from meshwork.operators import bm25, fusion
 from meshwork.operators.filters import SearchFilter
 
 
+class KeywordIndex(Protocol):
+    def score(self, query: str) -> DataFrame:
+        """(doc_id, score) of the documents of any weight for a query."""
+
+
 @dataclass
 class SearchRequest:
     query: str
@@ -115,9 +121,12 @@ def strategy_of(request: SearchRequest) -> str:
     return str(parse_text(request.query)["recommended_strategy"]) if chosen == "auto" else chosen
 
 
-def search(request: SearchRequest, messages: DataFrame, sources: DataFrame, vectors: DataFrame | None = None) -> DataFrame:
+def search(request: SearchRequest, messages: DataFrame, sources: DataFrame, vectors: DataFrame | None = None, index: KeywordIndex | None = None) -> DataFrame:
     """Results in order: message columns, score, the ranks behind it.
 
+    With a stored ``index`` of the messages only the postings of the query's terms are read; without one, and for
+    ``prefilter``, texts are counted anew.
+
     Twice the limit is fetched and filtered afterwards, so that a filtered search may return fewer rows;
     ``prefilter`` filters before ranking instead. Corpus statistics always cover all messages. The threshold
     applies to vector scores only.
@@ -125,10 +134,12 @@ def search(request: SearchRequest, messages: DataFrame, sources: DataFrame, vect
     chosen, n = strategy_of(request), 2 * request.limit
     if chosen != "bm25" and (vectors is None or request.query_vector is None):
         raise ValueError(f"{chosen} needs vectors and a query vector")
-    pool = request.filter.apply(messages.join(F.broadcast(sources.select(F.col("id").alias("_s"), F.col("type").alias("source"))), F.col("source_id") == F.col("_s"))) if request.prefilter else messages
+    pool = request.filter.apply(messages.join(sources.select(F.col("id").alias("_s"), F.col("type").alias("source")), F.col("source_id") == F.col("_s"))) if request.prefilter else messages
     texts = pool.select("id", "content")
 
     def keyword() -> DataFrame:
+        if index is not None and not request.prefilter:
+            return fusion.ranked(bm25.top_k(index.score(request.query).where("score > 0"), n))
         found = bm25.score(texts, request.query, "id", "content", corpus=messages.select("content") if request.prefilter else None)
         return fusion.ranked(bm25.top_k(found.where("score > 0"), n))
 

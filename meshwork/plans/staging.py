@@ -45,3 +45,19 @@ def drop(df: DataFrame) -> None:
         sc = df.sparkSession.sparkContext
         where = sc._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
+
+
+#: Inputs up to this size may be a single row group, which one task would read.
+SMALL_INPUT = 1 << 30
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal the rows of a small input to all cores before costly work on them; larger inputs have splits enough."""
+    spark = df.sparkSession
+    jvm, conf, total = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), 0
+    for file in df.inputFiles():
+        path = jvm.org.apache.hadoop.fs.Path(file)
+        total += path.getFileSystem(conf).getFileStatus(path).getLen()
+        if total > SMALL_INPUT:
+            return df
+    return df.repartition(spark.sparkContext.defaultParallelism)

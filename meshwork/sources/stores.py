@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-from meshwork.operators import bm25
+from meshwork.sources.textindex import TextIndex
 
 SOURCES = T.StructType([T.StructField("id", T.LongType(), False), T.StructField("type", T.StringType()), T.StructField("name", T.StringType()), T.StructField("config", T.StringType()), T.StructField("created_at", T.TimestampType()), T.StructField("updated_at", T.TimestampType())])
 MESSAGES = T.StructType([T.StructField("id", T.LongType(), False), T.StructField("source_id", T.LongType()), T.StructField("content", T.StringType()), T.StructField("external_id", T.StringType()), T.StructField("author", T.StringType()), T.StructField("channel", T.StringType()), T.StructField("thread_id", T.StringType()), T.StructField("timestamp", T.TimestampType()), T.StructField("metadata", T.MapType(T.StringType(), T.StringType()))])
@@ -157,11 +157,9 @@ def populate_vectors(messages: DataFrame, table: Table, embedder: Embedder) -> i
     return table.count()
 
 
-def populate_text_index(messages: DataFrame, path: str) -> None:
-    """Write postings by term, document frequencies and collection statistics."""
-    bm25.postings(messages, "id", "content").repartition("term").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
-    bm25.document_frequencies(messages, "content").write.mode("overwrite").parquet(f"{path}/terms")
-    bm25.collection_stats(messages, "content").write.mode("overwrite").parquet(f"{path}/stats")
+def populate_text_index(messages: DataFrame, path: str) -> TextIndex:
+    """Write postings by term and collection statistics."""
+    return TextIndex.build(messages, path, "id", "content")
 
 
 def vectors_of(ids: DataFrame, vectors: DataFrame, key: str = "message_id") -> DataFrame:

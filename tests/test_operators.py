@@ -2,6 +2,7 @@ from __future__ import annotations
 
 from datetime import datetime, timedelta
 
+import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -11,7 +12,7 @@ from meshwork.operators import bm25, cluster, detect, evaluation, filters, fusio
 from meshwork.operators.validate import evidence_quality, validate, verification_quality
 from meshwork.plans import components as plans
 from meshwork.plans.components import components
-from meshwork.sources import files, scenarios, stores
+from meshwork.sources import files, scenarios, stores, textindex
 
 REF = datetime(2024, 6, 30)
 
@@ -147,7 +148,7 @@ def test_requests_are_checked(bad):
 
 
 def test_batched_neighbours_equal_single_ones(spark):
-    import numpy as np
+
 
     x = np.random.default_rng(0).normal(size=(60, 5))
     v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)] + [(99, [0.0] * 5)], "vec_id bigint, embedding array<double>").repartition(3)
@@ -208,7 +209,7 @@ def test_clusters(spark, monkeypatch, block):
 
 
 def test_random_projections_find_most_pairs(spark):
-    import numpy as np
+
 
     rng = np.random.default_rng(4)
     centres = rng.normal(size=(40, 16))
@@ -480,3 +481,29 @@ def test_entry(spark):
     import __spark_entry__ as entry
 
     assert entry.entry(spark).count() == 10
+
+
+@pytest.mark.parametrize("head", [1000, 7])
+def test_stored_index_ranks_like_counting_texts(spark, tmp_path, monkeypatch, head):
+    monkeypatch.setattr(textindex, "HEAD", head)
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{int(x)}" for x in rng.zipf(1.6, int(rng.integers(0, 40))) if x < 60) for _ in range(80)] + [None, "", "the THE the", "rare"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    index = textindex.TextIndex.build(docs, f"{tmp_path}/index")
+    assert index.common.count() > 0 and index.postings.where("df * 2 >= 84").count() == 0
+    asked = spark.createDataFrame([(1, "w1 w2 w2 w9"), (2, "rare the"), (3, "w1"), (4, "nothing"), (5, ""), (6, "w1 rare")], "query_id bigint, query string")
+    plain = sorted((r.query_id, r["rank"], r.doc_id, round(r.score, 6)) for r in bm25.score_queries(docs, asked, k=5).collect())
+    assert sorted((r.query_id, r["rank"], r.doc_id, round(r.score, 6)) for r in index.score_queries(asked, k=5).collect()) == plain
+    for query in ("w1 w2 w2 w9", "rare the", "nothing", ""):
+        full = {r.doc_id: round(r.score, 6) for r in bm25.score(docs, query).where("score > 0").collect()}
+        assert {r.doc_id: round(r.score, 6) for r in index.score(query).where("score > 0").collect()} == full
+
+
+def test_stored_index_follows_its_files(spark, tmp_path):
+    write = lambda rows: spark.createDataFrame(rows, "doc_id bigint, text string").write.mode("overwrite").parquet(f"{tmp_path}/docs")
+    write([(1, "a"), (2, "b"), (3, "c")])
+    first = textindex.TextIndex.of(spark, f"{tmp_path}/docs")
+    assert textindex.TextIndex.of(spark, f"{tmp_path}/docs").path == first.path
+    write([(1, "a"), (2, "b"), (4, "d"), (5, "e")])
+    second = textindex.TextIndex.of(spark, f"{tmp_path}/docs")
+    assert second.path != first.path and [r.doc_id for r in second.score("d").collect()] == [4]
