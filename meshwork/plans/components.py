@@ -33,7 +33,7 @@ def _edges(df: DataFrame) -> DataFrame:
 
 
 def _finish(live: DataFrame) -> DataFrame:
-    """(node, root) of every vertex of few edges but the roots, in one task."""
+    """(node, root) of every vertex of few edges, in one task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [np.stack([part.column(0).to_numpy(), part.column(1).to_numpy()]) for part in batches if part.num_rows]
@@ -46,8 +46,7 @@ def _finish(live: DataFrame) -> DataFrame:
             np.minimum.at(root, np.maximum(root[a], root[b]), np.minimum(root[a], root[b]))
             while (root[root] != root).any():
                 root = root[root]
-        some = np.flatnonzero(root != np.arange(len(root)))
-        yield pa.RecordBatch.from_arrays([pa.array(nodes[some]), pa.array(nodes[root[some]])], ["node", "root"])
+        yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[root])], ["node", "root"])
 
     return live.coalesce(1).mapInArrow(run, "node bigint, root bigint")
 
@@ -59,7 +58,7 @@ def _merged(labels: DataFrame, parents: DataFrame) -> DataFrame:
     # Nodes that were roots so far and hook now get their first label.
     known = labels.select(F.col("node").alias("_k"))
     fresh = parents.join(known, F.col("node") == F.col("_k"), "left_anti")
-    merged = stage(_root(labels, parents, "root").select("node", "root").unionByName(fresh), "labels")
+    merged = stage(_root(labels, parents, "root").select("node", "root").unionByName(fresh), "labels", narrow=True)
     drop(labels)
     drop(parents)
     return merged
@@ -70,14 +69,18 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
 
     The table is staged. Null endpoints and loops link nothing; repeated edges count once; no edges give an empty table.
     """
-    live = stage(_edges(edges.select(F.col(a).cast("bigint").alias("a"), F.col(b).cast("bigint").alias("b")).dropna()), "edges")
+    live = stage(_edges(edges.select(F.col(a).cast("bigint").alias("a"), F.col(b).cast("bigint").alias("b")).dropna()), "edges", narrow=True)
     labels: DataFrame | None = None
     while n := live.count():
         if n <= FEW:
-            parents = stage(_finish(live), "parents")
-            labels = parents if labels is None else _merged(labels, parents)
+            last = _finish(live)
+            if labels is None:
+                out = stage(last.withColumnRenamed("root", "component"), "components")
+                drop(live)
+                return out
+            labels = _merged(labels, stage(last.where("node <> root"), "parents"))
             break
-        parents = stage(live.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root")), "parents")
+        parents = stage(live.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root")), "parents", narrow=True)
         while True:
             inner = parents.select(F.col("node").alias("_m"))
             if parents.join(inner, F.col("root") == F.col("_m"), "left_semi").isEmpty():
@@ -85,14 +88,14 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
             flat = stage(_root(parents, parents, "root").select("node", "root"), "parents")
             drop(parents)
             parents = flat
-        rest = stage(_edges(_root(_root(live, parents, "a"), parents, "b")), "edges")
+        rest = stage(_edges(_root(_root(live, parents, "a"), parents, "b")), "edges", narrow=True)
         drop(live)
         live = rest
         labels = parents if labels is None else _merged(labels, parents)
     if labels is None:
         labels = live.select(F.col("a").alias("node"), F.col("b").alias("root"))
     roots = labels.select(F.col("root").alias("node"), F.col("root").alias("component")).distinct()
-    out = stage(labels.select("node", F.col("root").alias("component")).unionByName(roots), "components")
+    out = stage(labels.select("node", F.col("root").alias("component")).unionByName(roots), "components", narrow=True)
     drop(live)
     drop(labels)
     return out

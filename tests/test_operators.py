@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from meshwork.operators import bm25, cluster, detect, evaluation, filters, fusion, search, usage
 from meshwork.operators.validate import evidence_quality, validate, verification_quality
 from meshwork.plans import components as plans
+from meshwork.plans import sieve
 from meshwork.plans.components import components
 from meshwork.sources import files, scenarios, stores, textindex
 
@@ -507,3 +508,14 @@ def test_stored_index_follows_its_files(spark, tmp_path):
     write([(1, "a"), (2, "b"), (4, "d"), (5, "e")])
     second = textindex.TextIndex.of(spark, f"{tmp_path}/docs")
     assert second.path != first.path and [r.doc_id for r in second.score("d").collect()] == [4]
+
+
+def test_a_table_of_bits_lets_all_wanted_ids_through(spark):
+    rows = spark.createDataFrame([(i, "x") for i in range(-500, 500)] + [(None, "n")], "id bigint, _text string")
+    wanted = spark.createDataFrame([(i,) for i in range(-100, 100, 7)], "w bigint")
+    maybe, rest = sieve.parted(rows, "id", sieve.bits_of(wanted, "w"))
+    assert maybe.columns == rest.columns == rows.columns
+    some, others = {r.id for r in maybe.collect()}, {r.id for r in rest.collect()}
+    assert set(range(-100, 100, 7)) <= some and len(some) < 40 and some | others == {*range(-500, 500), None} and not some & others
+    none, every = sieve.parted(rows, "id", sieve.bits_of(wanted.limit(0), "w"))
+    assert none.count() == 0 and every.count() == 1001
