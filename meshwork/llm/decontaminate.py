@@ -161,10 +161,10 @@ def _shingle(words: np.ndarray, at: int) -> int:
 def _search(docs: DataFrame, owned: DataFrame, window: int) -> tuple[DataFrame, DataFrame]:
     """Staged: the probed documents, and (document, start, end, win) of every occurrence of a window."""
     sc = docs.sparkSession.sparkContext
-    shingles = stage(_shingles(owned.select("win").distinct()), "shingles")
+    shingles = stage(_shingles(owned.select("win").distinct()), "shingles", narrow=True)
     sizes = sorted(r.n for r in owned.select(F.least(F.lit(SHINGLE), F.length("win") / 8).cast("int").alias("n")).distinct().collect())
     counts = _frequencies(docs, sc.broadcast(Sieve(shingles.select("shingle"), sizes)))
-    prefixes = stage(_prefixes(shingles, counts), "prefixes")
+    prefixes = stage(_prefixes(shingles, counts), "prefixes", narrow=True)
     probed = stage(_probe(docs, sc.broadcast(Sieve(prefixes.select(F.col("_s").alias("shingle")), sizes)), window), "probed")
     held = (F.col("place") >= F.col("at")) & (F.expr("substring(around, cast((place - at) * 8 + 1 as int), length(win))") == F.col("win"))
     met = probed.where("p is not null").join(prefixes, F.col("shingle") == F.col("_s")).where(held)
@@ -216,7 +216,7 @@ def _summed(hits: DataFrame) -> DataFrame:
 
 def decontaminate(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10) -> DataFrame:
     """Per row: doc_id, n_words, n_hit (words inside any occurrence of an item's window), n_items, items_sha256, contaminated."""
-    owned = stage(windows(items, window, item_id, item_text), "windows")
+    owned = stage(windows(items, window, item_id, item_text), "windows", narrow=True)
     probed, hits = _search(_keyed(docs, doc_id, text), owned, window)
     met = hits.join(owned.withColumnRenamed("win", "_w"), F.col("win") == F.col("_w")).select(*KEY, "start", "end", "item")
     found = stage(_summed(met), "found")
@@ -230,9 +230,9 @@ def decontaminate(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", tex
 
 def clean(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10) -> DataFrame:
     """The rows of ``docs``, with all their columns, that hold no window of an item."""
-    owned = stage(windows(items, window, item_id, item_text), "windows")
+    owned = stage(windows(items, window, item_id, item_text), "windows", narrow=True)
     probed, hits = _search(_keyed(docs, doc_id, text), owned, window)
-    found = stage(hits.select(*[F.col(c).alias(f"_{c}") for c in KEY]).distinct(), "found")
+    found = stage(hits.select(*[F.col(c).alias(f"_{c}") for c in KEY]).distinct(), "found", narrow=True)
     for done in (owned, probed, hits):
         drop(done)
     ident, held = docs[f"`{doc_id}`"], docs[f"`{text}`"]

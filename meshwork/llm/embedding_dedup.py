@@ -246,7 +246,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, vec_id: str = "vec_
     counts = reps.select("v").mapInArrow(tally, "_d int, _k int, _c int, mine bigint, n bigint").groupBy("_d", "_k", "_c").agg(F.sum("mine").alias("mine"), F.sum("n").alias("n"))
     share = F.lit(LENGTH) / F.greatest(F.lit(LENGTH), F.col("_d"))
     # A row for each cell of each length.
-    parts = stage(counts.select("_d", "_k", "_c", F.greatest(F.lit(1), F.ceil(F.col("mine") / (CELL * share))).cast("int").alias("h"), F.ceil(F.col("n") / (UNIT * share)).cast("int").alias("s")), "cells")
+    parts = stage(counts.select("_d", "_k", "_c", F.greatest(F.lit(1), F.ceil(F.col("mine") / (CELL * share))).cast("int").alias("h"), F.ceil(F.col("n") / (UNIT * share)).cast("int").alias("s")), "cells", narrow=True)
     filed = reps.select("v", "row", "m").mapInArrow(file, "d int, k int, cell int, own boolean, row bigint, m bigint, v binary")
     dealt = filed.join(parts, (F.col("d") == F.col("_d")) & (F.col("k") == F.col("_k")) & (F.col("cell") == F.col("_c")))
     salt = F.xxhash64("row")
@@ -298,7 +298,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, vec_id: str = "vec_
     named = names.join(first, F.col("root") == F.col("_root")).select("_v", "links", "component")
     out = keyed.join(named, F.col("v") == F.col("_v"), "left")
     component = F.when(F.col("_v").isNull(), F.col("vec_id")).otherwise(F.col("component"))
-    out = stage(out.select("vec_id", F.coalesce("links", F.lit(0)).cast("bigint").alias("n_links"), component.alias("component_id")), "near_vectors")
+    out = stage(out.select("vec_id", F.coalesce("links", F.lit(0)).cast("bigint").alias("n_links"), component.alias("component_id")), "near_vectors", narrow=True)
     for done in (keyed, reps, found, roots, names):
         drop(done)
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))

@@ -632,17 +632,17 @@ def induce(pages: DataFrame) -> DataFrame:
     found = stage(facts(pages), "facts")
     exploded = found.where("said is null").select("host", F.explode(F.arrays_zip("keys", "chars", "links")).alias("x")).select("host", "x.*")
     counts = exploded.groupBy("host", F.col("keys").alias("key")).agg(F.count("*").alias("n"), F.sum("chars").alias("chars"), F.sum("links").alias("links"))
-    counts = stage(counts.where((F.col("n") >= MIN_PAGES) | (F.col("chars") > 0)), "counts")
-    sizes = stage(counts.where((F.col("key") == PAGE) & (F.col("chars") == 0)).select(F.col("host").alias("_h"), F.col("n").alias("pages")), "sizes")
+    counts = stage(counts.where((F.col("n") >= MIN_PAGES) | (F.col("chars") > 0)), "counts", narrow=True)
+    sizes = stage(counts.where((F.col("key") == PAGE) & (F.col("chars") == 0)).select(F.col("host").alias("_h"), F.col("n").alias("pages")), "sizes", narrow=True)
 
     at_host = lambda df: df.join(sizes, F.col("host") == F.col("_h")).drop("_h")
     popular = at_host(found.where("said is null").groupBy("host", "shape").agg(F.count("*").alias("n")))
     shapes = found.where("said is not null").select("host", "shape", "said")
     shapes = stage(popular.join(shapes, ["host", "shape"]).select("host", "shape", "said", "n"), "shapes")
-    reference = stage(shapes.groupBy(F.col("host").alias("_h")).agg(F.max_by("said", F.struct("n", F.length("said"), "shape")).alias("reference")), "references")
+    reference = stage(shapes.groupBy(F.col("host").alias("_h")).agg(F.max_by("said", F.struct("n", F.length("said"), "shape")).alias("reference")), "references", narrow=True)
     aligned = _aligned(shapes.join(reference, F.col("host") == F.col("_h")).select("host", "shape", "said", "reference"))
     sums = aligned.join(counts.where("chars > 0"), ["host", "key"]).groupBy("host", "place", "above", "tag").agg(*[F.sum(c).alias(c) for c in ("n", "chars", "links")])
-    sums = stage(sums.withColumn("text", F.col("chars") - F.col("links")), "places")
+    sums = stage(sums.withColumn("text", F.col("chars") - F.col("links")), "places", narrow=True)
 
     whole = sums.where("above = 0").groupBy(F.col("host").alias("_w")).agg(F.max("text").alias("total"))
     heavy = sums.join(whole, F.col("host") == F.col("_w")).where((F.col("above") == 0) | (F.col("text") > SLIGHT * F.col("total")))
@@ -656,7 +656,7 @@ def induce(pages: DataFrame) -> DataFrame:
     for part, key in ((content, "_h"), (listing(menus, "place", "menus"), "_menus"), (listing(constants, "key", "constants"), "_constants")):
         out = out.join(part, F.col("host") == F.col(key), "left").drop(key)
     blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    out = stage(out.select("host", F.concat_ws("|", blank("content"), blank("menus"), blank("constants"), "reference").alias("wrapper")), "wrappers")
+    out = stage(out.select("host", F.concat_ws("|", blank("content"), blank("menus"), blank("constants"), "reference").alias("wrapper")), "wrappers", narrow=True)
     for done in (found, counts, sizes, shapes, reference, sums):
         drop(done)
     return out

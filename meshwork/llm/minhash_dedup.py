@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 from meshwork.llm.common import map_arrow, pick, slices, text_bytes
 from meshwork.llm.words import SPACE_WORDS, batch_words, combine, mix, shingle_set
 from meshwork.plans.components import components
+from meshwork.plans.sieve import bits_of, parted
 from meshwork.plans.staging import drop, stage
 
 CHUNKS, WIDTH, ERRORS = 9, 5, 1
@@ -185,7 +186,7 @@ def _near_in_groups(grouped: DataFrame) -> DataFrame:
 def candidates(reps: DataFrame) -> DataFrame:
     """Edges (rep, lead) that connect all representatives within the signature distance of each other; staged."""
     grouped = _filed(reps).repartition("key").sortWithinPartitions("key", "rep")
-    return stage(_near_in_groups(grouped).where("rep <> lead").distinct(), "candidates")
+    return stage(_near_in_groups(grouped).where("rep <> lead").distinct(), "candidates", narrow=True)
 
 
 def links_across(left: list[np.ndarray], right: list[np.ndarray] | None, percent: int) -> list[tuple[int, int]]:
@@ -302,7 +303,7 @@ def confirmed(members: DataFrame, shingle: int, percent: int) -> DataFrame:
     drop(members)
     parts = named.groupBy("cluster", "own").agg(F.count("*").alias("k"), F.sum(F.octet_length("text")).alias("bytes"))
     largest = F.max(F.struct("k", (-F.col("own")).alias("o"), "own", "bytes")).alias("main")
-    main = stage(parts.groupBy(F.col("cluster").alias("_c")).agg(largest).select("_c", F.col("main.own").alias("main"), F.col("main.k").alias("inside"), F.col("main.bytes").alias("inside_size")), "mains")
+    main = stage(parts.groupBy(F.col("cluster").alias("_c")).agg(largest).select("_c", F.col("main.own").alias("main"), F.col("main.k").alias("inside"), F.col("main.bytes").alias("inside_size")), "mains", narrow=True)
     placed = named.join(main, F.col("cluster") == F.col("_c")).where(F.col("n") > F.col("inside"))
     placed = placed.withColumn("outside", F.col("n") - F.col("inside")).withColumn("outside_size", F.col("size") - F.col("inside_size"))
     blocks = placed.select("cluster", "rep", "text", (F.col("own") == F.col("main")).alias("is_main"), *_block("inside", "inside_size", "x"), *_block("outside", "outside_size", "y"))
@@ -335,8 +336,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, doc_id
     drop(edges)
     wanted = reps.join(clusters, F.col("rep") == F.col("node")).groupBy("rep", F.col("component").alias("cluster")).agg(F.sum("size").alias("own"))
     whole = wanted.groupBy(F.col("cluster").alias("_c")).agg(F.count("*").alias("n"), F.sum("own").alias("size"))
-    wanted = stage(wanted.join(whole, F.col("cluster") == F.col("_c")).select("rep", "cluster", "n", "size"), "wanted")
+    wanted = stage(wanted.join(whole, F.col("cluster") == F.col("_c")).select("rep", "cluster", "n", "size"), "wanted", narrow=True)
     source = pick(docs, doc_id=doc_id, text=text).withColumn("doc_id", F.col("doc_id").cast("bigint"))
+    source, _ = parted(source, "doc_id", bits_of(wanted, "rep"))  # only texts of clusters are shuffled
     members = stage(source.join(wanted, F.col("doc_id") == F.col("rep")).select("rep", "cluster", "text", "n", "size"), "members")
     drop(wanted)
     found = confirmed(members, shingle, percent)
@@ -344,13 +346,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, doc_id
     drop(found)
     drop(clusters)
     named = reps.join(roots, F.col("rep") == F.col("node"), "left").select(F.col("n").alias("_n"), F.col("d1").alias("_1"), F.col("d2").alias("_2"), F.coalesce("component", "rep").alias("component"))
-    named = stage(named, "named")
+    named = stage(named, "named", narrow=True)
     drop(roots)
     drop(reps)
     same = (F.col("n") == F.col("_n")) & (F.col("d1") == F.col("_1")) & (F.col("d2") == F.col("_2"))
     out = prints.drop("sig").join(named, same, "left")
     component = F.when(F.col("n") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
-    out = stage(out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")), "near_duplicates")
+    out = stage(out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")), "near_duplicates", narrow=True)
     drop(prints)
     drop(named)
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
