@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from meshwork.llm import decontaminate, language_id, minhash_dedup, packing, secret_scan
 from meshwork.llm.common import read
+from meshwork.plans.sieve import bits_of, parted
 from meshwork.plans.staging import stage
 
 #: A document stays if one language has at least this share of its words.
@@ -31,9 +32,12 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """
     number = F.lit(1 << 62) + F.xxhash64("text").bitwiseAND(F.lit((1 << 62) - 1))
     rows = docs.withColumn("_row", F.coalesce(F.col("doc_id").cast("bigint"), number))
-    found = minhash_dedup.near_duplicates(rows, shingle=5, percent=80, doc_id="_row")
-    kept = found.where("kept").select(F.col("doc_id").alias("_kept"))
-    return rows.join(kept, F.col("_row") == F.col("_kept"), "left_semi").dropDuplicates(["_row", "text"]).drop("_row")
+    found = minhash_dedup.near_duplicates(rows, shingle=5, percent=80, doc_id="_row").groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("n"), F.bool_or("kept").alias("kept"))
+    special = stage(found.where("n > 1 or not kept"), "special", narrow=True)
+    # Rows that go or are repeated are told apart by a bounded table first: only texts it holds are shuffled.
+    maybe, rest = parted(rows, "_row", bits_of(special, "_id"))
+    kept = maybe.join(special.where("not kept"), F.col("_row") == F.col("_id"), "left_anti").dropDuplicates(["_row", "text"])
+    return rest.unionByName(kept).drop("_row")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
