@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from meshwork.catalog.registry import MESSAGES, REFERENCE, messages, query, read, reference, vectors
 from meshwork.functions import entities, prompts, scoring
 from meshwork.operators import cluster, detect
-from meshwork.operators.validate import validate
 from meshwork.plans.staging import stage
 
 #: Vectors of the test tables are far apart; 0.40 gives clusters and no cosine is near it.
@@ -189,7 +188,7 @@ def dashboard(spark: SparkSession, d: str) -> DataFrame:
 
 
 #: A whole detection over the labelled clusters: gates, evidence, verification, scores, rules.
-_GAPS = f"""{_LM}, {_OVER}, {_EVID}, {_V},
+_STEPS = f"""{_OVER}, {_EVID},
 pr AS (SELECT x.cluster_id, avg(greatest(0, list_cosine_similarity(p.e, q.e))) AS sim FROM v p JOIN v q ON p.vec_id < q.vec_id JOIN m x ON x.id = p.vec_id JOIN m y ON y.id = q.vec_id AND x.cluster_id = y.cluster_id GROUP BY 1),
 st AS (SELECT cluster_id, count(*) AS size, count(DISTINCT author) AS people, (epoch_us(max(timestamp)) - epoch_us(min(timestamp))) / 86400e6 AS span FROM m GROUP BY 1),
 en AS (SELECT cluster_id, count(*) AS n, arg_min(content, struct_pack(r := rn, t := team)) AS lead FROM ev GROUP BY 1),
@@ -198,14 +197,14 @@ g AS (SELECT st.*, len(teams) AS nt, array_to_string(teams, ',') AS teams, best.
 h AS (SELECT *, n * 0.5 * CASE WHEN days > 0 AND n > 2 * days THEN 1.2::DOUBLE ELSE 1 END AS h, CASE WHEN people > 0 THEN people ELSE nt * 5 END AS p FROM g),
 sc AS (SELECT *, round(least(1, (CASE WHEN p >= 10 THEN 1.0 WHEN p >= 5 THEN 0.7 WHEN p >= 2 THEN 0.4 ELSE 0.2 END)::DOUBLE * 0.25
   + round((CASE WHEN h >= 100 THEN 1.0 WHEN h >= 50 THEN 0.7 + (h - 50) / 50 * 0.3 WHEN h >= 20 THEN 0.5 + (h - 20) / 30 * 0.2 WHEN h >= 10 THEN 0.3 + (h - 10) / 10 * 0.2 ELSE least(0.3, h / 10 * 0.3) END)::DECIMAL(18,9), 2)::DOUBLE * 0.25 + 0.5 * 0.2 + 0.2 * 0.15 + 0.8 * 0.15)::DECIMAL(18,9), 2)::DOUBLE AS impact_score FROM h)"""
+_GAPS = f"{_LM}, {_V}, {_STEPS}"
+#: The same from messages alone: clusters of similar ones first.
+_FOUND = f"{_MEMBERS}, tm AS (SELECT *, channel || '-team' AS team FROM m), ts AS (SELECT cluster_id, list_sort(list(DISTINCT team)) AS teams FROM tm GROUP BY 1), {_STEPS}"
 
 
 def gaps(spark: SparkSession, d: str) -> DataFrame:
     m = stage(labelled_members(spark, d), "members")
-    teams, over = detect.team_sets(m), detect.team_overlap(detect.timelines(m)).where("overlap_days >= 3")
-    overlap = over.select("cluster_id", F.struct("start", "end", "overlap_days", "team_a", "team_b").alias("overlap"))
-    full = cluster.cluster_metadata(m).where("size >= 2").join(teams.where(F.size("teams") >= 2), "cluster_id").join(overlap, "cluster_id").join(detect.evidence(m, teams), "cluster_id")
-    return validate(detect.assemble(stage(detect.heuristic_verifier(full), "verified"), reference()), min_confidence=0.5)
+    return detect.gaps_of(m, reference(), detect.DetectionConfig(min_confidence=0.5))
 
 
 @query(f"""WITH {_GAPS} SELECT cluster_id, 'gap_' || sha256(CAST(cluster_id AS VARCHAR) || '|' || teams || '|{REFERENCE}')[1:12] AS gap_id, teams, topic, size AS messages, people, CAST(n AS INTEGER) AS evidence, CAST(days AS INTEGER) AS overlap_days,
@@ -233,6 +232,18 @@ def list_gaps(spark: SparkSession, d: str) -> DataFrame:
     return detect.page(stage(gaps(spark, d), "gaps"), 1, 4).select("cluster_id", "impact_score", "total", "has_more")
 
 
+@query(f"""WITH RECURSIVE {_FOUND.replace('best.days >= 3', 'best.days >= 1').replace(f'sim >= {THRESHOLD}', 'sim >= 0.35')}, w AS (SELECT cluster_id, bool_or(contains(lower(content[1:500]), 'helping') OR contains(lower(content[1:500]), 'supporting')) AS collab FROM ev GROUP BY 1)
+SELECT cluster_id, 'gap_' || sha256(CAST(cluster_id AS VARCHAR) || '|' || teams || '|{REFERENCE}')[1:12] AS gap_id, teams, CAST(size AS BIGINT) AS messages, CAST(n AS INTEGER) AS evidence, CAST(days AS INTEGER) AS overlap_days, round(0.7 * 0.75 + 0.3 * sim, 6) AS confidence, impact_score
+FROM sc JOIN w USING (cluster_id) WHERE 0.7 * 0.75 + 0.3 * sim >= 0.5 AND n >= 2 AND NOT collab""")
+def detect_gaps(spark: SparkSession, d: str) -> DataFrame:
+    """The whole detector over all messages that have vectors, from similarity to valid gaps."""
+    m = messages(spark, d)
+    config = detect.DetectionConfig(similarity_threshold=0.35, min_confidence=0.5, min_evidence=2, min_overlap_days=1)
+    e = read(spark, d, "embeddings").select(F.col("vec_id").alias("message_id"), "embedding")
+    g = detect.detect(m, e, reference(), config)
+    return g.select("cluster_id", "gap_id", F.array_join("teams_involved", ",").alias("teams"), F.col("messages_analyzed").alias("messages"), F.size("evidence").alias("evidence"), F.col("temporal_overlap.overlap_days").alias("overlap_days"), F.round("confidence", 6).alias("confidence"), "impact_score")
+
+
 @query()
 def detect_scenarios(spark: SparkSession, d: str) -> DataFrame:
     """The whole detector over invented messages with a stand-in embedder; tests pin what it finds."""

@@ -14,7 +14,7 @@ from meshwork.sources.textindex import TextIndex
 _DOCS = f"d AS (SELECT doc_id, {TOKENS.format('text')} AS t FROM documents), stats AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM d)"
 #: One query: the first five words of the first benchmark item.
 _ONE = f"q AS (SELECT unnest(list_slice({TOKENS.format('text')}, 1, 5)) AS term FROM benchmark WHERE item_id = 0), asked AS (SELECT term, count(*) AS times FROM q GROUP BY term)"
-_SCORED = f"""{_DOCS}, {_ONE},
+SCORED = f"""{_DOCS}, {_ONE},
 tf AS (SELECT doc_id, len(t) AS dl, term, times, len(list_filter(t, lambda x: x = term)) AS tf FROM d, asked),
 df AS (SELECT term, count(*) AS df FROM tf WHERE tf > 0 GROUP BY term),
 parts AS (SELECT doc_id, dl, term, times, tf, df, greatest(0, ln((n - df + 0.5) / (df + 0.5))) AS idf,
@@ -40,13 +40,13 @@ def scored(spark: SparkSession, d: str, explain: bool = False) -> DataFrame:
     return bm25.score(read(spark, d, "documents"), first_words(spark, d), explain=explain)
 
 
-@query(f"WITH {_SCORED} SELECT doc_id, round(score, 6) AS score FROM scored ORDER BY round(score, 9) DESC, doc_id LIMIT 10")
+@query(f"WITH {SCORED} SELECT doc_id, round(score, 6) AS score FROM scored ORDER BY round(score, 9) DESC, doc_id LIMIT 10")
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
     top = index(spark, d).score(first_words(spark, d)).withColumn("exact", F.round("score", 9)).orderBy(F.desc("exact"), "doc_id").limit(10)
     return top.select("doc_id", F.round("score", 6).alias("score"))
 
 
-@query(f"""WITH {_SCORED}, top AS (SELECT doc_id FROM scored ORDER BY round(score, 9) DESC, doc_id LIMIT 10)
+@query(f"""WITH {SCORED}, top AS (SELECT doc_id FROM scored ORDER BY round(score, 9) DESC, doc_id LIMIT 10)
 SELECT doc_id, term, CAST(tf AS BIGINT) AS tf, CAST(coalesce(df, 0) AS BIGINT) AS df, round(idf, 6) AS idf, round(score, 6) AS score FROM parts JOIN top USING (doc_id)""")
 def bm25_explain(spark: SparkSession, d: str) -> DataFrame:
     top = scored(spark, d, explain=True).orderBy(F.desc(F.round("score", 9)), "doc_id").limit(10)
@@ -162,7 +162,7 @@ def threshold_filter(spark: SparkSession, d: str) -> DataFrame:
     return fusion.threshold(read(spark, d, "events"), 100.0, "value").select("event_id", "value")
 
 
-@query(f"""WITH {_SCORED}, {MESSAGES}, top AS (SELECT *, row_number() OVER (ORDER BY round(score, 9) DESC, doc_id) AS rank FROM scored WHERE score > 0 QUALIFY rank <= 40)
+@query(f"""WITH {SCORED}, {MESSAGES}, top AS (SELECT *, row_number() OVER (ORDER BY round(score, 9) DESC, doc_id) AS rank FROM scored WHERE score > 0 QUALIFY rank <= 40)
 SELECT id AS message_id, n_name AS source, channel, author, timestamp, round(score, 6) AS score, CAST(rank AS INTEGER) AS keyword_rank
 FROM top JOIN messages ON id = doc_id JOIN nation ON source_id = n_nationkey
 WHERE channel IN ('src0', 'src1', 'src2', 'src3', 'src4', 'src5') AND timestamp BETWEEN TIMESTAMP '2024-01-03' AND TIMESTAMP '2024-01-28'
@@ -174,7 +174,7 @@ def search_filtered(spark: SparkSession, d: str) -> DataFrame:
     return found.select("message_id", "source", "channel", "author", "timestamp", F.round("score", 6).alias("score"), "keyword_rank")
 
 
-@query(f"""WITH {_SCORED}, {MESSAGES}, kw AS (SELECT *, row_number() OVER (ORDER BY round(score, 9) DESC, doc_id) AS rank FROM scored WHERE score > 0 QUALIFY rank <= 20),
+@query(f"""WITH {SCORED}, {MESSAGES}, kw AS (SELECT *, row_number() OVER (ORDER BY round(score, 9) DESC, doc_id) AS rank FROM scored WHERE score > 0 QUALIFY rank <= 20),
 v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), qv AS (SELECT e FROM v WHERE vec_id = 0),
 near AS (SELECT vec_id AS doc_id, list_cosine_similarity(v.e, qv.e) AS score FROM v, qv),
 sem AS (SELECT *, row_number() OVER (ORDER BY round(score, 9) DESC, doc_id) AS rank FROM near QUALIFY rank <= 20),

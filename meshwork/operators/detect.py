@@ -151,6 +151,19 @@ def assemble(clusters: DataFrame, reference: Column) -> DataFrame:
     )
 
 
+def gaps_of(members: DataFrame, reference: Column, config: DetectionConfig, verifier: Callable[[DataFrame], DataFrame] = heuristic_verifier) -> DataFrame:
+    """Gaps of clustered messages (with cluster_id and message_teams) that pass the gates, with the rules they break."""
+    stats = clustering.cluster_metadata(members).where(F.col("size") >= config.min_cluster_size)
+    teams = team_sets(members)
+    overlap = team_overlap(timelines(members))
+    gated = stats.join(teams.where(F.size("teams") >= config.min_teams), "cluster_id")
+    gated = gated.where(F.arrays_overlap("teams", F.array(*[F.lit(t) for t in config.teams]))) if config.teams else gated
+    gated = gated.join(overlap.where(F.col("overlap_days") >= config.min_overlap_days).select("cluster_id", F.struct("start", "end", "overlap_days", "team_a", "team_b").alias("overlap")), "cluster_id")
+    full = gated.join(evidence(members, teams), "cluster_id")
+    checked = stage(verifier(full), "verified")
+    return validate(assemble(checked, reference), min_confidence=config.min_confidence, min_teams=config.min_teams, min_evidence=config.min_evidence, min_overlap_days=config.min_overlap_days, min_overlap_ratio=config.min_overlap_ratio)
+
+
 def detect(messages: DataFrame, embeddings: DataFrame, reference: Column, config: DetectionConfig = DetectionConfig(), verifier: Callable[[DataFrame], DataFrame] = heuristic_verifier) -> DataFrame:
     """Valid gaps, by falling impact. ``embeddings`` has message_id and embedding."""
     start = reference - F.make_dt_interval(F.lit(config.time_window_days))
@@ -161,15 +174,7 @@ def detect(messages: DataFrame, embeddings: DataFrame, reference: Column, config
     rows = stage(with_teams(rows), "messages")
     pairs = clustering.similar_pairs_lsh if config.approximate else clustering.similar_pairs
     members = stage(rows.join(clustering.cluster(rows, config.similarity_threshold, pairs=pairs), "id"), "members")
-    stats = clustering.cluster_metadata(members).where(F.col("size") >= config.min_cluster_size)
-    teams = team_sets(members)
-    overlap = team_overlap(timelines(members))
-    gated = stats.join(teams.where(F.size("teams") >= config.min_teams), "cluster_id")
-    gated = gated.where(F.arrays_overlap("teams", F.array(*[F.lit(t) for t in config.teams]))) if config.teams else gated
-    gated = gated.join(overlap.where(F.col("overlap_days") >= config.min_overlap_days).select("cluster_id", F.struct("start", "end", "overlap_days", "team_a", "team_b").alias("overlap")), "cluster_id")
-    full = gated.join(evidence(members, teams), "cluster_id")
-    checked = stage(verifier(full), "verified")
-    gaps = validate(assemble(checked, reference), min_confidence=config.min_confidence, min_teams=config.min_teams, min_evidence=config.min_evidence, min_overlap_days=config.min_overlap_days, min_overlap_ratio=config.min_overlap_ratio)
+    gaps = gaps_of(members, reference, config, verifier)
     kept = gaps.where("is_valid").where(F.col("impact_score") >= config.min_impact).drop("is_valid", "failures")
     kept = kept if config.include_evidence else kept.withColumn("evidence", F.array().cast(kept.schema["evidence"].dataType))
     kept = kept.orderBy(F.desc("impact_score"), "gap_id")
