@@ -27,13 +27,24 @@ def summary(ledger: DataFrame, cutoff: Column) -> DataFrame:
 def running_quota(ledger: DataFrame, quota: int = 1_000_000, key: str = "id") -> DataFrame:
     """Usage since the day's start, and whether it is near (80 %) or over the quota.
 
-    The window is one day, so a day's rows meet in one task; ``daily`` is the form for heavy days.
+    Rows are summed within minutes, and minutes within days, so a heavy day is spread over as many groups.
     """
-    w = W.partitionBy(F.to_date("ts")).orderBy("ts", key).rowsBetween(W.unboundedPreceding, 0)
-    used = ledger.withColumn("used", F.sum("total_tokens").over(w))
+    minute = F.date_trunc("minute", F.col("ts"))
+    rows = ledger.withColumn("_minute", minute)
+    sums = rows.groupBy(F.col("_minute").alias("_m")).agg(F.sum("total_tokens").alias("_n"))
+    before = F.sum("_n").over(W.partitionBy(F.to_date("_m")).orderBy("_m").rowsBetween(W.unboundedPreceding, -1))
+    sums = sums.withColumn("_before", F.coalesce(before, F.lit(0))).drop("_n")
+    w = W.partitionBy("_minute").orderBy("ts", key).rowsBetween(W.unboundedPreceding, 0)
+    used = rows.withColumn("used", F.sum("total_tokens").over(w)).join(sums, F.col("_minute").eqNullSafe(F.col("_m")), "left")
+    used = used.withColumn("used", F.col("used") + F.coalesce("_before", F.lit(0))).drop("_minute", "_m", "_before")
     return used.withColumn("near_limit", F.col("used") >= 0.8 * quota).withColumn("over_limit", F.col("used") >= quota)
 
 
+def used_today(ledger: DataFrame, now: Column) -> DataFrame:
+    """One row: tokens of the day of ``now``."""
+    return ledger.where(F.to_date("ts") == F.to_date(now)).agg(F.coalesce(F.sum("total_tokens"), F.lit(0)).cast("bigint").alias("used"))
+
+
 def daily(ledger: DataFrame, quota: int = 1_000_000) -> DataFrame:
     """Per day: calls, tokens, cost, and the quota flags at its end."""
     day = ledger.groupBy(F.to_date("ts").alias("day")).agg(F.count("*").alias("calls"), F.sum("total_tokens").alias("tokens"), F.sum("total_cost").alias("cost"))

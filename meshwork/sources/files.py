@@ -36,17 +36,26 @@ def write_results(results: DataFrame, path: str, kind: str = "json") -> None:
     out.json(path) if kind == "json" else out.option("header", True).csv(path)
 
 
+#: Most rows that ``export`` brings to the driver.
+EXPORTED = 100_000
+
+
 def export(results: DataFrame, kind: str = "dict") -> list[dict] | str | DataFrame:
-    """A small table of results as dicts, JSON text, CSV text or an aligned text table."""
+    """A small table of results as dicts, JSON text, CSV text or an aligned text table; larger ones are refused."""
+    few = results.limit(EXPORTED + 1)
     if kind == "dict":
-        return [r.asDict(recursive=True) for r in results.collect()]
+        out = [r.asDict(recursive=True) for r in few.collect()]
+    elif kind == "json":
+        out = [r[0] for r in few.select(F.to_json(F.struct("*"))).collect()]
+    elif kind in ("csv", "table"):
+        out = few.toPandas()
+    else:
+        raise ValueError("format must be dict, json, csv or table")
+    if len(out) > EXPORTED:
+        raise ValueError(f"more than {EXPORTED} rows: write them to files")
     if kind == "json":
-        return "[" + ",".join(r[0] for r in results.select(F.to_json(F.struct("*"))).collect()) + "]"
-    if kind == "csv":
-        return results.toPandas().to_csv(index=False)
-    if kind == "table":
-        return results.toPandas().to_string(index=False, float_format=lambda x: f"{x:.4f}")
-    raise ValueError("format must be dict, json, csv or table")
+        return "[" + ",".join(out) + "]"
+    return out if kind == "dict" else out.to_csv(index=False) if kind == "csv" else out.to_string(index=False, float_format=lambda x: f"{x:.4f}")
 
 
 # Invented queries by category, in the order they are tried.

@@ -21,6 +21,8 @@ SOURCES = T.StructType([T.StructField("id", T.LongType(), False), T.StructField(
 MESSAGES = T.StructType([T.StructField("id", T.LongType(), False), T.StructField("source_id", T.LongType()), T.StructField("content", T.StringType()), T.StructField("external_id", T.StringType()), T.StructField("author", T.StringType()), T.StructField("channel", T.StringType()), T.StructField("thread_id", T.StringType()), T.StructField("timestamp", T.TimestampType()), T.StructField("metadata", T.MapType(T.StringType(), T.StringType()))])
 VECTORS = T.StructType([T.StructField("message_id", T.LongType(), False), T.StructField("embedding", T.ArrayType(T.FloatType())), T.StructField("document", T.StringType()), T.StructField("metadata", T.MapType(T.StringType(), T.StringType()))])
 
+USAGE = T.StructType([T.StructField("ts", T.TimestampType()), T.StructField("model", T.StringType()), *[T.StructField(f"{c}_tokens", T.LongType()) for c in ("input", "output", "total")], *[T.StructField(f"{c}_cost", T.DoubleType()) for c in ("input", "output", "total")]])
+
 
 class Table:
     """A versioned Parquet table; the newest pointer file names the current version."""

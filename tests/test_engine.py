@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from meshwork.engine import Engine
 from meshwork.functions import prompts
-from meshwork.operators import detect, search, verifier
+from meshwork.operators import detect, search, usage, verifier
 from meshwork.operators.validate import validate
 from meshwork.sources import scenarios, stores
 from tests.test_operators import gap, ref, team_vectors
@@ -75,6 +75,20 @@ def test_external_verifier(engine):
     assert sorted(r.verification.confidence for r in found) == [0.75, 0.95]
 
 
+def test_metered_verifier_keeps_to_the_quota_and_writes_the_ledger(spark, engine, tmp_path):
+    ledger = stores.Table(spark, f"file://{tmp_path}/ledger", stores.USAGE)
+    ledger.create()
+    model = lambda _: ANSWER
+    found = engine.detect(ref(), verifier=verifier.metered_verifier(model, ledger, ref(), model="small")).collect()
+    assert [r.verification.confidence for r in found] == [0.95, 0.95]
+    rows = ledger.read().collect()
+    assert len(rows) >= 2 and all(r.total_tokens == r.input_tokens + r.output_tokens > 0 and r.total_cost > 0 and r.model == "small" for r in rows)
+    used = sum(r.total_tokens for r in rows)
+    assert usage.used_today(ledger.read(), ref()).first().used == used
+    again = engine.detect(ref(), verifier=verifier.metered_verifier(model, ledger, ref(), quota=used + 1)).collect()
+    assert [r.verification.confidence for r in again] == [0.75, 0.75] and ledger.count() == len(rows)
+
+
 def test_asking_again():
     calls = []
 
