@@ -37,7 +37,10 @@ from meshwork.plans.staging import drop, new_path, stage
 MAGIC = b"MESHTOK1"
 BLOCK = 1 << 14
 END_ID = 2
-KEPT_WORDS = 400_000
+#: Pieces and bytes of a generation of known pieces; two generations are kept.
+KEPT_WORDS, KEPT_BYTES = 400_000, 64 << 20
+#: What the rules for pieces have to get right before they are used with a tokenizer.
+PROBE = "Hello World, THE cat\nsat; don't  x9y I'M A.B. naïve ÉTÉ 12,000 (a) #b  Ünder-way\n\n end..."
 
 
 def pack(ids: np.ndarray, bits: int) -> bytes:
@@ -76,7 +79,8 @@ class Encoder:
     No token spans a space or a line feed, so ids of pieces, which are kept for frequent ones, join to those of
     the text. A Latin-1 word followed by marks is looked up as word and marks, and the word in lower case, as
     the tokenizer's own rules would part and lower it. New words are encoded many at a time, in one text: every
-    such word ends with the one token of it that carries the vocabulary's end-of-word suffix.
+    such word ends with the one token of it that carries the vocabulary's end-of-word suffix. A tokenizer for which
+    these rules don't give the library's ids of ``PROBE`` is given whole texts instead.
     """
 
     def __init__(self, path: str) -> None:
@@ -92,6 +96,11 @@ class Encoder:
         self.ends[[i for t, i in vocabulary.items() if suffix and t.endswith(suffix)]] = True
         self.kept: dict[bytes, bytes] = {b"": b""}
         self.before: dict[bytes, bytes] = {}
+        self.held, self.by_pieces = 0, True
+        self.by_pieces = self.ids([PROBE.encode()]) == self._whole([PROBE.encode()])
+
+    def _whole(self, parts: list[bytes]) -> list[bytes]:
+        return [np.array(got.ids, self.kind).tobytes() for got in self.library.encode_batch_fast([p.decode() for p in parts], add_special_tokens=False)]
 
     def _encode(self, pieces: list[bytes]) -> None:
         for piece, got in zip(pieces, self.library.encode_batch_fast([p.decode() for p in pieces], add_special_tokens=False), strict=True):
@@ -137,12 +146,15 @@ class Encoder:
             self._encode_words(list(words))
         for w, core, tail in parts:
             kept[w] = kept[core] + kept[tail]
+        self.held += sum(len(w) + len(kept[w]) for w in pieces)
 
     def ids(self, parts: list[bytes], end: bytes = b"") -> list[bytes]:
         """Ids of each text, and ``end``, as bytes of ``kind``."""
+        if not self.by_pieces:
+            return [ids + end for ids in self._whole(parts)]
         split = [_plain(x).replace(b"\n", b" ").split(b" ") for x in parts]
-        if len(self.kept) > KEPT_WORDS:
-            self.before, self.kept = self.kept, {b"": b""}
+        if len(self.kept) > KEPT_WORDS or self.held > KEPT_BYTES:
+            self.before, self.kept, self.held = self.kept, {b"": b""}, 0
         fresh = set(chain.from_iterable(split)).difference(self.kept)
         if fresh:
             self._learn(fresh)

@@ -379,6 +379,30 @@ def test_packing_round_trip(bits):
     assert (token_binary.unpack(data, 1000, bits) == ids).all()
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_ids_of_any_tokenizer_are_the_library_s(name):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path(name)
+    library, encoder = Tokenizer.from_file(path), token_binary.Encoder(path)
+    assert encoder.by_pieces == name.startswith("word")
+    texts = ["Hello World, THE cat\nsat", "", "  two  spaces ", "x" * 5000, "été ÀÖ don't"]
+    assert [np.frombuffer(x, encoder.kind).tolist() for x in encoder.ids([t.encode() for t in texts])] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_known_pieces_are_bounded_in_bytes(monkeypatch):
+    import public_tokenizers
+
+    monkeypatch.setattr(token_binary, "KEPT_BYTES", 10_000)
+    encoder = token_binary.Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    first = encoder.ids([b"the cat"])
+    for i in range(40):
+        encoder.ids([f"word{i}a ".encode() * 3 + b"z" * 3000 + str(i).encode()])
+        assert sum(map(len, encoder.kept)) + sum(map(len, encoder.before)) < 40_000
+    assert encoder.ids([b"the cat"]) == first
+
+
 def test_files_hold_the_library_s_ids(spark, small, tmp_path):
     import public_tokenizers
     from tokenizers import Tokenizer
