@@ -79,7 +79,7 @@ p AS (SELECT a, min(d) FILTER (ca = cb) AS i, min(d) FILTER (ca <> cb) AS o FROM
 SELECT round(avg(CASE WHEN i IS NULL OR o IS NULL THEN 0 ELSE (o - i) / greatest(i, o) END), 6) AS silhouette, (SELECT count(DISTINCT cluster_id) FROM l) AS clusters, (SELECT count(*) FROM l) AS points FROM p""")
 def silhouette(spark: SparkSession, d: str) -> DataFrame:
     v = labelled(spark, d)
-    return cluster.silhouette(v, cluster.similar_pairs(v, -2.0)).withColumn("silhouette", F.round("silhouette", 6))
+    return cluster.silhouette(v).withColumn("silhouette", F.round("silhouette", 6))
 
 
 @query(f"WITH RECURSIVE {_CLUSTERS}, s AS (SELECT cluster_id, count(*) AS n FROM clusters GROUP BY 1 HAVING count(*) >= 2) SELECT count(*) AS clusters, round(avg(n), 6) AS avg_size, round(sum(n) / (SELECT count(*) FROM v), 6)::DOUBLE AS coverage FROM s")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from meshwork.catalog.registry import MESSAGES, REFERENCE, messages, query, read, reference
 from meshwork.functions import features, timefn
 from meshwork.operators import filters, usage
+from meshwork.plans.staging import spread
 
 _REF = f"TIMESTAMP '{REFERENCE}'"
 
@@ -107,7 +108,7 @@ SELECT id, CASE WHEN contains(lower(content), lower(query)) THEN 1.0::DOUBLE ELS
   round(exp(-ln(2) / 30 * (epoch_us({_REF}) - epoch_us(timestamp)) / 86400e6), 6) AS recency FROM c""")
 def features_text(spark: SparkSession, d: str) -> DataFrame:
     names = ["exact_match", "term_coverage", "title_match", "message_length", "code_snippet_present", "link_count", "recency"]
-    made = features.extract_features(messages(spark, d).withColumn("query", F.lit("The On of")), reference(), names)
+    made = features.extract_features(spread(messages(spark, d).select("id", "content", "channel", "timestamp")).withColumn("query", F.lit("The On of")), reference(), names)
     return made.select("id", *[F.round(n, 6).alias(n) for n in names])
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from meshwork.catalog.registry import TOKENS, query, read
 from meshwork.functions import entities, text
 from meshwork.functions import query as parsing
+from meshwork.plans.staging import spread
 from meshwork.sources.files import TEMPLATES, test_queries
 
 _STOP = ", ".join(f"'{w}'" for w in text.STOPWORDS)
@@ -51,7 +52,7 @@ x AS (SELECT doc_id, unnest(a) AS word, unnest(range(len(a))) AS pos FROM w),
 c AS (SELECT doc_id, word, count(*) AS n, min(pos) AS p FROM x WHERE length(word) > 2 AND word NOT IN ({_STOP}) GROUP BY doc_id, word)
 SELECT doc_id, word, n, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, p) AS INTEGER) AS rank FROM c QUALIFY rank <= 10""")
 def keywords(spark: SparkSession, d: str) -> DataFrame:
-    return text.keywords(read(spark, d, "documents"), "doc_id", "text")
+    return text.keywords(spread(read(spark, d, "documents").select("doc_id", "text")), "doc_id", "text")
 
 
 @query(r"SELECT doc_id, CAST(len(regexp_extract_all(text, '[0-9A-Za-z_]+|[^0-9A-Za-z_\s]')) AS INTEGER) AS tokens, CAST(len(regexp_extract_all(text, '[0-9A-Za-z_]+|[^0-9A-Za-z_\s]')) + 7 AS INTEGER) AS request FROM documents")
@@ -138,7 +139,7 @@ named AS (SELECT *, list_filter([{_DEPTS}], lambda d: contains(lower(channel), d
 t AS (SELECT event_id, list_concat([CASE WHEN len(c) > 0 THEN c[1] || '-team' ELSE channel || '-team' END], list_transform(k, lambda d: d || '-team')) AS all_ FROM named)
 SELECT event_id, array_to_string(list_sort(list_distinct(all_)), ',') AS teams FROM t""")
 def entities_teams(spark: SparkSession, d: str) -> DataFrame:
-    e, k = read(spark, d, "events"), F.col("event_id")
+    e, k = spread(read(spark, d, "events").select("event_id", "event_type")), F.col("event_id")
     channel = F.concat("event_type", F.when(k % 4 == 0, "-platform").when(k % 4 == 1, "").when(k % 4 == 2, "_data").otherwise("-backend-security"))
     content = F.when(k % 3 == 0, "ask the security people about design").when(k % 3 == 1, "nothing to see").otherwise("qa and backend are testing")
     names = F.transform(entities.teams(content, channel), lambda t: t["normalized"])
@@ -162,14 +163,14 @@ p AS (SELECT event_id, list_concat(list_transform(regexp_extract_all(c, '[A-Z]{{
 SELECT event_id, array_to_string(list_sort(list_distinct(all_)), ',') AS projects FROM p""")
 def entities_projects(spark: SparkSession, d: str) -> DataFrame:
     names = F.transform(entities.projects(_talk()), lambda p: p["normalized"])
-    return read(spark, d, "events").select("event_id", F.array_join(F.sort_array(names), ",").alias("projects"))
+    return spread(read(spark, d, "events").select("event_id")).select("event_id", F.array_join(F.sort_array(names), ",").alias("projects"))
 
 
 @query(f"""WITH x AS (SELECT event_id, {_TALK} AS c FROM events)
 SELECT event_id, array_to_string(list_filter([{_TERMS}, {_VERBS}], lambda t: regexp_matches(lower(c), '(^|[^a-z0-9_])' || t || '($|[^a-z0-9_])')), ',') AS topics FROM x""")
 def topics(spark: SparkSession, d: str) -> DataFrame:
     names = F.transform(entities.topics(_talk()), lambda t: t["normalized"])
-    return read(spark, d, "events").select("event_id", F.array_join(names, ",").alias("topics"))
+    return spread(read(spark, d, "events").select("event_id")).select("event_id", F.array_join(names, ",").alias("topics"))
 
 
 @query(f"SELECT t AS term, count(*) AS n FROM (SELECT unnest(list_distinct({TOKENS.format('text')})) AS t FROM conversations) WHERE length(t) > 6 GROUP BY t HAVING count(*) > 1")

@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -171,21 +172,73 @@ def separation(members: DataFrame) -> DataFrame:
     return found.groupBy("a", "b").agg((F.sum("s") / F.sum("n")).alias("distance"))
 
 
-def silhouette(members: DataFrame, pairs: DataFrame) -> DataFrame:
-    """One row: mean silhouette over all points, from all pairs (a, b, sim) of clustered points.
+def _unit_rows(column: pa.Array) -> np.ndarray:
+    x = np.array(column.to_pylist(), np.float64).reshape(len(column), -1)
+    size = np.sqrt((x * x).sum(axis=1, keepdims=True))
+    return x / np.where(size == 0, 1, size)
 
-    0 for fewer than two clusters or as many clusters as points; a cluster of one point counts 0.
+
+def _sums(points: DataFrame) -> DataFrame:
+    """(cluster_id, n, v): number and sum of the unit vectors of each cluster of points (id, cluster_id, v)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                labels, code = np.unique(batch.column(1).to_numpy(), return_inverse=True)
+                x = _unit_rows(batch.column(2))
+                total = np.zeros((len(labels), x.shape[1]))
+                np.add.at(total, code, x)
+                dim = x.shape[1]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(labels, dim)), pa.array(np.tile(np.arange(dim), len(labels))), pa.array(total.ravel())], ["cluster_id", "pos", "s"])
+
+    parts = points.mapInArrow(run, "cluster_id bigint, pos bigint, s double").groupBy("cluster_id", "pos").agg(F.sum("s").alias("s"))
+    vectors = parts.groupBy("cluster_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "s"))), lambda p: p["s"]).alias("v"))
+    counts = points.groupBy(F.col("cluster_id").alias("_c")).agg(F.count("*").alias("n"))
+    return vectors.join(counts, F.col("cluster_id") == F.col("_c")).select("cluster_id", "n", "v")
+
+
+def silhouette(members: DataFrame, embedding: str = "embedding", chunk: int = 4096) -> DataFrame:
+    """One row: mean silhouette over all points (id, cluster_id, embedding), by cosine distance.
+
+    The mean distance of a point to a cluster follows from the sum of the cluster's unit vectors, so no pair of
+    points is formed: points meet clusters, which are broadcast ``chunk`` at a time. 0 for fewer than two clusters
+    or as many clusters as points; a cluster of one point counts 0.
     """
-    label = members.select("id", "cluster_id")
-    both = pairs.select("a", "b", (1 - F.col("sim")).alias("d")).unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), (1 - F.col("sim")).alias("d")))
-    named = both.join(label.select(F.col("id").alias("a"), F.col("cluster_id").alias("ca")), "a").join(label.select(F.col("id").alias("b"), F.col("cluster_id").alias("cb")), "b")
-    mean = named.groupBy("a", "ca", "cb").agg(F.avg("d").alias("d"))
-    per = mean.groupBy("a").agg(F.min(F.when(F.col("ca") == F.col("cb"), F.col("d"))).alias("x"), F.min(F.when(F.col("ca") != F.col("cb"), F.col("d"))).alias("y"))
+    points = stage(_rows(members, "id", embedding).select(F.col("_id").alias("id"), F.col("cluster_id").cast("bigint").alias("cluster_id"), F.col("_v").alias("v")), "points")
+
+    def meet(sent: Broadcast) -> Callable:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            labels, n, total = sent.value
+            for batch in batches:
+                for at in range(0, batch.num_rows, 1024):
+                    part = batch.slice(at, 1024)
+                    x, own = _unit_rows(part.column(2)), part.column(1).to_numpy()
+                    sims = x @ total.T
+                    mine = own[:, None] == labels[None]
+                    rest = np.where(mine, n[None] - 1, n[None])
+                    mean = np.clip((sims - mine * (x * x).sum(axis=1)[:, None]) / np.maximum(rest, 1), -1.0, 1.0)
+                    inner = np.where(mine & (rest > 0), mean, -np.inf).max(axis=1, initial=-np.inf)
+                    outer = np.where(mine, -np.inf, mean).max(axis=1, initial=-np.inf)
+                    missing = lambda y: pa.array(np.where(np.isfinite(y), 1 - y, 0.0), mask=~np.isfinite(y))
+                    yield pa.RecordBatch.from_arrays([part.column(0), missing(inner), missing(outer)], ["id", "x", "y"])
+
+        return run
+
+    per, held = None, []
+    for row in [*_sums(points).toLocalIterator(), None]:
+        if row is not None:
+            held.append(row)
+        if held and (row is None or len(held) == chunk):
+            sent = points.sparkSession.sparkContext.broadcast((np.array([r[0] for r in held]), np.array([r[1] for r in held]), np.array([r[2] for r in held])))
+            part = points.mapInArrow(meet(sent), "id bigint, x double, y double")
+            per, held = part if per is None else per.unionByName(part), []
+    counts = points.agg(F.count_distinct("cluster_id").alias("clusters"), F.count("*").alias("points"))
+    if per is None:
+        return counts.select(F.lit(0.0).alias("silhouette"), "clusters", "points")
+    per = per.groupBy("id").agg(F.min("x").alias("x"), F.min("y").alias("y"))
     one = F.when(F.col("x").isNull() | F.col("y").isNull(), 0.0).otherwise(F.coalesce((F.col("y") - F.col("x")) / F.nullif(F.greatest("x", "y"), F.lit(0.0)), F.lit(0.0)))
-    counts = label.agg(F.count_distinct("cluster_id").alias("clusters"), F.count("*").alias("points"))
-    score = per.agg(F.avg(one).alias("s"))
     usable = (F.col("clusters") > 1) & (F.col("clusters") < F.col("points"))
-    return counts.crossJoin(score).select(F.when(usable, F.coalesce("s", F.lit(0.0))).otherwise(0.0).alias("silhouette"), "clusters", "points")
+    return counts.crossJoin(per.agg(F.avg(one).alias("s"))).select(F.when(usable, F.coalesce("s", F.lit(0.0))).otherwise(0.0).alias("silhouette"), "clusters", "points")
 
 
 def quality(members: DataFrame, total: Column) -> DataFrame:
