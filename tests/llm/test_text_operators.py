@@ -62,6 +62,18 @@ def test_checked_kinds_need_their_check():
     assert kinds("-----BEGIN PRIVATE KEY-----\nMAMCAQA=\n-----END PRIVATE KEY-----") == ["pem"]
 
 
+def test_empty_tables_and_clashing_names(spark):
+    none = spark.createDataFrame([], DOCS)
+    assert secret_scan.scan_secrets(none).collect() == secret_scan.redact_secrets(none).collect() == token_counts.count_tokens(none).collect() == []
+    model = language_id.train(none)
+    assert language_id.identify(none, model).collect() == []
+    some = docs(spark, AWKWARD, extra=True).selectExpr("*", "'t' as n_tokens", "'u' as score", "'v' as spans", "'w' as batch")
+    plain = docs(spark, AWKWARD)
+    key = lambda rows: sorted(map(tuple, rows))
+    assert key(token_counts.count_tokens(some).collect()) == key(token_counts.count_tokens(plain).collect())
+    assert key(secret_scan.scan_secrets(some).collect()) == key(secret_scan.scan_secrets(plain).collect())
+
+
 def test_long_texts_take_time_in_proportion():
     import time
 
