@@ -47,24 +47,24 @@ def temporal_relevance(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "events").select("event_id", F.round(timefn.temporal_relevance(F.col("ts"), reference(), 10.0), 6).alias("relevance"))
 
 
-_SPANS = "s AS (SELECT user_id, min(ts) AS a, max(ts) AS b FROM events WHERE event_id % 40 < 3 GROUP BY user_id)"
+_SPANS = "s AS (SELECT user_id, event_type, min(ts) AS a, max(ts) AS b FROM events GROUP BY user_id, event_type)"
 
 
 def _spans(spark: SparkSession, d: str) -> DataFrame:
-    """First and last event of each user, over all events."""
-    return read(spark, d, "events").groupBy("user_id").agg(F.min("ts").alias("a"), F.max("ts").alias("b"))
+    """First and last event of each user and type, over all events."""
+    return read(spark, d, "events").groupBy("user_id", "event_type").agg(F.min("ts").alias("a"), F.max("ts").alias("b"))
 
 
-@query(f"""WITH {_SPANS}, p AS (SELECT x.user_id AS u, y.user_id AS v, (epoch_us(least(x.b, y.b)) - epoch_us(greatest(x.a, y.a))) / 1e6 AS o,
+@query(f"""WITH {_SPANS}, p AS (SELECT x.user_id AS u, y.user_id AS v, x.event_type AS kind, (epoch_us(least(x.b, y.b)) - epoch_us(greatest(x.a, y.a))) / 1e6 AS o,
   least(epoch_us(x.b) - epoch_us(x.a), epoch_us(y.b) - epoch_us(y.a)) / 1e6 AS s, greatest(0, date_diff('day', CAST(greatest(x.a, y.a) AS DATE), CAST(least(x.b, y.b) AS DATE))) AS days
-  FROM s x JOIN s y ON y.user_id = x.user_id + 1)
-SELECT u, v, o > 0 AS overlaps, round(CASE WHEN o <= 0 THEN 0.0 WHEN s = 0 THEN 1.0 ELSE o / s END, 6) AS share, CAST(days AS INTEGER) AS days FROM p""")
+  FROM s x JOIN s y ON y.user_id = x.user_id + 1 AND x.event_type = y.event_type)
+SELECT u, v, kind, o > 0 AS overlaps, round(CASE WHEN o <= 0 THEN 0.0 WHEN s = 0 THEN 1.0 ELSE o / s END, 6) AS share, CAST(days AS INTEGER) AS days FROM p""")
 def window_overlap(spark: SparkSession, d: str) -> DataFrame:
     x, y = _spans(spark, d).alias("x"), _spans(spark, d).alias("y")
-    both = x.join(y, F.col("y.user_id") == F.col("x.user_id") + 1)
+    both = x.join(y, (F.col("y.user_id") == F.col("x.user_id") + 1) & (F.col("x.event_type") == F.col("y.event_type")))
     ends = [F.col(c) for c in ("x.a", "x.b", "y.a", "y.b")]
     has, share = timefn.window_overlap(*ends)
-    return both.select(F.col("x.user_id").alias("u"), F.col("y.user_id").alias("v"), has.alias("overlaps"), F.round(share, 6).alias("share"), timefn.overlap_days(*ends).alias("days"))
+    return both.select(F.col("x.user_id").alias("u"), F.col("y.user_id").alias("v"), F.col("x.event_type").alias("kind"), has.alias("overlaps"), F.round(share, 6).alias("share"), timefn.overlap_days(*ends).alias("days"))
 
 
 @query("SELECT event_id, ts FROM events WHERE ts BETWEEN TIMESTAMP '2024-01-10' AND TIMESTAMP '2024-01-12 12:00:00'")
