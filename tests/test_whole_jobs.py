@@ -2,34 +2,20 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
 from meshwork import catalog
 
 
 def test_window_overlap_spans_all_events(spark, small):
-    spans: dict[int, tuple] = {}
-    for r in spark.read.parquet(f"{small}/events.parquet").select("user_id", "ts").collect():
-        a, b = spans.get(r.user_id, (r.ts, r.ts))
-        spans[r.user_id] = min(a, r.ts), max(b, r.ts)
+    spans: dict[tuple[int, str], tuple] = {}
+    for r in spark.read.parquet(f"{small}/events.parquet").select("user_id", "event_type", "ts").collect():
+        a, b = spans.get((r.user_id, r.event_type), (r.ts, r.ts))
+        spans[r.user_id, r.event_type] = min(a, r.ts), max(b, r.ts)
     want = {}
-    for u, (a, b) in spans.items():
-        if u + 1 in spans:
-            c, d = spans[u + 1]
+    for (u, kind), (a, b) in spans.items():
+        if (u + 1, kind) in spans:
+            c, d = spans[u + 1, kind]
             o, s = (min(b, d) - max(a, c)).total_seconds(), min(b - a, d - c).total_seconds()
             share = 0.0 if o <= 0 else o / s if s else 1.0
-            want[u] = o > 0, round(share, 6), max(0, (min(b, d).date() - max(a, c).date()).days)
-    got = {r.u: (r.overlaps, round(r.share, 6), r.days) for r in catalog.QUERIES["window_overlap"](spark, small).collect()}
+            want[u, kind] = o > 0, round(share, 6), max(0, (min(b, d).date() - max(a, c).date()).days)
+    got = {(r.u, r.kind): (r.overlaps, round(r.share, 6), r.days) for r in catalog.QUERIES["window_overlap"](spark, small).collect()}
     assert want and got == want
-
-
-def test_pipeline_keeps_rows_without_an_id(spark, small):
-    said = lambda k: " ".join(f"word{k}x{i}" for i in range(60))
-    rows = [(None, said(1), "a"), (None, said(2), "b"), (None, said(2) + " more", "c"), (None, said(3), "d"), (7, said(3), "e"), (8, said(4), "f"), (None, said(1), "g")]
-    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(3)
-    once = corpus_pipeline.drop_near_duplicates(spark, docs, small)
-    assert once.columns == docs.columns
-    got = [(r.doc_id, r.text) for r in once.collect()]
-    assert len(got) == 4 and {(None, said(1)), (7, said(3)), (8, said(4))} <= set(got)
-    assert len({(None, said(2)), (None, said(2) + " more")} & set(got)) == 1
-    packed = corpus_pipeline.pack(spark, once, small).collect()
-    assert sum(r.doc_id is None for r in packed) == 2
