@@ -21,50 +21,99 @@ from meshwork.plans.components import components
 from meshwork.plans.staging import stage
 
 BLOCK_ROWS = 2048
+#: Beyond so many blocks rows go to larger ones instead, up to ``GROWN`` times the rows: a row is sent to each block.
+FEW, GROWN = 8, 8
+#: Rows and columns of a tile of cosines.
+TILE = 256, 2048
 
 
-def _blocked(units: DataFrame, schema: str, reduce: Callable) -> DataFrame:
-    """Run ``reduce`` on every unit of (g, i, j, own, id, label, v): block i against block j of group g.
+def _packed(rows: DataFrame) -> DataFrame:
+    """Rows (g, own, blocks, id, label, v) as pieces: what a batch has of a block, in one row of binary columns.
+
+    Vectors are in single precision where that is exact, so a piece holds a quarter to a half of what its rows would.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            g, own, blocks, ids, labels = (c.to_numpy() for c in batch.columns[:5])
+            order = np.lexsort((own, g))
+            cuts = np.flatnonzero((np.diff(g[order]) != 0) | (np.diff(own[order]) != 0)) + 1
+            for part in np.split(order, cuts):
+                v = batch.column(5).take(pa.array(part))
+                x = v.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+                if len(set(v.value_lengths().to_pylist())) > 1:
+                    raise ValueError("vectors of different lengths")
+                with np.errstate(over="ignore"):
+                    single = x.astype(np.float32)
+                exact = bool((single == x).all())
+                one = [int(g[part[0]]), int(own[part[0]]), int(blocks[part[0]]), ids[part].astype(np.int64).tobytes(), labels[part].astype(np.int64).tobytes(), (single if exact else x).tobytes(), exact]
+                yield pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(one, (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.bool_()), strict=True)], ["g", "own", "blocks", "ids", "labels", "v", "single"])
+
+    return rows.mapInArrow(run, "g bigint, own int, blocks int, ids binary, labels binary, v binary, single boolean")
+
+
+def _blocked(units: DataFrame, schema: str, reduce: Callable, parts: int | None = None) -> DataFrame:
+    """Run ``reduce`` on every unit of (g, i, j, own, ids, labels, v, single): block i against block j of group g.
 
     ``reduce(g, ids, labels, sims, same)`` gets a tile of cosines: ids and labels are pairs for its rows and
     columns, ``same`` tells that both come from one block, where only pairs with smaller row id count.
     """
     names = [x.strip().split(" ")[0] for x in schema.split(",")]
 
+    def unit_rows(x: np.ndarray) -> np.ndarray:
+        x = x.astype(np.float64)
+        size = np.sqrt((x * x).sum(axis=1))
+        return x / np.where(size == 0, 1, size)[:, None]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unit, held = None, []
 
         def close() -> Iterator[pa.RecordBatch]:
             if not held:
                 return
-            ids, labels = np.array([h[1] for h in held], np.int64), np.array([h[2] for h in held], np.int64)
-            x = np.array([h[3] for h in held], np.float64)
-            size = np.sqrt((x * x).sum(axis=1))
-            x = x / np.where(size == 0, 1, size)[:, None]
-            mine, same = np.array([h[0] == unit[1] for h in held]), unit[1] == unit[2]
-            first = np.flatnonzero(mine)
-            second = first if same else np.flatnonzero(~mine)
-            for s in range(0, len(first), 512):
-                part = first[s : s + 512]
-                columns = reduce(unit[0], (ids[part], ids[second]), (labels[part], labels[second]), x[part] @ x[second].T, same)
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
+            same = unit[1] == unit[2]
+            first = [h[1:] for h in held if h[0] == unit[1]]
+            second = first if same else [h[1:] for h in held if h[0] != unit[1]]
+            if not first or not second:
+                return
+            left, right = ([np.concatenate(c) for c in zip(*side, strict=True)] for side in (first, second))
+            for t in range(0, len(right[0]), TILE[1]):
+                ids, labels, y = (c[t : t + TILE[1]] for c in right)
+                y = unit_rows(y).T
+                for s in range(0, len(left[0]), TILE[0]):
+                    part = slice(s, s + TILE[0])
+                    columns = reduce(unit[0], (left[0][part], ids), (left[1][part], labels), unit_rows(left[2][part]) @ y, same)
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
 
         for batch in batches:
-            for g, i, j, own, ident, label, v in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for k in range(batch.num_rows):
+                g, i, j, own, ids, labels, v, single = (c[k].as_py() for c in batch.columns)
                 if unit != (g, i, j):
                     yield from close()
                     unit, held = (g, i, j), []
-                held.append((own, ident, label, v))
+                ids = np.frombuffer(ids, np.int64)
+                x = np.frombuffer(v, np.float32 if single else np.float64)
+                held.append((own, ids, np.frombuffer(labels, np.int64), x.reshape(len(ids), len(x) // len(ids))))
         yield from close()
 
-    return units.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j").mapInArrow(run, schema)
+    dealt = units.repartition("g", "i", "j") if parts is None else units.repartition(parts, "g", "i", "j")
+    return dealt.sortWithinPartitions("g", "i", "j").mapInArrow(run, schema)
 
 
 def _deal(rows: DataFrame, blocks: Column) -> DataFrame:
-    """Units of rows (g, id, label, v): each row goes to every pair of blocks that has its own."""
+    """Units of rows (g, id, label, v): each block's pieces go to every pair of blocks that has it."""
     own = F.pmod(F.xxhash64("id"), blocks).cast("int")
-    units = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), (blocks - 1).cast("int"))))
-    return units.select("g", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "label", "v")
+    pieces = _packed(rows.select(F.col("g").cast("bigint").alias("g"), own.alias("own"), blocks.cast("int").alias("blocks"), "id", "label", "v"))
+    units = pieces.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return units.select("g", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "ids", "labels", "v", "single")
+
+
+def _blocks(rows: int) -> int:
+    """Blocks that so many rows are dealt to: what is sent is their number times the rows."""
+    n = -(-rows // BLOCK_ROWS)
+    return max(1, min(n, FEW), -(-n // GROWN))
 
 
 def _rows(df: DataFrame, key: str, embedding: str) -> DataFrame:
@@ -74,10 +123,10 @@ def _rows(df: DataFrame, key: str, embedding: str) -> DataFrame:
 def similar_pairs(df: DataFrame, threshold: float, key: str = "id", embedding: str = "embedding", rows: int | None = None) -> DataFrame:
     """(a, b, sim) with a < b for all pairs of cosine at least ``threshold``; null and zero vectors have none.
 
-    ``rows`` is the number of rows, counted if not given; blocks of ``BLOCK_ROWS`` follow from it.
+    ``rows`` is the number of rows, counted if not given; the number of blocks follows from it.
     """
     clean = _rows(df, key, embedding).select(F.lit(0).alias("g"), F.col("_id").alias("id"), F.lit(0).cast("bigint").alias("label"), F.col("_v").alias("v"))
-    n = max(1, -(-(rows if rows is not None else clean.count()) // BLOCK_ROWS))
+    n = _blocks(rows if rows is not None else clean.count())
 
     def pairs(_: object, ids: tuple, labels: tuple, sims: np.ndarray, same: bool) -> list:
         p, q = np.nonzero(sims >= threshold)
@@ -85,7 +134,7 @@ def similar_pairs(df: DataFrame, threshold: float, key: str = "id", embedding: s
         keep = a < b if same else a != b
         return [np.minimum(a, b)[keep], np.maximum(a, b)[keep], np.clip(sims[p, q][keep], -1.0, 1.0)]
 
-    return _blocked(_deal(clean, F.lit(n)), "a bigint, b bigint, sim double", pairs)
+    return _blocked(_deal(clean, F.lit(n)), "a bigint, b bigint, sim double", pairs, parts=min(n * (n + 1), 8192))
 
 
 def similar_pairs_lsh(df: DataFrame, threshold: float, key: str = "id", embedding: str = "embedding", tables: int = 24, length: float = 1.0) -> DataFrame:

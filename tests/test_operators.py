@@ -209,6 +209,20 @@ def test_clusters(spark, monkeypatch, block):
     assert cluster.pairwise(v).count() == 36
 
 
+def test_pairs_send_each_vector_to_few_blocks(spark, monkeypatch):
+    sent, blocked = [], cluster._blocked
+    monkeypatch.setattr(cluster, "BLOCK_ROWS", 2)
+    monkeypatch.setattr(cluster, "_blocked", lambda units, *a, **k: sent.append(units) or blocked(units, *a, **k))
+    rng = np.random.default_rng(5)
+    for x, size in ((rng.integers(-9, 9, (64, 4)) / 2, 4), (rng.normal(size=(64, 4)), 8)):
+        v = spark.createDataFrame([(i * 3, r.tolist()) for i, r in enumerate(x)] + [(900, None)], "id bigint, embedding array<double>")
+        got = {(r.a, r.b): r.sim for r in cluster.similar_pairs(v, -2.0).collect()}
+        u = x / np.linalg.norm(x, axis=1, keepdims=True)
+        assert got == {(i * 3, j * 3): pytest.approx(u[i] @ u[j]) for i in range(64) for j in range(i + 1, 64)}
+        kind = dict(sent[-1].dtypes)["v"]
+        assert sent[-1].agg(F.sum(F.length("v") if kind == "binary" else 8 * F.size("v"))).first()[0] == 8 * 64 * 4 * size
+
+
 def test_random_projections_find_most_pairs(spark):
 
 
