@@ -23,10 +23,10 @@ _SHOWN = "id AS message_id, n_name AS source, channel, round(score, 6) AS score,
 _JOINED = "JOIN messages ON id = doc_id JOIN nation ON source_id = n_nationkey ORDER BY round(score, 9) DESC, sr NULLS LAST, kr NULLS LAST, id LIMIT 10"
 
 
-def _asked(spark: SparkSession, d: str, strategy: str, **more: object) -> DataFrame:
+def _asked(spark: SparkSession, d: str, strategy: str, operator: str = "", **more: object) -> DataFrame:
     v = vectors(spark, d)
     q = [float(x) for x in v.where("id = 0").select("embedding").first()[0]]
-    request = search.SearchRequest(first_words(spark, d), q, ranking_strategy=strategy, **more)
+    request = search.SearchRequest(f"{operator} {first_words(spark, d)}", q, ranking_strategy=strategy, **more)
     found = search.search(request, messages(spark, d), sources(spark, d), v, index(spark, d))
     blank = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     return found.select("message_id", "source", "channel", F.round("score", 6).alias("score"), blank("semantic_rank"), blank("keyword_rank"))
@@ -34,8 +34,8 @@ def _asked(spark: SparkSession, d: str, strategy: str, **more: object) -> DataFr
 
 @query(f"WITH {SCORED}, {MESSAGES}, {_KEYWORD}, alone AS (SELECT *, NULL AS sr, rank AS kr FROM kw) SELECT {_SHOWN} FROM alone {_JOINED}")
 def search_auto(spark: SparkSession, d: str) -> DataFrame:
-    """A request with a word like "and": the parser takes it for a boolean one and recommends BM25."""
-    return _asked(spark, d, "auto")
+    """A request that begins with an operator, whatever its words: the parser takes it for a boolean one and recommends BM25."""
+    return _asked(spark, d, "auto", operator="+")
 
 
 @query(f"WITH {MESSAGES}, {_NEAR}, alone AS (SELECT *, rank AS sr, NULL AS kr FROM sem WHERE score >= 0.2) SELECT {_SHOWN} FROM alone {_JOINED}")

@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 QUESTIONS = ["who", "what", "when", "where", "why", "how", "which"]
 BOOLEAN = [" and ", " or ", " not ", "+", "-"]
 
+# Operators that may stand alone before a boolean query.
+BARE = ("+", "-")
+
 # Inline filters.
 FILTERS = {"source": r"(?i)source:(\w+)", "channel": r"(?i)channel:(#?\w+)", "author": r"(?i)author:([\w@.]+)", "date": r"(?i)date:(\d{4}-\d{2}-\d{2})"}
 
@@ -71,6 +74,12 @@ def parse(query: Column, default: str = "hybrid_rrf") -> Column:
     return F.struct(query.alias("original"), normalized(query).alias("normalized"), terms(query).alias("terms"), intent(query).alias("intent"), strategy(query, default).alias("recommended_strategy"), inline_filters(query).alias("filters"))
 
 
+def words_text(query: str) -> str:
+    """The words of a parsed query for a keyword search: all but an operator that stands alone before them."""
+    found = query.split()
+    return " ".join(found[1:] if found[:1] and found[0] in BARE else found)
+
+
 def parse_text(query: str) -> dict[str, object]:
     """The driver's own parse of one query, by the same rules, to choose a plan before there is one."""
     norm = " ".join(query.lower().split())

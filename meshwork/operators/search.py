@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from meshwork.functions import vector
-from meshwork.functions.query import STRATEGIES, parse_text
+from meshwork.functions.query import STRATEGIES, parse_text, words_text
 from meshwork.operators import bm25, fusion
 from meshwork.operators.filters import SearchFilter
 
@@ -129,19 +129,25 @@ def search(request: SearchRequest, messages: DataFrame, sources: DataFrame, vect
 
     Twice the limit is fetched and filtered afterwards, so that a filtered search may return fewer rows;
     ``prefilter`` filters before ranking instead. Corpus statistics always cover all messages. The threshold
-    applies to vector scores only.
+    applies to vector scores only. With "auto", which parses
+    the query, a + or - alone before its words tells of a boolean query and is none of its terms.
     """
     chosen, n = strategy_of(request), 2 * request.limit
     if chosen != "bm25" and (vectors is None or request.query_vector is None):
         raise ValueError(f"{chosen} needs vectors and a query vector")
     pool = request.filter.apply(messages.join(sources.select(F.col("id").alias("_s"), F.col("type").alias("source")), F.col("source_id") == F.col("_s"))) if request.prefilter else messages
     texts = pool.select("id", "content")
+    words = words_text(request.query) if request.ranking_strategy == "auto" else request.query
+
+    def best(found: DataFrame) -> DataFrame:
+        tied = found.where("score > 0").withColumn("_tied", F.round("score", 9))  # sums of the same terms in another order tie
+        return fusion.ranked(bm25.top_k(tied, n, by="_tied"), by="_tied").drop("_tied")
 
     def keyword() -> DataFrame:
         if index is not None and not request.prefilter:
-            return fusion.ranked(bm25.top_k(index.score(request.query).where("score > 0"), n))
-        found = bm25.score(texts, request.query, "id", "content", corpus=messages.select("content") if request.prefilter else None)
-        return fusion.ranked(bm25.top_k(found.where("score > 0"), n))
+            return best(index.score(words))
+        found = bm25.score(texts, words, "id", "content", corpus=messages.select("content") if request.prefilter else None)
+        return best(found)
 
     def semantic() -> DataFrame:
         rows = vectors.join(texts.select(F.col("id").alias("message_id")), "message_id", "left_semi") if request.prefilter else vectors
@@ -159,7 +165,8 @@ def search(request: SearchRequest, messages: DataFrame, sources: DataFrame, vect
     found = enrich(hits, messages, sources)
     if not request.prefilter:
         found = request.filter.apply(found)
-    return found.orderBy(*fusion.fusion_order()).limit(request.limit).select("message_id", "content", "source", "channel", "author", "timestamp", "external_id", "score", "semantic_rank", "keyword_rank")
+    order = [F.col("keyword_rank")] if chosen == "bm25" else fusion.fusion_order()
+    return found.orderBy(*order).limit(request.limit).select("message_id", "content", "source", "channel", "author", "timestamp", "external_id", "score", "semantic_rank", "keyword_rank")
 
 
 def health(messages: DataFrame, vectors: DataFrame) -> DataFrame:

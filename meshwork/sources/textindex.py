@@ -23,11 +23,6 @@ from meshwork.plans.staging import shared_dir, spread
 HEAD = 1000
 
 
-def _tied(score: Column) -> Column:
-    """Sums of the same terms in another order tie."""
-    return F.round(score, 9)
-
-
 class TextIndex:
     """An index at ``path``: ``postings`` and ``common`` (term, doc_id, tf, dl, df), ``stats`` (one row)."""
 
@@ -85,19 +80,19 @@ class TextIndex:
         return bm25.term_score(bm25.idf(n, F.col("df")), F.col("tf"), bm25.length_norm(F.col("dl"), mean, b), k1)
 
     def score(self, query: str, k1: float = bm25.K1, b: float = bm25.B) -> DataFrame:
-        """(doc_id, score) of documents that hold a term of some weight, and of the first that hold another."""
+        """(doc_id, score) of documents that hold a term of some weight, and of the first that hold another; sums of the same terms may differ in the last digits."""
         asked = query.lower().split()
         times = {t: asked.count(t) for t in asked}
         held = F.col("term").isin(*times) if times else F.lit(False)
         repeated = [t for t, c in times.items() if c > 1]
         factor = F.coalesce(*[F.when(F.col("term") == t, times[t]) for t in repeated], F.lit(1))
         rows = self.postings.where(held).unionByName(self.common.where(held))
-        return rows.groupBy("doc_id").agg(_tied(F.sum(self._weight(k1, b) * factor)).alias("score"))
+        return rows.groupBy("doc_id").agg(F.sum(self._weight(k1, b) * factor).alias("score"))
 
     def score_queries(self, queries: DataFrame, k: int = 10, k1: float = bm25.K1, b: float = bm25.B) -> DataFrame:
         """(query_id, doc_id, score, rank) for a table of queries (query_id, query): one plan for all of them."""
         asked = queries.select("query_id", F.explode(tokens("query")).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
         found = asked.join(self.postings, "term").unionByName(asked.join(self.common, "term"))
-        total = found.groupBy("query_id", "doc_id").agg(_tied(F.sum(self._weight(k1, b) * F.col("times"))).alias("score"))
-        order = W.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
+        total = found.groupBy("query_id", "doc_id").agg(F.sum(self._weight(k1, b) * F.col("times")).alias("score"))
+        order = W.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "doc_id")
         return total.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

@@ -135,6 +135,16 @@ def test_strategies(world):
     assert (first.source, first.channel, first.external_id) == ("git", "dev", "e1")
 
 
+def test_an_operator_before_the_words_is_no_term(world):
+    ask = lambda q, s: search.search(search.SearchRequest(q, [1.0, 0.0], ranking_strategy=s), *world)
+    scores = lambda df: {r.message_id: (r.score, r.semantic_rank) for r in df.collect()}
+    dashed = world[0].withColumn("content", F.when(F.col("id") == 4, "- frontend +").otherwise(F.col("content")))
+    world = (dashed, *world[1:])
+    assert scores(ask("+ oauth token", "auto")) == scores(ask("oauth token", "bm25")) != {}
+    assert scores(ask("- who has oauth", "auto")) == scores(ask("who has oauth", "bm25")) != {}
+    assert ids(ask("+ + layout", "auto")) == ids(ask("+", "bm25")) == [4] and ids(ask("+", "auto")) == []
+
+
 def test_filters_after_and_before_ranking(world):
     ops = filters.SearchFilter(channels=["ops"])
     after = search.SearchRequest("oauth token", limit=1, ranking_strategy="bm25", filter=ops)

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import os
+
+import duckdb
+import pytest
+
 from meshwork import catalog
 
 
@@ -19,3 +24,15 @@ def test_window_overlap_spans_all_events(spark, small):
             want[u, kind] = o > 0, round(share, 6), max(0, (min(b, d).date() - max(a, c).date()).days)
     got = {(r.u, r.kind): (r.overlaps, round(r.share, 6), r.days) for r in catalog.QUERIES["window_overlap"](spark, small).collect()}
     assert want and got == want
+
+
+@pytest.mark.parametrize("words", ["Se que osllra nezll del does", "Which of erblest them hein ti", "That and onesen erblest it hein"])
+def test_search_auto_ranks_by_keywords_whatever_the_words(spark, small, tmp_path, words):
+    for t in ("documents", "embeddings", "nation"):
+        os.symlink(f"{small}/{t}.parquet", tmp_path / f"{t}.parquet")
+    spark.createDataFrame([(0, words)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    sql = duckdb.connect()
+    for t in ("documents", "embeddings", "nation", "benchmark"):
+        sql.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet{'/*.parquet' if t == 'benchmark' else ''}'")
+    want = sql.execute(catalog.ORACLES["search_auto"]).fetchall()
+    assert want and [tuple(r) for r in catalog.QUERIES["search_auto"](spark, str(tmp_path)).collect()] == want
