@@ -125,11 +125,17 @@ def get_or_create_source(table: Table, kind: str, name: str, now: Column) -> Dat
     return table.read().where((F.col("type") == kind) & (F.col("name") == name))
 
 
+# Fixed value: what an empty text may hold, blanks of any width and the ends of lines.
+SPACE = " \t\n\f\r\u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u202f\u205f\u3000"
+
 Embedder = Callable[[pd.Series], pd.Series]
 
 
 def hashing_embedder(dim: int = 64) -> Embedder:
-    """A deterministic stand-in for a language model: signed word hashes, of unit length; empty text is zero."""
+    """A deterministic stand-in for a language model: signed word hashes, of unit length; empty text is zero.
+
+    Where its words cancel out, or it has control characters only, the whole text is hashed as one word.
+    """
     import zlib
 
     import numpy as np
@@ -140,6 +146,9 @@ def hashing_embedder(dim: int = 64) -> Embedder:
             for w in (t or "").lower().split():
                 h = zlib.crc32(w.encode())
                 v[h % dim] += 1.0 if h >> 16 & 1 else -1.0
+            if not v.any() and (whole := (t or "").lower().strip(SPACE)):
+                h = zlib.crc32(whole.encode())
+                v[h % dim] = 1.0 if h >> 16 & 1 else -1.0
             n = float(np.linalg.norm(v))
             return (v / n if n else v).tolist()
 

@@ -36,3 +36,14 @@ def test_search_auto_ranks_by_keywords_whatever_the_words(spark, small, tmp_path
         sql.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet{'/*.parquet' if t == 'benchmark' else ''}'")
     want = sql.execute(catalog.ORACLES["search_auto"]).fetchall()
     assert want and [tuple(r) for r in catalog.QUERIES["search_auto"](spark, str(tmp_path)).collect()] == want
+
+
+def test_store_vectors_finds_only_empty_texts_without_length(spark, tmp_path):
+    texts = ["flow design", "Design FLOW", "beta retry beta retry", "one word", "", None, " \n\t ", "\u00a0", "\u2003\r", "\v", "\u2028 \x1c", "word " * 5000]
+    rows = [(i, t, "en", "src0", 0) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{tmp_path}/documents.parquet")
+    sql = duckdb.connect()
+    sql.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = sorted(sql.execute(catalog.ORACLES["store_vectors"]).fetchall())
+    assert [i for i, zero in want if zero] == [4, 5, 6, 7, 8]
+    assert sorted(tuple(r) for r in catalog.QUERIES["store_vectors"](spark, str(tmp_path)).collect()) == want
