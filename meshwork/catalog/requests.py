@@ -147,7 +147,8 @@ def parse_times(spark: SparkSession, d: str) -> DataFrame:
 g AS (SELECT c_custkey, count(r) AS n, avg(r) AS mean, max(t) - min(t) AS spread FROM customer LEFT JOIN o ON o_custkey = c_custkey GROUP BY 1)
 SELECT c_custkey, CASE WHEN n = 0 THEN 'no evidence' WHEN round(mean, 9) < 0.5 THEN 'low relevance' WHEN n > 1 AND spread < INTERVAL 1 MINUTE THEN 'evidence within a minute' ELSE '' END AS trouble FROM g""")
 def evidence_rules(spark: SparkSession, d: str) -> DataFrame:
-    o = read(spark, d, "orders").select("o_custkey", F.struct(F.round(F.col("o_totalprice") / 400000, 4).alias("relevance"), F.col("o_orderdate").alias("timestamp")).alias("e"))
+    share = F.floor(F.col("o_totalprice") / 400000 * 1e4 + 0.5) / 1e4  # half up in binary, as in SQL
+    o = read(spark, d, "orders").select("o_custkey", F.struct(share.alias("relevance"), F.col("o_orderdate").alias("timestamp")).alias("e"))
     held = o.groupBy("o_custkey").agg(F.collect_list("e").alias("evidence"))
     rows = read(spark, d, "customer").select("c_custkey").join(held, F.col("c_custkey") == F.col("o_custkey"), "left")
     none = F.array().cast("array<struct<relevance:double,timestamp:timestamp>>")

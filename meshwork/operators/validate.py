@@ -36,11 +36,11 @@ def intentional(insight: Column, reasoning: Column, evidence: Column | None = No
 
 
 def evidence_quality(evidence: Column, least: float = 0.5) -> Column:
-    """Why evidence is weak; null if it isn't."""
+    """Why evidence is weak; null if it isn't. A mean is held against ``least`` without the noise of a sum in some order."""
     mean = F.aggregate(evidence, F.lit(0.0), lambda s, e: s + e["relevance"]) / F.nullif(F.size(evidence), F.lit(0))
     times = F.transform(evidence, lambda e: F.unix_micros(e["timestamp"]))
     close = (F.size(evidence) > 1) & (F.array_max(times) - F.array_min(times) < 60_000_000)
-    return F.when(F.coalesce(F.size(evidence), F.lit(0)) <= 0, "no evidence").when(mean < least, "low relevance").when(close, "evidence within a minute")
+    return F.when(F.coalesce(F.size(evidence), F.lit(0)) <= 0, "no evidence").when(F.round(mean, 9) < least, "low relevance").when(close, "evidence within a minute")
 
 
 def verification_quality(v: Column, least: float = 0.7) -> Column:

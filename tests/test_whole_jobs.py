@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from datetime import datetime, timedelta
 
 import duckdb
 import pytest
@@ -47,3 +48,19 @@ def test_store_vectors_finds_only_empty_texts_without_length(spark, tmp_path):
     want = sorted(sql.execute(catalog.ORACLES["store_vectors"]).fetchall())
     assert [i for i, zero in want if zero] == [4, 5, 6, 7, 8]
     assert sorted(tuple(r) for r in catalog.QUERIES["store_vectors"](spark, str(tmp_path)).collect()) == want
+
+
+def test_evidence_rules_take_a_mean_of_just_a_half_in_any_order(spark, tmp_path):
+    day = datetime(2024, 1, 1)
+    prices = {1: [0.1, 0.7, 0.6, 0.6], 2: [0.6, 0.6, 0.7, 0.1], 3: [0.9, 0.3, 0.3], 4: [0.3, 0.3, 0.9], 5: [0.4999, 0.5, 0.5], 6: [0.5], 7: []}
+    prices |= {10: [0.0353, 0.6819, 0.9117, 1.0524, 0.1639, 0.1548], 11: [0.9576, 0.2962, 0.1501, 0.9029, 0.4183, 0.0532, 1.1029, 0.1188], 12: [0.2655, 0.1894, 0.7388, 0.2743, 1.1156, 0.3956, 0.5208], 13: [0.8589, 0.1482, 0.4181, 0.5748]}
+    prices |= {20: [0.39135, 0.60865], 21: [0.39135, 0.6086]}
+    orders = [(100 * k + i, k, p * 400000, day + timedelta(days=i)) for k, ps in prices.items() for i, p in enumerate(ps)]
+    spark.createDataFrame([(k,) for k in prices], "c_custkey bigint").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame(orders, "o_orderkey bigint, o_custkey bigint, o_totalprice double, o_orderdate timestamp").coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    sql = duckdb.connect()
+    for t in ("customer", "orders"):
+        sql.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    want = sorted(sql.execute(catalog.ORACLES["evidence_rules"]).fetchall())
+    got = sorted(tuple(r) for r in catalog.QUERIES["evidence_rules"](spark, str(tmp_path)).collect())
+    assert got == want and {k for k, why in got if why} == {5, 7, 21}
