@@ -25,6 +25,8 @@ BLOCK_ROWS = 2048
 FEW, GROWN = 8, 8
 #: Rows and columns of a tile of cosines.
 TILE = 256, 2048
+#: Bands of cosines that ``pairwise`` goes through one after the other.
+BANDS = 10
 
 
 def _packed(rows: DataFrame) -> DataFrame:
@@ -54,11 +56,14 @@ def _packed(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "g bigint, own int, blocks int, ids binary, labels binary, v binary, single boolean")
 
 
-def _blocked(units: DataFrame, schema: str, reduce: Callable, parts: int | None = None) -> DataFrame:
+def _blocked(units: DataFrame, schema: str, reduce: Callable, parts: int | None = None, bands: int = 0, least: float = -np.inf) -> DataFrame:
     """Run ``reduce`` on every unit of (g, i, j, own, ids, labels, v, single): block i against block j of group g.
 
     ``reduce(g, ids, labels, sims, same)`` gets a tile of cosines: ids and labels are pairs for its rows and
     columns, ``same`` tells that both come from one block, where only pairs with smaller row id count.
+
+    With ``bands`` it goes over the unit again for each band of cosines from ``least`` up, and gets as ``inside`` which
+    are in it. Cosines near each other have few different rounded values, which Parquet's bounded dictionaries hold.
     """
     names = [x.strip().split(" ")[0] for x in schema.split(",")]
 
@@ -67,6 +72,14 @@ def _blocked(units: DataFrame, schema: str, reduce: Callable, parts: int | None
         size = np.sqrt((x * x).sum(axis=1))
         return x / np.where(size == 0, 1, size)[:, None]
 
+    def tiles(left: list, right: list) -> Iterator[tuple]:
+        for t in range(0, len(right[0]), TILE[1]):
+            ids, labels, y = (c[t : t + TILE[1]] for c in right)
+            y = unit_rows(y).T
+            for s in range(0, len(left[0]), TILE[0]):
+                part = slice(s, s + TILE[0])
+                yield part, ids, labels, unit_rows(left[2][part]) @ y
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unit, held = None, []
 
@@ -79,13 +92,25 @@ def _blocked(units: DataFrame, schema: str, reduce: Callable, parts: int | None
             if not first or not second:
                 return
             left, right = ([np.concatenate(c) for c in zip(*side, strict=True)] for side in (first, second))
-            for t in range(0, len(right[0]), TILE[1]):
-                ids, labels, y = (c[t : t + TILE[1]] for c in right)
-                y = unit_rows(y).T
-                for s in range(0, len(left[0]), TILE[0]):
-                    part = slice(s, s + TILE[0])
-                    columns = reduce(unit[0], (left[0][part], ids), (left[1][part], labels), unit_rows(left[2][part]) @ y, same)
+            if not bands:
+                for part, ids, labels, sims in tiles(left, right):
+                    columns = reduce(unit[0], (left[0][part], ids), (left[1][part], labels), sims, same)
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
+                return
+            left, right = ([c[np.argsort(side[0], kind="stable")] for c in side] for side in (left, right))
+            _, _, _, sims = next(tiles(left, right))
+            above = sims[sims > max(0, least)]
+            edges = [least, *np.linspace(max(0, least), np.quantile(above, 0.98) if len(above) else 1, bands + 1), np.inf]
+            counts: dict[int, int] = {}
+            for low, high in zip(edges, edges[1:], strict=False):
+                for k, (part, ids, labels, sims) in enumerate(tiles(left, right)):
+                    inside = (sims >= low) & (sims < high)
+                    counts[k] = counts.get(k, 0) + np.count_nonzero(inside)
+                    if high == np.inf and counts[k] != np.count_nonzero(sims >= least):
+                        raise RuntimeError("cosines differ between passes")
+                    columns = reduce(unit[0], (left[0][part], ids), (left[1][part], labels), sims, same, inside)
+                    if len(columns[0]):
+                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
 
         for batch in batches:
             for k in range(batch.num_rows):
@@ -120,21 +145,22 @@ def _rows(df: DataFrame, key: str, embedding: str) -> DataFrame:
     return df.withColumn("_v", vector.as_double(embedding)).withColumn("_id", F.col(key).cast("bigint")).where("_v is not null and _id is not null")
 
 
-def similar_pairs(df: DataFrame, threshold: float, key: str = "id", embedding: str = "embedding", rows: int | None = None) -> DataFrame:
+def similar_pairs(df: DataFrame, threshold: float, key: str = "id", embedding: str = "embedding", rows: int | None = None, bands: int = 0) -> DataFrame:
     """(a, b, sim) with a < b for all pairs of cosine at least ``threshold``; null and zero vectors have none.
 
-    ``rows`` is the number of rows, counted if not given; the number of blocks follows from it.
+    ``rows`` is the number of rows, counted if not given; the number of blocks follows from it. ``bands`` is for
+    results with most of the pairs: they come out by bands of cosine, which makes them smaller as Parquet files.
     """
     clean = _rows(df, key, embedding).select(F.lit(0).alias("g"), F.col("_id").alias("id"), F.lit(0).cast("bigint").alias("label"), F.col("_v").alias("v"))
     n = _blocks(rows if rows is not None else clean.count())
 
-    def pairs(_: object, ids: tuple, labels: tuple, sims: np.ndarray, same: bool) -> list:
-        p, q = np.nonzero(sims >= threshold)
+    def pairs(_: object, ids: tuple, labels: tuple, sims: np.ndarray, same: bool, inside: np.ndarray | None = None) -> list:
+        p, q = np.divmod(np.flatnonzero(sims >= threshold if inside is None else inside), sims.shape[1])
         a, b = ids[0][p], ids[1][q]
         keep = a < b if same else a != b
         return [np.minimum(a, b)[keep], np.maximum(a, b)[keep], np.clip(sims[p, q][keep], -1.0, 1.0)]
 
-    return _blocked(_deal(clean, F.lit(n)), "a bigint, b bigint, sim double", pairs, parts=min(n * (n + 1), 8192))
+    return _blocked(_deal(clean, F.lit(n)), "a bigint, b bigint, sim double", pairs, parts=min(n * (n + 1), 8192), bands=bands, least=threshold)
 
 
 def similar_pairs_lsh(df: DataFrame, threshold: float, key: str = "id", embedding: str = "embedding", tables: int = 24, length: float = 1.0) -> DataFrame:
@@ -157,7 +183,7 @@ def similar_pairs_lsh(df: DataFrame, threshold: float, key: str = "id", embeddin
 
 def pairwise(df: DataFrame, key: str = "id", embedding: str = "embedding") -> DataFrame:
     """The similarity matrix as rows (a, b, sim) with a < b, clipped at 0."""
-    return similar_pairs(df, -2.0, key, embedding).withColumn("sim", F.greatest(F.lit(0.0), F.col("sim")))
+    return similar_pairs(df, -2.0, key, embedding, bands=BANDS).withColumn("sim", F.greatest(F.lit(0.0), F.col("sim")))
 
 
 def cluster(df: DataFrame, threshold: float = 0.85, min_samples: int = 1, key: str = "id", embedding: str = "embedding", pairs: Callable[..., DataFrame] = similar_pairs) -> DataFrame:

@@ -233,6 +233,28 @@ def test_pairs_send_each_vector_to_few_blocks(spark, monkeypatch):
         assert sent[-1].agg(F.sum(F.length("v") if kind == "binary" else 8 * F.size("v"))).first()[0] == 8 * 64 * 4 * size
 
 
+@pytest.mark.parametrize("least", [-2.0, -0.3, 0.2])
+def test_pairs_by_bands_are_all_there_once(spark, monkeypatch, least):
+    monkeypatch.setattr(cluster, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(cluster, "TILE", (5, 7))
+    x = np.random.default_rng(6).normal(size=(70, 4))
+    x[50:60], x[60:65], x[65] = x[:10] * 2, -x[:5], 0
+    v = spark.createDataFrame([(997 * i % 70, r.tolist()) for i, r in enumerate(x)] + [(900, None)], "id bigint, embedding array<double>")
+    got = sorted((r.a, r.b, r.sim) for r in cluster.similar_pairs(v, least, bands=3).collect())
+    assert got == sorted((r.a, r.b, pytest.approx(r.sim)) for r in cluster.similar_pairs(v, least).collect())
+    if least == -2.0:
+        assert [(a, b) for a, b, _ in got] == [(a, b) for a in range(70) for b in range(a + 1, 70)]
+
+
+def test_pairwise_result_is_small_on_disk(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(cluster, "BLOCK_ROWS", 4096)
+    x = np.random.default_rng(7).normal(size=(2500, 64))
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id bigint, embedding array<double>")
+    cluster.pairwise(v).withColumn("sim", F.floor(F.col("sim") * 1e6 + 0.5) / 1e6).write.parquet(f"{tmp_path}/pairs")
+    assert spark.read.parquet(f"{tmp_path}/pairs").count() == 2500 * 2499 // 2
+    assert sum(f.stat().st_size for f in (tmp_path / "pairs").glob("*.parquet")) < 4.4 * 2500 * 2499 // 2
+
+
 def test_random_projections_find_most_pairs(spark):
 
 
